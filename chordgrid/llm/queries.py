@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chordgrid.llm import packing, token_counts
-from chordgrid.llm.common import documents
+from chordgrid.llm import exact_dedup, mixing, packing, sharding, token_counts
+from chordgrid.llm.common import WORD, documents, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
 
 
@@ -13,9 +14,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), F.octet_length(text_of("text")) + 1)
+    return sharded.select(
+        "row.doc_id", "size", F.crc32(text_of("row.text").cast("binary")).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exact_dedup.mark_copies(documents(spark, sf_dir).select("doc_id", "text"))
+    return marked.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {"op3_packing": op3_packing, "op8_token_counts": op8_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), size=F.regexp_count(text_of("text"), F.lit(WORD)), carry=["doc_id"])
+    return mixing.taken_words(*mixed).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op5_sharding": op5_sharding,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM n""",
+}
