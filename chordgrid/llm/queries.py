@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chordgrid.llm import exact_dedup, mixing, packing, sharding, token_counts
+from chordgrid.llm import exact_dedup, licences, media, mixing, packing, sharding, token_counts
 from chordgrid.llm.common import WORD, documents, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_texts(documents(spark, sf_dir)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -35,12 +39,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixed).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_media": op1_media,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_licences": op10_licences,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": r"""
