@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chordgrid.llm import exact_dedup, licences, media, mixing, packing, sharding, token_counts
+from chordgrid.llm import exact_dedup, licences, media, mixing, packing, sharding, token_counts, toxicity
 from chordgrid.llm.common import WORD, documents, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
 
@@ -14,6 +14,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(documents(spark, sf_dir)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -45,6 +49,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
