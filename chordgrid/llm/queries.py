@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chordgrid.llm import exact_dedup, licences, media, mixing, packing, sharding, token_counts, toxicity
+from chordgrid.llm import exact_dedup, licences, media, mixing, ngram_join, packing, sharding, token_counts, toxicity
 from chordgrid.llm.common import WORD, documents, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), F.octet_length(text_of("text")) + 1)
     return sharded.select(
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
