@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: ASCII punctuation without the apostrophe, which the vocabulary joins to letters.
+_MARKS = string.punctuation.replace("'", "").encode()
+_PROBES = [w.encode() for w in ("abcdefghijklmnopqrstuvwxyz", "Word,", "straße.", "Élan;", "x###", "naïveté***")]
 
 
 def segments(text: bytes, limit: int) -> Iterator[bytes]:
@@ -30,26 +34,64 @@ def segments(text: bytes, limit: int) -> Iterator[bytes]:
 class WordEncoder:
     """Encodes words with a ``tokenizers`` file; ``ids[word]`` gives little-endian unsigned 32-bit ids as bytes.
 
+    Where the file's chain allows it (it is tried on a few words first), a word is taken apart at the safe boundary
+    between letters and the ASCII punctuation that ends it, and the library's model encodes the letters alone. All else goes through the whole chain in batches.
+
     max_words bounds the memory: a fuller table is emptied before the next segment. Words over max_word_bytes are
-    encoded each time they occur and dropped from the table with the segment's other words.
+    dropped from the table with the segment's other words.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000, max_word_bytes: int = 64) -> None:
+    def __init__(self, path: str, max_words: int = 800_000, max_word_bytes: int = 64) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        self._plain = self._is_plain()
+        self._byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._characters: dict[str, str] = {}
         self._max_words, self._max_word_bytes = max_words, max_word_bytes
         self.ids: dict[bytes, bytes] = {}
-
-    def _is_plain(self) -> bool:
-        """Whether the model alone encodes a lower-case ASCII word as the whole chain does."""
-        probe = "abcdefghijklmnopqrstuvwxyz"
-        whole = self._tokenizer.encode(probe, add_special_tokens=False).ids
-        return whole == [t.id for t in self._tokenizer.model.tokenize(probe)]
+        self._plain = all(self._in_parts(w) == self._whole([w])[0] for w in _PROBES)
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        found = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", encoding.ids).tobytes() for encoding in found]
+
+    def _character(self, c: str) -> str:
+        if c not in self._characters:
+            self._characters[c] = self._byte_level.pre_tokenize_str(c)[0][0]
+        return self._characters[c]
+
+    def _letters(self, letters: bytes) -> bytes | None:
+        """The ids of a lower-case ASCII word, or another word of letters only, by the model; None for any other word."""
+        if letters.isalpha():
+            form = letters.decode()
+        else:
+            text = letters.decode("utf-8", "replace")
+            form = self._tokenizer.normalizer.normalize_str(text) if text.isalpha() else ""
+            if not form.isalpha():
+                return None
+            form = "".join(map(self._character, form))
+        return array("I", [t.id for t in self._tokenizer.model.tokenize(form)]).tobytes()
+
+    def _in_parts(self, word: bytes) -> bytes | None:
+        letters = word.rstrip(_MARKS)
+        marks = word[len(letters) :]
+        if not letters or b"<|" in word:
+            return None
+        letters = letters.lower()
+        first = self.ids.get(letters)
+        if first is None:
+            first = self._letters(letters)
+            if first is None:
+                return None
+            self.ids[letters] = first
+        if not marks:
+            return first
+        if marks not in self.ids:
+            self.ids[marks] = self._whole([marks])[0]
+        return first + self.ids[marks]
 
     def learn(self, words: list[bytes]) -> None:
         """Make ``ids`` hold all of ``words``."""
@@ -57,14 +99,13 @@ class WordEncoder:
             self.ids.clear()
         rest = []
         for word in set(words).difference(self.ids):
-            if self._plain and word.isalpha() and word.islower():
-                self.ids[word] = array("I", [t.id for t in self._tokenizer.model.tokenize(word.decode())]).tobytes()
-            else:
+            found = self._in_parts(word) if self._plain else None
+            if found is None:
                 rest.append(word)
+            else:
+                self.ids[word] = found
         if rest:
-            found = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-            for word, encoding in zip(rest, found):
-                self.ids[word] = array("I", encoding.ids).tobytes()
+            self.ids.update(zip(rest, self._whole(rest)))
 
     def forget_long(self, words: list[bytes]) -> None:
         for word in words:
