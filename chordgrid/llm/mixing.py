@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chordgrid.llm.common import stored
+from chordgrid.llm.common import BLANKS, stored
 
 #: Parts in which a source's line, and the schedule, are summed.
 PARTS = 1024
@@ -127,3 +127,21 @@ def taken_words(documents: DataFrame, taken: DataFrame) -> DataFrame:
     """Each document with ``taken``, the words that the mix takes of it, repeats counted."""
     words = taken.groupBy("rid").agg(F.sum(F.col("to") - F.col("from")).alias("words"))
     return documents.join(words, "rid", "left").withColumn("taken", F.coalesce("words", F.lit(0)).cast("long")).drop("words")
+
+
+def mixed_rows(documents: DataFrame, taken: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The mix as rows of the carried columns: one for each document and pass, its text cut to the words taken.
+
+    A document taken whole keeps its text as it is; of a part the words are joined by single spaces, and ``n_chars``,
+    where carried, counts the new text.
+    """
+    words = F.filter(F.split(f"row.{text}", BLANKS), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")), " ")
+    whole = (F.col("from") == 0) & (F.col("to") == F.col("size"))
+    out = documents.join(taken, "rid").withColumn("piece", F.when(whole, F.col(f"row.{text}")).otherwise(part))
+    names = documents.schema["row"].dataType.names
+    columns = {name: F.col(f"row.`{name}`") for name in names}
+    columns[text] = F.col("piece")
+    if n_chars in columns:
+        columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length("piece").cast("long"))
+    return out.select(*[column.alias(name) for name, column in columns.items()])
