@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chordgrid.llm import exact_dedup, licences, media, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from chordgrid.llm import exact_dedup, licences, media, mixing, ngram_join, packing, repeated_spans, sharding, token_counts, toxicity
 from chordgrid.llm.common import WORD, documents, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
 
@@ -33,6 +33,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_spans.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_copies(documents(spark, sf_dir).select("doc_id", "text"))
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -57,12 +62,14 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
+    "op6_repeated_spans": op6_repeated_spans,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_licences": op10_licences,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_repeated_spans": op6_repeated_spans,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
