@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from chordgrid.plans import loader_queries, point_queries, string_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in (point_queries, string_queries, loader_queries):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
