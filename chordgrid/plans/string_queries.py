@@ -1,2 +1,248 @@
+"""Queries on strings, pyramids, selection, the network and views."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chordgrid.operators import canny, pooling, pyramid, segnet, selection, strings, views
+from chordgrid.operators.components import components
+from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours
+from chordgrid.plans.point_queries import _SOBEL, graph
+from chordgrid.plans.sql import DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
+from chordgrid.sources.images import embedding_pixels, points
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _registered(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    # adding 0.0 makes -0.0 and 0.0 one value
+    return df.select(*[(F.round(c, places) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def gradient_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points (imgid, oid, y, x, n_y, n_x) with their gradient's unit vector, (0, 0) where it has none."""
+    found = canny.sobel(embedding_pixels(spark, sf_dir)).where("v > 0.1")
+    found = found.select("imgid", "oid", "y", "x", F.round("dy", 6).alias("dy"), F.round("dx", 6).alias("dx"))
+    length = F.sqrt(F.col("dy") ** 2 + F.col("dx") ** 2)
+    n = {c: F.when(length > 0, F.round(F.col(f"d{c}") / length, 6)).otherwise(0.0) for c in "yx"}
+    return found.select("imgid", "oid", "y", "x", n["y"].alias("n_y"), n["x"].alias("n_x"))
+
+
+def string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gradient_points(spark, sf_dir)
+    return strings.initial_strings(found, neighbours(found, EIGHT))
+
+
+_STRINGS = ", ".join([PIXELS, _SOBEL, """
+    gr AS (SELECT imgid, oid, y, x, round(dy, 6) AS dy, round(dx, 6) AS dx FROM so),
+    pt AS (SELECT g.imgid, g.oid, g.y, g.x, CASE WHEN g.dy * g.dy + g.dx * g.dx > 0 THEN round(g.dy / sqrt(g.dy ** 2 + g.dx ** 2), 6) ELSE 0 END AS n_y,
+               CASE WHEN g.dy * g.dy + g.dx * g.dx > 0 THEN round(g.dx / sqrt(g.dy ** 2 + g.dx ** 2), 6) ELSE 0 END AS n_x
+           FROM gr g JOIN px p ON p.oid = g.oid WHERE p.v > 0.1)""", edges(), """
+    st AS (SELECT e.imgid, e.lf || '-' || e.rt AS sid, a.y::DOUBLE AS lf_y, a.x::DOUBLE AS lf_x, b.y::DOUBLE AS rt_y, b.x::DOUBLE AS rt_x,
+               (a.n_y + b.n_y) / 2 AS n_y, (a.n_x + b.n_x) / 2 AS n_x, 0.0::DOUBLE AS dev
+           FROM ed e JOIN pt a ON a.oid = e.lf JOIN pt b ON b.oid = e.rt)"""])
+_ENDS = """ends AS (SELECT *, sid || '/0' AS oid, 0 AS side, lf_y AS y, lf_x AS x FROM st UNION ALL SELECT *, sid || '/1', 1, rt_y, rt_x FROM st)"""
+
+
+def _pairs(radius: float) -> str:
+    columns = ("sid", "side", "lf_y", "lf_x", "rt_y", "rt_x", "n_y", "n_x", "dev", "y", "x")
+    names = ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in columns)
+    return f"""pairs AS (SELECT a.imgid, {names} FROM ends a JOIN ends b ON a.imgid = b.imgid AND a.oid < b.oid
+        WHERE (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= {radius * radius!r})"""
+
+
+def _merged(variant: str, coincident: float, far: tuple[str, str] = ("b_side", "a_side")) -> str:
+    pick = lambda s, side, c: f"CASE WHEN {side} = 0 THEN {s}_lf_{c} ELSE {s}_rt_{c} END"
+    power = 1 if variant == "sf" else 2
+    return f"""
+        fa AS (SELECT *, {pick("a", far[0], "y")} AS lf_y, {pick("a", far[0], "x")} AS lf_x, {pick("b", far[1], "y")} AS rt_y, {pick("b", far[1], "x")} AS rt_x,
+                   (a_y + b_y) / 2 AS t_y, (a_x + b_x) / 2 AS t_x, (a_n_y + b_n_y) / 2 AS m_y, (a_n_x + b_n_x) / 2 AS m_x FROM pairs),
+        le AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, sqrt(m_y ** 2 + m_x ** 2) AS m FROM fa),
+        no AS (SELECT *, (rt_x - lf_x) / length AS c_y, -(rt_y - lf_y) / length AS c_x FROM le WHERE length > {coincident!r}),
+        ne AS (SELECT *, CASE WHEN m > 0 AND sqrt((m_y / m - c_y) ** 2 + (m_x / m - c_x) ** 2) < sqrt(2) THEN 1 ELSE -1 END AS keep FROM no WHERE m > 0 OR m = 0),
+        mg AS (SELECT imgid, a_sid, a_side, b_sid, b_side, lf_y, lf_x, rt_y, rt_x, keep * c_y AS n_y, keep * c_x AS n_x,
+                   ((rt_x - lf_x) * (lf_y - t_y) - (lf_x - t_x) * (rt_y - lf_y)) / length ** {power} AS dev,
+                   a_dev / (b_dev + 1e-3) + sqrt((a_lf_y - a_rt_y) ** 2 + (a_lf_x - a_rt_x) ** 2) / (sqrt((b_lf_y - b_rt_y) ** 2 + (b_lf_x - b_rt_x) ** 2) + 1e-3)
+                       + sqrt((a_n_y - b_n_y) ** 2 + (a_n_x - b_n_x) ** 2) AS score FROM ne)"""
+
+
+_OUT = "SELECT a_sid, a_side, b_sid, b_side, lf_y, lf_x, rt_y, rt_x, round(n_y, 5) + 0.0 AS n_y, round(n_x, 5) + 0.0 AS n_x, round(dev, 5) + 0.0 AS dev FROM mg"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    fine = [(F.round(c, 5) + 0.0).alias(c) for c in ("n_y", "n_x", "dev")]
+    return df.select("a_sid", "a_side", "b_sid", "b_side", "lf_y", "lf_x", "rt_y", "rt_x", *fine)
+
+
+@_registered(query(_STRINGS, select="SELECT imgid, sid, lf_y, lf_x, rt_y, rt_x, round(n_y, 8) + 0.0 AS n_y, round(n_x, 8) + 0.0 AS n_x, dev FROM st"))
+def strings_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(string_table(spark, sf_dir), 8)
+
+
+@_registered(query(_STRINGS, _ENDS, _pairs(1.0), select="SELECT imgid, a_sid, a_side, b_sid, b_side FROM pairs"))
+def end_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strings.meetings(string_table(spark, sf_dir), 1.0).select("imgid", "a_sid", "a_side", "b_sid", "b_side")
+
+
+@_registered(query(_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1), select=_OUT))
+def merge_sf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(strings.merged(strings.meetings(string_table(spark, sf_dir), 1.0)))
+
+
+@_registered(query(_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1, ("1 - a_side", "1 - b_side")), select=_OUT))
+def merge_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(strings.merged(strings.meetings(string_table(spark, sf_dir), 1.0), corrected=True))
+
+
+@_registered(query(_STRINGS, _ENDS, _pairs(0.5), _merged("tree", 1e-3), select=_OUT + " WHERE a_sid <> b_sid"))
+def merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = strings.meetings(string_table(spark, sf_dir), 0.5)
+    return _shown(strings.merged(pairs.where("a_sid <> b_sid"), variant="tree"))
+
+
+@_registered(query(_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1), select="SELECT a_sid, a_side, b_sid, b_side, round(score, 5) AS score FROM mg"))
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strings.merged(strings.meetings(string_table(spark, sf_dir), 1.0)).withColumn("score", F.round(strings.similarity(), 5))
+    return found.select("a_sid", "a_side", "b_sid", "b_side", "score")
+
+
+@_registered(query(_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1), """
+    ch AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, -n_x * lf_y + n_y * lf_x <= -n_x * rt_y + n_y * rt_x AS first FROM mg WHERE dev <> 0 AND score > 1),
+    sm AS (SELECT a_sid || a_side || b_sid || b_side AS sid, k, CASE WHEN first THEN lf_y ELSE rt_y END - k / 9.0 * length * n_x + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_y AS y,
+               CASE WHEN first THEN lf_x ELSE rt_x END + k / 9.0 * length * n_y + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_x AS x FROM ch, range(10) t(k))""",
+    select="SELECT sid, CAST(k AS INTEGER) AS k, round(y, 4) + 0.0 AS y, round(x, 4) + 0.0 AS x FROM sm"))
+def spline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strings.merged(strings.meetings(string_table(spark, sf_dir), 1.0)).withColumn("score", strings.similarity())
+    chosen = found.where("dev <> 0 AND score > 1").withColumn("sid", F.concat("a_sid", "a_side", "b_sid", "b_side"))
+    return strings.spline_samples(chosen).select("sid", "k", (F.round("y", 4) + 0.0).alias("y"), (F.round("x", 4) + 0.0).alias("x"))
+
+
+@_registered()
+def find_string_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the tree; strings with their ancestors."""
+    found = strings.find_string_tree(string_table(spark, sf_dir), radii=(0.5, 0.6))
+    return found.select("imgid", "sid", F.size("ancestors").alias("n_ancestors"))
+
+
+@_registered()
+def find_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(strings.find_strings(string_table(spark, sf_dir), radii=(0.5,)))
+
+
+_LEVELS = """
+    g8 AS (SELECT s.imgid, s.y, s.x, CASE WHEN p.v > 0 THEN p.v ELSE 0 END AS v, round(s.dy, 6) AS dy, round(s.dx, 6) AS dx FROM so s JOIN px p ON p.oid = s.oid),
+    g4 AS (SELECT imgid, y // 2 AS y, x // 2 AS x, avg(v) AS v, round(avg(dy), 6) AS dy, round(avg(dx), 6) AS dx FROM g8 GROUP BY 1, 2, 3),
+    im AS (SELECT max(imgid) + 1 AS n FROM px),
+    nd AS (SELECT imgid, 4 AS level, imgid * 16 + y * 4 + x AS linid, imgid * 16 + y * 4 + x AS parent_linid, (y + 0.5) * 2 AS cy, (x + 0.5) * 2 AS cx, dy, dx, 2.0 AS size FROM g4 WHERE v > 0
+        UNION ALL SELECT imgid, 8, n * 16 + imgid * 64 + y * 8 + x, imgid * 16 + y // 2 * 4 + x // 2, y + 0.5, x + 0.5, dy, dx, 1.0 FROM g8, im WHERE v > 0),
+    no AS (SELECT imgid, level, linid, parent_linid, cy::DOUBLE AS cy, cx::DOUBLE AS cx, CASE WHEN dy <> 0 OR dx <> 0 THEN dy / sqrt(dy ** 2 + dx ** 2) END AS ny,
+        CASE WHEN dy <> 0 OR dx <> 0 THEN dx / sqrt(dy ** 2 + dx ** 2) END AS nx, size::DOUBLE AS size FROM nd)"""
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = canny.sobel(embedding_pixels(spark, sf_dir))
+    fine = pixels.select("imgid", "y", "x", F.greatest("v", F.lit(0.0)).alias("v"), F.round("dy", 6).alias("dy"), F.round("dx", 6).alias("dx"))
+    coarse = pyramid.area_resize(fine, 2, ("v", "dy", "dx")).withColumns({c: F.round(c, 6) for c in ("dy", "dx")})
+    images = pixels.agg(F.max("imgid")).first()[0] + 1
+    return pyramid.nodes([(8, fine), (4, coarse)], images)
+
+
+@_registered(query(PIXELS, _SOBEL, _LEVELS, select="SELECT imgid, level, linid, parent_linid, cy, cx, round(ny, 5) + 0.0 AS ny, round(nx, 5) + 0.0 AS nx, size FROM no"))
+def pyramid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).withColumns({c: F.round(c, 5) + 0.0 for c in ("ny", "nx")})
+
+
+@_registered(query(PIXELS, _SOBEL, _LEVELS, select="SELECT a.linid, a.parent_linid, b.cy - a.cy AS to_y, b.cx - a.cx AS to_x FROM no a LEFT JOIN no b ON b.linid = a.parent_linid"))
+def pyramid_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pyramid.with_parents(_nodes(spark, sf_dir)).select("linid", "parent_linid", "to_y", "to_x")
+
+
+@_registered(query(PIXELS, _SOBEL, _LEVELS, select="""
+    SELECT linid, round(cy + nx * size / 2, 5) + 0.0 AS lf_y, round(cx - ny * size / 2, 5) + 0.0 AS lf_x, round(cy - nx * size / 2, 5) + 0.0 AS rt_y, round(cx + ny * size / 2, 5) + 0.0 AS rt_x FROM no"""))
+def pyramid_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pyramid.chords(_nodes(spark, sf_dir)).select("linid", *[(F.round(c, 5) + 0.0).alias(c) for c in ("lf_y", "lf_x", "rt_y", "rt_x")])
+
+
+@_registered(query(PIXELS, """
+    ax AS (SELECT t, t * 7 / 11.0 AS s FROM range(12) r(t)), lo AS (SELECT t, s, least(floor(s), 6) AS i FROM ax),
+    tp AS (SELECT t, CAST(i AS BIGINT) AS i, 1 - (s - i) AS w FROM lo UNION ALL SELECT t, CAST(i AS BIGINT) + 1, s - i FROM lo)""",
+    select="SELECT imgid, a.t AS y, b.t AS x, round(sum(v * a.w * b.w), 5) + 0.0 AS v FROM px JOIN tp a ON a.i = px.y JOIN tp b ON b.i = px.x GROUP BY 1, 2, 3"))
+def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pyramid.bilinear_resize(embedding_pixels(spark, sf_dir), 8, 12)
+    return found.select("imgid", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
+
+
+@_registered(query(POINTS, select=f"SELECT imgid, oid FROM pt WHERE {selection.chance_sql(5, 0, 'oid', 0.05)}"))
+def equidistant_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir)[0].where(selection.chance(5, 0, F.col("oid"), 0.05)).select("imgid", "oid")
+
+
+def _round_sql(n: int) -> str:
+    return f"""
+        j{n} AS (SELECT b.lf AS oid, bool_or(NOT b.ok) AS fails, bool_or(b.ok) AS passes FROM nb b JOIN s{n - 1} p ON p.oid = b.lf AND p.active JOIN s{n - 1} q ON q.oid = b.rt AND q.active GROUP BY 1),
+        s{n} AS (SELECT s.imgid, s.oid, s.is_end, (s.active AND NOT coalesce(j.fails, false)) OR s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) OR s.is_end AS active,
+            s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) AS pinned FROM s{n - 1} s LEFT JOIN j{n} j ON j.oid = s.oid)"""
+
+
+_SELECT = f"""nb AS (SELECT lf, rt, d > 0.95 AND d < 1.05 AS ok FROM ed WHERE d <= 1.2 UNION ALL SELECT rt, lf, d > 0.95 AND d < 1.05 FROM ed WHERE d <= 1.2),
+    s0 AS (SELECT p.imgid, p.oid, en.oid IS NOT NULL AS is_end, en.oid IS NOT NULL OR {selection.chance_sql(5, 0, "p.oid", 0.5)} AS active, false AS pinned FROM pt p LEFT JOIN en ON en.oid = p.oid)"""
+
+
+@_registered(query(POINTS, edges(), DEGREES, ENDPOINTS, _SELECT, _round_sql(1), _round_sql(2), _round_sql(3), select="SELECT imgid, oid, active, pinned, is_end FROM s3"))
+def equidistant_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of the selection, without the last waking."""
+    found, links = graph(spark, sf_dir)
+    return selection.select_equidistant(found, endpoints(found, links), rounds=3, density=0.5, reactivate=False)
+
+
+@_registered(query(POINTS, edges(), select="""
+    SELECT e.lf, e.rt, (a.x + 0.5) * 25.0 AS x0, (a.y + 0.5) * 25.0 AS y0, (b.x + 0.5) * 25.0 AS x1, (b.y + 0.5) * 25.0 AS y1,
+        round(e.rt * 33554431 % 255 / 255.0, 6) AS r, round(e.rt * 32767 % 255 / 255.0, 6) AS g, round(e.rt * 2097151 % 255 / 255.0, 6) AS b
+    FROM ed e JOIN pt a ON a.oid = e.lf JOIN pt b ON b.oid = e.rt WHERE a.imgid = 3"""))
+def draw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(views.edge_segments(*graph(spark, sf_dir), 3))
+
+
+@_registered(query(POINTS, edges(), select="SELECT e.lf, e.rt, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM ed e JOIN pt a ON a.oid = e.lf JOIN pt b ON b.oid = e.rt"))
+def draw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.edge_vectors(*graph(spark, sf_dir))
+
+
+@_registered(query(POINTS, select="SELECT oid, x, y, round(imgid * 33554431 % 255 / 255.0, 6) AS r, round(imgid * 32767 % 255 / 255.0, 6) AS g, round(imgid * 2097151 % 255 / 255.0, 6) AS b FROM pt"))
+def draw_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(views.group_colours(graph(spark, sf_dir)[0], "imgid"))
+
+
+@_registered(query(_STRINGS, select="""
+    SELECT sid, lf_x * 25 AS x0, lf_y * 25 AS y0, rt_x * 25 AS x1, rt_y * 25 AS y1, (lf_x + rt_x) * 12.5 AS mx, (lf_y + rt_y) * 12.5 AS my, round(n_x, 8) + 0.0 AS nx, round(n_y, 8) + 0.0 AS ny FROM st"""))
+def draw_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(views.string_segments(string_table(spark, sf_dir)), 8)
+
+
+@_registered(query(PIXELS, _SOBEL, select="SELECT oid, x * 1.0::DOUBLE AS x, y * 1.0::DOUBLE AS y, round(degrees(atan2(round(dy, 6), round(dx, 6))), 4) + 0.0 AS degrees, 25.0::DOUBLE AS size FROM so"))
+def draw_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canny.sobel(embedding_pixels(spark, sf_dir)).withColumn("angle", F.atan2(F.round("dy", 6), F.round("dx", 6)))
+    drawn = views.keypoints(found.withColumns({c: F.col(c).cast("double") for c in ("x", "y")}))
+    return drawn.withColumn("degrees", F.round("degrees", 4) + 0.0)
+
+
+@_registered()
+def seg_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class scores of each image, from components' packed (y, x, v) through a small network of fixed weights."""
+    pixels = embedding_pixels(spark, sf_dir)
+    found, links = graph(spark, sf_dir)
+    packed = pooling.stack_bind(components(found, links), ["y", "x", "v"], 24).select("imgid", F.col("packed").alias("x"))
+    scores = segnet.forward(packed, pixels.select("imgid").distinct(), segnet.weights((24, 8, 16), classes=10))
+    return scores.select("imgid", F.posexplode("x").alias("class", "score")).withColumn("score", F.round("score", 6))
