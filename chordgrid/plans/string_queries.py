@@ -143,7 +143,7 @@ def find_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEVELS = """
     g8 AS (SELECT s.imgid, s.y, s.x, CASE WHEN p.v > 0 THEN p.v ELSE 0 END AS v, round(s.dy, 6) AS dy, round(s.dx, 6) AS dx FROM so s JOIN px p ON p.oid = s.oid),
-    g4 AS (SELECT imgid, y // 2 AS y, x // 2 AS x, avg(v) AS v, round(avg(dy), 6) AS dy, round(avg(dx), 6) AS dx FROM g8 GROUP BY 1, 2, 3),
+    g4 AS (SELECT imgid, y // 2 AS y, x // 2 AS x, avg(v) AS v, round(avg(dy), 8) AS dy, round(avg(dx), 8) AS dx FROM g8 GROUP BY 1, 2, 3),
     im AS (SELECT max(imgid) + 1 AS n FROM px),
     nd AS (SELECT imgid, 4 AS level, imgid * 16 + y * 4 + x AS linid, imgid * 16 + y * 4 + x AS parent_linid, (y + 0.5) * 2 AS cy, (x + 0.5) * 2 AS cx, dy, dx, 2.0 AS size FROM g4 WHERE v > 0
         UNION ALL SELECT imgid, 8, n * 16 + imgid * 64 + y * 8 + x, imgid * 16 + y // 2 * 4 + x // 2, y + 0.5, x + 0.5, dy, dx, 1.0 FROM g8, im WHERE v > 0),
@@ -154,7 +154,7 @@ _LEVELS = """
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = canny.sobel(embedding_pixels(spark, sf_dir))
     fine = pixels.select("imgid", "y", "x", F.greatest("v", F.lit(0.0)).alias("v"), F.round("dy", 6).alias("dy"), F.round("dx", 6).alias("dx"))
-    coarse = pyramid.area_resize(fine, 2, ("v", "dy", "dx")).withColumns({c: F.round(c, 6) for c in ("dy", "dx")})
+    coarse = pyramid.area_resize(fine, 2, ("v", "dy", "dx")).withColumns({c: F.round(c, 8) for c in ("dy", "dx")})
     images = pixels.agg(F.max("imgid")).first()[0] + 1
     return pyramid.nodes([(8, fine), (4, coarse)], images)
 
