@@ -78,8 +78,8 @@ class WordEncoder:
     def _in_parts(self, word: bytes) -> bytes | None:
         letters = word.rstrip(_MARKS)
         marks = word[len(letters) :]
-        if not letters or b"<|" in word:
-            return None
+        if not (letters.isalpha() or letters.decode("utf-8", "replace").isalpha()):
+            return None  # the boundary is safe after a letter only
         letters = letters.lower()
         first = self.ids.get(letters)
         if first is None:
