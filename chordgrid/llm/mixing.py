@@ -17,11 +17,10 @@ from chordgrid.llm.common import BLANKS, stored
 
 #: Parts in which a source's line, and the schedule, are summed.
 PARTS = 1024
-_BEFORE = Window.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _earlier(value: str, *by: str, within: list[str] | None = None) -> Column:
-    window = _BEFORE.orderBy(*by)
+    window = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(window.partitionBy(*within) if within else window), F.lit(0))
 
 
@@ -129,19 +128,21 @@ def taken_words(documents: DataFrame, taken: DataFrame) -> DataFrame:
     return documents.join(words, "rid", "left").withColumn("taken", F.coalesce("words", F.lit(0)).cast("long")).drop("words")
 
 
-def mixed_rows(documents: DataFrame, taken: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The mix as rows of the carried columns: one for each document and pass, its text cut to the words taken.
+def mixed_rows(df: DataFrame, documents: DataFrame, taken: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The mix as rows of ``df``: one for each document and pass, its text cut to the words taken.
 
     A document taken whole keeps its text as it is; of a part the words are joined by single spaces, and ``n_chars``,
-    where carried, counts the new text.
+    where ``df`` has it, counts the new text. Only here do texts move, met by the numbers that their scan gives them.
     """
-    words = F.filter(F.split(f"row.{text}", BLANKS), lambda w: w != "")
-    part = F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")), " ")
-    whole = (F.col("from") == 0) & (F.col("to") == F.col("size"))
-    out = documents.join(taken, "rid").withColumn("piece", F.when(whole, F.col(f"row.{text}")).otherwise(part))
-    names = documents.schema["row"].dataType.names
-    columns = {name: F.col(f"row.`{name}`") for name in names}
-    columns[text] = F.col("piece")
+    pieces = taken.join(documents.select("rid", "size"), "rid")
+    pieces = pieces.select(F.col("rid").alias("__rid"), F.col("from").alias("__from"), F.col("to").alias("__to"), F.col("size").alias("__size"))
+    met = df.withColumn("__rid", F.monotonically_increasing_id()).join(pieces, "__rid")
+    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int")), " ")
+    whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
+    met = met.withColumn("__piece", F.when(whole, F.col(text)).otherwise(part))
+    columns = {name: F.col(f"`{name}`") for name in df.columns}
+    columns[text] = F.col("__piece")
     if n_chars in columns:
-        columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length("piece").cast("long"))
-    return out.select(*[column.alias(name) for name, column in columns.items()])
+        columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length("__piece").cast("long"))
+    return met.select(*[column.alias(name) for name, column in columns.items()])
