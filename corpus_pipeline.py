@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = F.regexp_count(text_of("text"), F.lit(WORD))
-    return mixing.mixed_rows(*mixing.mix(docs, size=words, carry=docs.columns))
+    return mixing.mixed_rows(docs, *mixing.mix(docs, size=words, carry=["doc_id"]))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
