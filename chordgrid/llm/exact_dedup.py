@@ -52,14 +52,8 @@ def index(records: DataFrame, text: str, bucket_rows: int) -> DataFrame:
     return stored(entries.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h"), "hash-index")
 
 
-def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
-    """``row`` (all columns of ``df`` as a struct), keep_id, group_size, kept, text_sha256 for each row of ``df``.
-
-    Texts are equal when they are the same bytes after each run of blanks became one space; null counts as empty. The
-    row with the smallest doc_id of its group stays. Of rows that repeat that doc_id and text exactly one stays. A
-    null doc_id counts as larger than any other; if a whole group has none, keep_id is null and one row stays. Columns of
-    ``df`` stay inside ``row``, so their names can't clash. An empty table gives an empty result.
-    """
+def _marked(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The stored records, and each with its verdict."""
     norm = normalised(text)
     records = stored(
         df.select(
@@ -81,19 +75,32 @@ def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bu
     )
     same = (F.col("h") == F.col("rh")) & (F.col("sha") == F.col("rsha")) & F.col("id").eqNullSafe(F.col("r_id"))
     keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return (
+    marked = (
         records.join(groups, ["h", "sha"], "left")
         .join(repeats, same, "left")
         .select(
-            "row",
+            "rid", "row",
             keep_id.alias("keep_id"),
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             (F.col("id").eqNullSafe(keep_id) & (F.col("rid") == F.coalesce("first_rid", "rid"))).alias("kept"),
             F.col("sha").alias("text_sha256"),
         )
     )
+    return records, marked
+
+
+def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
+    """``row`` (all columns of ``df`` as a struct), keep_id, group_size, kept, text_sha256 for each row of ``df``.
+
+    Texts are equal when they are the same bytes after each run of blanks became one space; null counts as empty. The
+    row with the smallest doc_id of its group stays. Of rows that repeat that doc_id and text exactly one stays. A
+    null doc_id counts as larger than any other; if a whole group has none, keep_id is null and one row stays. Columns of
+    ``df`` stay inside ``row``, so their names can't clash. An empty table gives an empty result.
+    """
+    return _marked(df, doc_id, text, bucket_rows)[1].drop("rid")
 
 
-def drop_copies(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that stay, with its columns."""
-    return mark_copies(df, **options).where("kept").select("row.*")
+def drop_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
+    """The rows of ``df`` that stay, with its columns. Verdicts are found without the rows, which move once."""
+    records, marked = _marked(df, doc_id, text, bucket_rows)
+    return records.join(marked.where(~F.col("kept")).select("rid"), "rid", "left_anti").select("row.*")
