@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chordgrid.operators.components import roots
+from chordgrid.operators.storage import stored
 
 
 @dataclass(frozen=True)
@@ -38,11 +40,15 @@ class UnionFind:
         return UnionFind(grown.elements, self.links.unionByName(pairs.select("x", "y")))
 
     def labelled(self) -> DataFrame:
-        """(x, idx, root): the root is the least index of the set."""
+        """(x, idx, root): the root is the least index of the set. Found once for each forest."""
+        return self._labels
+
+    @cached_property
+    def _labels(self) -> DataFrame:
         at = self.elements
         a, b = at.select("x", F.col("idx").alias("lf")), at.select(F.col("x").alias("y"), F.col("idx").alias("rt"))
         found = roots(self.links.join(a, "x").join(b, "y").select("lf", "rt"))
-        return at.join(found.withColumnRenamed("node", "idx"), "idx", "left").select("x", "idx", F.coalesce("root", "idx").alias("root"))
+        return stored(at.join(found.withColumnRenamed("node", "idx"), "idx", "left").select("x", "idx", F.coalesce("root", "idx").alias("root")), "forest")
 
     def find(self, x: int) -> int:
         row = self.labelled().where(F.col("x") == x).first()
