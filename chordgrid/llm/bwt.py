@@ -42,34 +42,29 @@ def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return before[order]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each suffix in merged order, and the number of its interval of suffixes that share ``depth`` symbols.
+def merge(transforms: list[np.ndarray], depth: int, drop_every: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that share their first ``depth`` symbols with another, in merged order, and the numbers of their intervals.
 
-    Each round puts before every suffix the symbol that its shard's transform has for it, and sorts by that symbol
-    alone, keeping the order of the round before: after h rounds the interleaving is right for h symbols, and adjacent
-    suffixes share h symbols where no round parted them. No suffix is looked at again.
+    A suffix is its place in the transforms laid end to end. Each round puts before every suffix the symbol that its
+    shard's transform has for it, and sorts by that symbol alone, keeping the order of the round before: after h rounds
+    the interleaving is right for h symbols, and adjacent suffixes share h symbols where no round parted them. A
+    suffix alone in its interval stays alone whatever comes before it, so it leaves the interleaving.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int16), [len(t) for t in transforms])
-    interval = np.zeros(len(shard), np.int32)
-    starts = np.cumsum([0, *(len(t) for t in transforms[:-1])])
     symbols = np.concatenate(transforms)
-    for _ in range(depth):
-        at = np.empty(len(shard), np.int64)
-        by_shard = np.argsort(shard, kind="stable")  # the r-th suffix of a shard in this order has the shard's r-th symbol
-        at[by_shard] = np.arange(len(shard))
+    step = np.empty(len(symbols), np.int64)  # from a suffix to the one that has one symbol more before it
+    start = 0
+    for own in transforms:
+        step[start + np.argsort(own, kind="stable")] = start + np.arange(len(own))
+        start += len(own)
+    at, interval = np.arange(len(symbols)), np.zeros(len(symbols), np.int32)
+    for n in range(1, depth + 1):
         symbol = symbols[at]
         order = np.argsort(symbol, kind="stable")
-        shard, interval, symbol = shard[order], interval[order], symbol[order]
-        parted = np.ones(len(shard), bool)
-        parted[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]) | (symbol[1:] == 0)
-        fresh = np.cumsum(parted, dtype=np.int32)
-        if fresh[-1] == len(fresh):  # every suffix is alone, further rounds change the interleaving only
-            interval = fresh
-            continue
-        interval = fresh
-    return shard, interval
-
-
-def ranks(shard: np.ndarray, shards: int) -> list[np.ndarray]:
-    """Where each shard's suffixes, in its own order, stand in the merged order."""
-    return [np.flatnonzero(shard == s) for s in range(shards)]
+        at, interval, symbol = step[at[order]], interval[order], symbol[order]
+        parted = np.ones(len(at) + 1, bool)
+        parted[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]) | (symbol[1:] == 0)
+        interval = np.cumsum(parted[:-1], dtype=np.int32)
+        if n % drop_every == 0 or n == depth:
+            shared = ~(parted[:-1] & parted[1:])
+            at, interval = at[shared], interval[shared]
+    return at, interval
