@@ -71,10 +71,12 @@ def runs(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield gram[place], content, first + base, count, place + base
 
 
-ROWS = "rid long, doc_id long, anchor long, content long, first int, windows int, place int"
+ROWS = "rid long, doc_id long, anchor long, content long, first int, windows int, place int, again boolean"
 
 
 def anchored(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """All runs. Those that repeat one of the same batch are marked and leave their anchor, so that copies don't pile up there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [field.split()[0] for field in ROWS.split(", ")]
         for batch in batches:
@@ -97,10 +99,15 @@ def anchored(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _batch(parts: list, names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-    columns = [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
-    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(k) for c, k in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    rid, doc, anchor, content, first, windows, place = (np.concatenate([p[i] for p in parts]) for i in range(7))
+    order = np.lexsort((first, rid, doc, content, anchor))
+    again = np.zeros(len(rid), bool)
+    again[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+    elsewhere = mixed(rid.astype(np.uint64) * _ODD[0] + first.astype(np.uint64))
+    anchor = np.where(again, elsewhere, anchor)
+    arrays = [pa.array(rid), pa.array(doc), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))]
+    arrays += [pa.array(c.astype(np.int32)) for c in (first, windows, place)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(again)], names=names)
 
 
 MET = "rid long, doc_id long, anchor long, first int, windows int, place int, open boolean"
@@ -110,7 +117,16 @@ def meetings(rows: DataFrame) -> DataFrame:
     """Runs that meet: those that repeat an earlier one's bytes (not open), and the first of each content where contents differ (open)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, doc, anchor, content, first, windows, place = _columns(batches, 7)
+        *columns, again = _columns(batches, 8)
+        again = again.astype(bool)
+        names = [field.split()[0] for field in MET.split(", ")]
+
+        def found(rows: list[np.ndarray], opened: np.ndarray) -> pa.RecordBatch:
+            arrays = [pa.array(c) for c in rows]
+            return pa.RecordBatch.from_arrays([*arrays[:3], *[a.cast(pa.int32()) for a in arrays[3:]], pa.array(opened)], names=names)
+
+        yield found([columns[i][again] for i in (0, 1, 2, 4, 5, 6)], np.zeros(int(again.sum()), bool))
+        rid, doc, anchor, content, first, windows, place = (c[~again] for c in columns)
         # only anchors that occur twice need an order
         order = np.argsort(anchor, kind="stable")
         bounds = _groups(anchor[order])
@@ -124,9 +140,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         group = np.cumsum(new_anchor) - 1
         contents = np.bincount(group, weights=fresh, minlength=1)[group] if n else np.zeros(0)
         keep = ~fresh | (contents > 1)
-        names = [field.split()[0] for field in MET.split(", ")]
-        arrays = [pa.array(c[keep]) for c in (rid, doc, anchor, first, windows, place)]
-        yield pa.RecordBatch.from_arrays([*arrays[:3], *[a.cast(pa.int32()) for a in arrays[3:]], pa.array(fresh[keep])], names=names)
+        yield found([c[keep] for c in (rid, doc, anchor, first, windows, place)], fresh[keep])
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "anchor")
     return dealt.mapInArrow(meet, MET)
@@ -155,10 +169,9 @@ def repeats_among(table: dict[str, np.ndarray], pieces: list[bytes]) -> np.ndarr
         owners.append(np.repeat(np.array(rows), lengths))
         places.append(np.concatenate([np.arange(n) for n in lengths]))
         orders.append(bwt.suffix_order(texts[-1], WINDOW))
-    shard, interval = bwt.merge([bwt.transform(t, o) for t, o in zip(texts, orders)], WINDOW)
-    owner, place = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64)
-    for s, at in enumerate(bwt.ranks(shard, shards)):
-        owner[at], place[at] = owners[s][orders[s]], places[s][orders[s]]
+    at, interval = bwt.merge([bwt.transform(t, o) for t, o in zip(texts, orders)], WINDOW)
+    owner = np.concatenate([own[order] for own, order in zip(owners, orders)])[at]
+    place = np.concatenate([own[order] for own, order in zip(places, orders)])[at]
     window = place < table["windows"][owner]  # a start that the run owns, with all its bytes before the end
     owner, place, interval = owner[window], place[window], interval[window]
     start = table["first"][owner] + place
