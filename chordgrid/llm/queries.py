@@ -69,7 +69,6 @@ QUERIES = {
     "op10_licences": op10_licences,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op6_repeated_spans": op6_repeated_spans,
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
