@@ -1,6 +1,6 @@
 """Exact deduplication by an extendible-hash index that lives in shared files. DataFrame functions only.
 
-Records go once to shared storage with their hash. The directory maps the leading bits of the hash to buckets: it
+Records go to shared storage as hashes and row numbers, without their texts. The directory maps the leading bits of the hash to buckets: it
 starts with one bucket and doubles while a bucket holds too many records, so a bucket is a range of hashes. The index
 entries of a bucket are made where its texts meet: equal hashes chain, and the texts themselves are compared as
 grouping keys, byte by byte. Groups are pre-aggregated before they move, so a text with a third of all rows moves as
@@ -36,12 +36,10 @@ def directory(records: DataFrame, n_rows: int, bucket_rows: int, max_depth: int
     return chosen.select("cell", start.alias("bucket"), "depth"), bits
 
 
-def index(records: DataFrame, text: str, bucket_rows: int) -> DataFrame:
+def index(texts: DataFrame, records: DataFrame, bucket_rows: int) -> DataFrame:
     """The stored index: one entry (bucket, depth, h, sha, keep_id, group_size) for each distinct text, by ranges of buckets."""
     cells, bits = directory(records, records.count(), bucket_rows)
-    keyed = records.select(
-        F.shiftrightunsigned("h", 64 - bits).alias("cell"), "h", normalised(f"row.{text}").alias("norm"), F.col("id")
-    )
+    keyed = texts.select(F.shiftrightunsigned("h", 64 - bits).alias("cell"), "h", "norm", "id")
     entries = (
         keyed.join(F.broadcast(cells), "cell")
         .groupBy("bucket", "depth", "h", "norm")
@@ -52,20 +50,13 @@ def index(records: DataFrame, text: str, bucket_rows: int) -> DataFrame:
     return stored(entries.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h"), "hash-index")
 
 
-def _marked(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The stored records, and each with its verdict."""
-    norm = normalised(text)
-    records = stored(
-        df.select(
-            F.monotonically_increasing_id().alias("rid"),
-            F.col(doc_id).cast("long").alias("id"),
-            F.xxhash64(norm).alias("h"),
-            F.sha2(norm, 256).alias("sha"),
-            F.struct("*").alias("row"),
-        ),
-        "records",
-    )
-    entries = index(records, text, bucket_rows)
+def verdicts(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> DataFrame:
+    """(rid, keep_id, group_size, kept, text_sha256) for each row, by its number in the scan; no texts."""
+    texts = df.select(
+        F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("id"), normalised(text).alias("norm")
+    ).withColumn("h", F.xxhash64("norm"))
+    records = stored(texts.select("rid", "id", "h", F.sha2("norm", 256).alias("sha")), "records")
+    entries = index(texts, records, bucket_rows)
     groups = entries.where("group_size > 1").select("h", "sha", "keep_id", "group_size")
     repeats = (
         records.groupBy("h", "sha", "id")
@@ -75,18 +66,17 @@ def _marked(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> tuple[Da
     )
     same = (F.col("h") == F.col("rh")) & (F.col("sha") == F.col("rsha")) & F.col("id").eqNullSafe(F.col("r_id"))
     keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    marked = (
+    return (
         records.join(groups, ["h", "sha"], "left")
         .join(repeats, same, "left")
         .select(
-            "rid", "row",
+            "rid",
             keep_id.alias("keep_id"),
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
             (F.col("id").eqNullSafe(keep_id) & (F.col("rid") == F.coalesce("first_rid", "rid"))).alias("kept"),
             F.col("sha").alias("text_sha256"),
         )
     )
-    return records, marked
 
 
 def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
@@ -95,12 +85,14 @@ def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bu
     Texts are equal when they are the same bytes after each run of blanks became one space; null counts as empty. The
     row with the smallest doc_id of its group stays. Of rows that repeat that doc_id and text exactly one stays. A
     null doc_id counts as larger than any other; if a whole group has none, keep_id is null and one row stays. Columns of
-    ``df`` stay inside ``row``, so their names can't clash. An empty table gives an empty result.
+    ``df`` stay inside ``row``, so their names can't clash. An empty table gives an empty result. ``df`` must read the
+    same rows in the same order each time, as a table does: rows are known by their numbers in its scan.
     """
-    return _marked(df, doc_id, text, bucket_rows)[1].drop("rid")
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
+    return rows.join(verdicts(df, doc_id, text, bucket_rows), "rid").drop("rid")
 
 
 def drop_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
     """The rows of ``df`` that stay, with its columns. Verdicts are found without the rows, which move once."""
-    records, marked = _marked(df, doc_id, text, bucket_rows)
-    return records.join(marked.where(~F.col("kept")).select("rid"), "rid", "left_anti").select("row.*")
+    dropped = verdicts(df, doc_id, text, bucket_rows).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
+    return df.withColumn("__rid", F.monotonically_increasing_id()).join(dropped, "__rid", "left_anti").drop("__rid")

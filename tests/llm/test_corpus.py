@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from chordgrid.llm import bwt, exact_dedup, mixing, ngram_join, repeated_spans, sharding, toxicity
+from chordgrid.llm import bwt, exact_dedup, mixing, ngram_join, queries, repeated_spans, sharding, toxicity
 from chordgrid.llm.common import WORD, text_of
 from chordgrid.llm.components import components
 from chordgrid.llm.count_tree import CountTree, enough
@@ -31,9 +32,20 @@ def test_exact_dedup(spark, docs, empty):
         assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
         assert not r.kept or r.doc_id == r.keep_id
     assert Counter(r.text_sha256 for r in got if r.kept) == Counter(dict.fromkeys(groups, 1))
+    assert sorted(map(key, exact_dedup.drop_copies(docs).collect())) == sorted(key(r) for r in got if r.kept)
     assert exact_dedup.drop_copies(docs).columns == docs.columns and exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_exact_dedup_equals_its_sql(spark):
+    assert all(isinstance(sql, str) and name in queries.QUERIES for name, sql in queries.ORACLE_SQL.items())
+    sf_dir = "/root/testdata/sf0.001"
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    columns = "doc_id, keep_id, group_size, kept, text_sha256"
+    twin = duckdb.execute(f"SELECT {columns} FROM ({queries.ORACLE_SQL['op7_exact_dedup']}) ORDER BY doc_id").fetchall()
+    got = queries.op7_exact_dedup(spark, sf_dir).select(columns.split(", ")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == twin
+
+
 def shingle_set(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return set(zip(words, words[1:], words[2:])) if len(words) > 2 else {tuple(words)} if words else set()
