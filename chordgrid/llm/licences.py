@@ -24,7 +24,7 @@ SENTENCES = {
     "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "apache2-short": "Licensed under the Apache License, Version 2.0.",
     "apache2-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "apache2-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-copy": "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0",
     "apache2-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache2-see": "See the License for the specific language governing permissions and limitations under the License.",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
@@ -102,48 +102,59 @@ def words_of(sentence: str) -> list[str]:
 
 
 class SentenceBook:
-    """Known sentences: those without free words by all their words, the others as patterns by their first word."""
+    """Known sentences: those without free words by all their words, the others as patterns by their first word.
+
+    A text is cut into passages at sentence ends. Some licence sentences hold such a cut themselves ("free software;
+    you can"), so a sentence may extend over as many passages as it has by itself, and no more.
+    """
 
     def __init__(self, sentences: dict[str, str]) -> None:
-        self.whole: dict[str, str] = {}
-        self.free: dict[str, list[tuple[re.Pattern, str]]] = {}
+        self.whole: dict[str, tuple[str, int]] = {}
+        self.free: dict[str, list[tuple[re.Pattern, str, int]]] = {}
+        self.reach: dict[str, int] = {}  # by first word, the most passages of a sentence
         self.longest = 0
         for name, sentence in sentences.items():
             words = words_of(sentence)
+            passages = sum(1 for passage in _SENTENCE_END.split(sentence) if words_of(passage))
             self.longest = max(self.longest, len(words) + _FREE_WORDS * words.count("<x>"))
+            self.reach[words[0]] = max(passages, self.reach.get(words[0], 0))
             if "<x>" in words:
                 gap = rf"\S+(?: \S+){{0,{_FREE_WORDS - 1}}}"
                 form = " ".join(gap if w == "<x>" else re.escape(w) for w in words)
-                self.free.setdefault(words[0], []).append((re.compile(form), name))
+                self.free.setdefault(words[0], []).append((re.compile(form), name, passages))
             else:
-                self.whole[" ".join(words)] = name
-        self.first = {key.split(" ", 1)[0] for key in self.whole} | set(self.free)
+                self.whole[" ".join(words)] = (name, passages)
 
-    def name(self, words: list[str]) -> str | None:
-        if not words or words[0] not in self.first or len(words) > self.longest:
+    def name(self, words: list[str], passages: int = 1) -> str | None:
+        if not words or words[0] not in self.reach or len(words) > self.longest:
             return None
         key = " ".join(words)
-        if key in self.whole:
-            return self.whole[key]
-        return next((name for form, name in self.free.get(words[0], ()) if form.fullmatch(key)), None)
+        if key in self.whole and passages <= self.whole[key][1]:
+            return self.whole[key][0]
+        return next((name for form, name, most in self.free.get(words[0], ()) if passages <= most and form.fullmatch(key)), None)
 
     def names(self, text: str) -> Iterator[tuple[str, int]]:
-        """(identifier, number of its sentence) in order. A sentence may begin and end at any line of its passage."""
-        for number, passage in enumerate(_SENTENCE_END.split(text)):
-            lines = [(line, m[1].lower()) for line in passage.split("\n") if (m := _FIRST.match(line))]
-            at = 0
-            while at < len(lines):
-                found, words = None, []
-                if lines[at][1] in self.first:
-                    for end in range(at, len(lines)):
-                        words = words + words_of(lines[end][0])
-                        if len(words) > self.longest:
-                            break
-                        if name := self.name(words):
-                            found = (name, end)  # the longest match counts
-                if found:
-                    yield found[0], number
-                at = found[1] + 1 if found else at + 1
+        """(identifier, number of its first passage) in order. A sentence may begin and end at any line of a passage."""
+        lines = [
+            (number, line, m[1].lower())
+            for number, passage in enumerate(_SENTENCE_END.split(text))
+            for line in passage.split("\n")
+            if (m := _FIRST.match(line))
+        ]
+        at = 0
+        while at < len(lines):
+            found, words, passages = None, [], 0
+            reach = self.reach.get(lines[at][2], 0)
+            for end in range(at, len(lines) if reach else at):
+                passages += end == at or lines[end][0] != lines[end - 1][0]
+                words = words + words_of(lines[end][1])
+                if passages > reach or len(words) > self.longest:
+                    break
+                if name := self.name(words, passages):
+                    found = (name, end)  # the longest match counts
+            if found:
+                yield found[0], lines[at][0]
+            at = found[1] + 1 if found else at + 1
 
 
 class RuleBook:

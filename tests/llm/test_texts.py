@@ -127,3 +127,16 @@ def test_licences(spark, docs, empty):
     wrapped = s["mit-grant"].replace("software and", "software\n# and") + "\n" + s["mit-notice"] + "\n" + s["mit-as-is"]
     assert rules.match([n for n, _ in book.names("MIT License\n\n" + wrapped)])[0] == ["MIT"]
     assert rules.match(["bsd-names"]) == ([], ["bsd-names"])
+
+
+def test_every_sentence_and_rule_is_found_in_its_own_text():
+    book, rules = licences.SentenceBook(licences.SENTENCES), licences.RuleBook(licences.RULES)
+    own = {name: sentence.replace("<x>", "the owner") for name, sentence in licences.SENTENCES.items()}
+    for name, sentence in own.items():
+        assert list(book.names(sentence)) == [(name, 0)]
+        assert [n for n, _ in book.names("Before.\n# " + sentence.replace(" ", "\n# ") + "\n\nAfter it.")] == [name]
+    for licence, form in licences.RULES:
+        for parts in (form.split(), [part for part in form.split() if not part.endswith("?")]):
+            text = "\n\n".join(own[part.rstrip("?")] for part in parts)
+            assert rules.match([n for n, _ in book.names(text)]) == ([licence], [])
+    assert [n for n, _ in book.names("Copyright 2020 the owner. All rights reserved.")] == ["copyright", "rights"]
