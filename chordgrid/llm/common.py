@@ -6,11 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space as every contract here means it: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column of row numbers.
+RID = "__rid"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +36,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether ``df`` is rows of Parquet files, each file once, that are at most filtered or projected by fixed expressions."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    files = list(plan.relation().location().inputFiles())
+    return len(set(files)) == len(files)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the column RID: the number of each row's file in order of paths, and the row's place in that file.
+
+    However later scans cut the files into partitions, each row keeps its number, so scans can be joined by it. What is
+    not a plain table is stored first. One row for each file is broadcast.
+    """
+    if RID in df.columns:
+        return df
+    if not is_table(df):
+        df = stored(df, "numbered")
+    path = F.col("_metadata.file_path").alias("__file")
+    number = (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__number")
+    files = stored(df.select(path).distinct().select("__file", number), "files")
+    own = df.select("*", path, F.col("_metadata.row_index").alias("__row")).join(F.broadcast(files), "__file")
+    return own.withColumn(RID, F.shiftleft("__number", 40) + F.col("__row")).drop("__file", "__number", "__row")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

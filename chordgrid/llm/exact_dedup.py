@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chordgrid.llm.common import BLANKS, shuffle_partitions, stored, text_of
+from chordgrid.llm.common import BLANKS, RID, numbered, shuffle_partitions, stored, text_of
 
 
 def normalised(text: str) -> Column:
@@ -51,9 +51,9 @@ def index(texts: DataFrame, records: DataFrame, bucket_rows: int) -> DataFrame:
 
 
 def verdicts(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> DataFrame:
-    """(rid, keep_id, group_size, kept, text_sha256) for each row, by its number in the scan; no texts."""
+    """(rid, keep_id, group_size, kept, text_sha256) for each row of a numbered ``df``; no texts."""
     texts = df.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("id"), normalised(text).alias("norm")
+        F.col(RID).alias("rid"), F.col(doc_id).cast("long").alias("id"), normalised(text).alias("norm")
     ).withColumn("h", F.xxhash64("norm"))
     records = stored(texts.select("rid", "id", "h", F.sha2("norm", 256).alias("sha")), "records")
     entries = index(texts, records, bucket_rows)
@@ -85,14 +85,15 @@ def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bu
     Texts are equal when they are the same bytes after each run of blanks became one space; null counts as empty. The
     row with the smallest doc_id of its group stays. Of rows that repeat that doc_id and text exactly one stays. A
     null doc_id counts as larger than any other; if a whole group has none, keep_id is null and one row stays. Columns of
-    ``df`` stay inside ``row``, so their names can't clash. An empty table gives an empty result. ``df`` must read the
-    same rows in the same order each time, as a table does: rows are known by their numbers in its scan.
+    ``df`` stay inside ``row``, so their names can't clash. An empty table gives an empty result.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
-    return rows.join(verdicts(df, doc_id, text, bucket_rows), "rid").drop("rid")
+    own = numbered(df)
+    rows = own.select(F.col(RID).alias("rid"), F.struct(*[f"`{name}`" for name in df.columns]).alias("row"))
+    return rows.join(verdicts(own, doc_id, text, bucket_rows), "rid").drop("rid")
 
 
 def drop_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
     """The rows of ``df`` that stay, with its columns. Verdicts are found without the rows, which move once."""
-    dropped = verdicts(df, doc_id, text, bucket_rows).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return df.withColumn("__rid", F.monotonically_increasing_id()).join(dropped, "__rid", "left_anti").drop("__rid")
+    own = numbered(df)
+    dropped = verdicts(own, doc_id, text, bucket_rows).where(~F.col("kept")).select(F.col("rid").alias(RID))
+    return own.join(dropped, RID, "left_anti").select(*[f"`{name}`" for name in df.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chordgrid.llm.common import BLANKS, stored
+from chordgrid.llm.common import BLANKS, RID, is_table, numbered, stored
 
 #: Parts in which a source's line, and the schedule, are summed.
 PARTS = 1024
@@ -101,8 +101,8 @@ def mix(
     reruns agree.
     """
     base = stored(
-        df.select(
-            F.monotonically_increasing_id().alias("rid"),
+        numbered(df).select(
+            F.col(RID).alias("rid"),
             F.struct(*carry).alias("row"),
             F.col(source).cast("string").alias("source"),
             size.cast("long").alias("size"),
@@ -132,16 +132,19 @@ def mixed_rows(df: DataFrame, documents: DataFrame, taken: DataFrame, text: str
     """The mix as rows of ``df``: one for each document and pass, its text cut to the words taken.
 
     A document taken whole keeps its text as it is; of a part the words are joined by single spaces, and ``n_chars``,
-    where ``df`` has it, counts the new text. Only here do texts move, met by the numbers that their scan gives them.
+    where ``df`` has it, counts the new text. Only here do texts move, met by their rows' numbers: ``df`` is
+    the table that was mixed, or what ``numbered`` returned and was mixed.
     """
+    if RID not in df.columns and not is_table(df):
+        raise ValueError("rows that are not a table must be numbered before they are mixed")
     pieces = taken.join(documents.select("rid", "size"), "rid")
-    pieces = pieces.select(F.col("rid").alias("__rid"), F.col("from").alias("__from"), F.col("to").alias("__to"), F.col("size").alias("__size"))
-    met = df.withColumn("__rid", F.monotonically_increasing_id()).join(pieces, "__rid")
+    pieces = pieces.select(F.col("rid").alias(RID), F.col("from").alias("__from"), F.col("to").alias("__to"), F.col("size").alias("__size"))
+    met = numbered(df).join(pieces, RID)
     words = F.filter(F.split(text, BLANKS), lambda w: w != "")
     part = F.array_join(F.slice(words, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int")), " ")
     whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
     met = met.withColumn("__piece", F.when(whole, F.col(text)).otherwise(part))
-    columns = {name: F.col(f"`{name}`") for name in df.columns}
+    columns = {name: F.col(f"`{name}`") for name in df.columns if name != RID}
     columns[text] = F.col("__piece")
     if n_chars in columns:
         columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length("__piece").cast("long"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chordgrid.llm.common import shuffle_partitions, stored, text_of
+from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
 from chordgrid.llm.components import components
 from chordgrid.llm.count_tree import CountTree, enough
 from chordgrid.llm.shingles import WordHashes, mixed
@@ -95,7 +95,7 @@ def shingled(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
-    source = df.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    source = df.select(F.col(RID).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     return source.mapInArrow(run, ROWS)
 
 
@@ -232,7 +232,7 @@ def shingle_sets(df: DataFrame, rows: DataFrame, met: DataFrame, text: str, widt
 
     active = met.select("node").distinct()
     chosen = rows.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid")).join(active, "node", "left_semi")
-    texts = df.select(F.monotonically_increasing_id().alias("rid"), text_of(text).cast("binary").alias("text"))
+    texts = df.select(F.col(RID).alias("rid"), text_of(text).cast("binary").alias("text"))
     return texts.join(chosen, "rid").select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
@@ -240,12 +240,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """rid, doc_id, n_shingles, component_id, first for each row of ``df``.
 
     component_id is the smallest doc_id that links reach; first is true for one row of each component, one with that
-    doc_id. rid is the row's number in its scan, so ``df`` must read the same rows in the same order each time, as a
-    table does. A null, empty or blank text has no shingles, is linked with nothing and is its own component; texts of
+    doc_id. rid is the row's number in its table (``numbered``). A null, empty or blank text has no shingles, is linked with nothing and is its own component; texts of
     fewer than ``width`` words are one shingle; very long texts are read whole; repeated rows and equal sets are linked;
     null doc_ids count as larger than any other, and a component of them alone has a null component_id. Other columns are
     not read; an empty table gives an empty result. Sets are identified by a 64-bit hash of all their shingles.
     """
+    df = numbered(df)
     rows = stored(shingled(df, doc_id, text, width), "ngram-rows")
     met = stored(meetings(rows), "ngram-meetings")
     sets = stored(shingle_sets(df, rows, met, text, width), "ngram-sets")
@@ -271,5 +271,6 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
     """One row of each component, with the columns of ``df``."""
-    kept = near_duplicates(df, **options).where("first").select(F.col("rid").alias("__rid"))
-    return df.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid").drop("__rid")
+    own = numbered(df)
+    kept = near_duplicates(own, **options).where("first").select(F.col("rid").alias(RID))
+    return own.join(kept, RID).select(*[f"`{name}`" for name in df.columns])

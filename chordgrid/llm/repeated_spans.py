@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chordgrid.llm import bwt
-from chordgrid.llm.common import shuffle_partitions, stored, text_of
+from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
 from chordgrid.llm.ngram_join import _columns, _groups, _runs
 from chordgrid.llm.shingles import mixed
 
@@ -94,7 +94,7 @@ def anchored(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     # a null doc_id counts as larger than any other
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    source = df.select(F.monotonically_increasing_id().alias("rid"), key.alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    source = df.select(F.col(RID).alias("rid"), key.alias("doc_id"), text_of(text).cast("binary").alias("text"))
     return source.mapInArrow(run, ROWS)
 
 
@@ -149,7 +149,7 @@ def meetings(rows: DataFrame) -> DataFrame:
 def snippets(df: DataFrame, met: DataFrame, text: str) -> DataFrame:
     """The open runs with their bytes."""
     wanted = met.where("open").groupBy("rid").agg(F.collect_list(F.struct("anchor", "doc_id", "first", "windows")).alias("wanted"))
-    texts = df.select(F.monotonically_increasing_id().alias("rid"), text_of(text).cast("binary").alias("text"))
+    texts = df.select(F.col(RID).alias("rid"), text_of(text).cast("binary").alias("text"))
     found = texts.join(wanted, "rid").select("rid", "text", F.explode("wanted").alias("w"))
     return found.select("w.anchor", "rid", "w.doc_id", "w.first", "w.windows", F.expr(f"substring(text, w.first + 1, w.windows + {WINDOW - 1})").alias("bytes"))
 
@@ -220,11 +220,12 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """rid, doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256, spans for each row of ``df``.
 
     Null and empty texts, and those under 100 bytes, lose nothing. Earlier means a smaller doc_id (null counts as the
-    largest), of equal doc_ids the row that is read first, in one text the earlier start; repeated rows are documents of
+    largest), of equal doc_ids the row that stands first in the table, in one text the earlier start; repeated rows are documents of
     their own. Very long texts are read whole, in chunks of windows. Other columns are not read; an empty table gives an
-    empty result. ``df`` must read the same rows in the same order each time, as a table does. Runs count as equal when
+    empty result. Runs count as equal when
     two 64-bit hashes agree.
     """
+    df = numbered(df)
     met = stored(meetings(anchored(df, doc_id, text)), "spans-met")
     again = merged_repeats(snippets(df, met, text))
     gone = again.unionByName(met.where("not open").select("rid", "first", "windows"))
@@ -250,5 +251,5 @@ def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
-    texts = df.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
+    texts = df.select(F.col(RID).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     return texts.join(gone, "rid", "left").select("rid", "doc_id", "text", "gone").mapInArrow(cut, OUT)

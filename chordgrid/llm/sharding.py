@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chordgrid.llm.common import shuffle_partitions
+from chordgrid.llm.common import RID, numbered, shuffle_partitions
 
 
-def offsets(numbered: DataFrame) -> DataFrame:
+def offsets(dealt: DataFrame) -> DataFrame:
     """(bucket, offset): the number of records in the buckets before it, summed in two levels."""
-    counts = numbered.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("range", F.expr("bucket div 1024"))
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("range", F.expr("bucket div 1024"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     ranges = counts.groupBy("range").agg(F.sum("n").alias("range_n"))
     ranges = ranges.select("range", F.coalesce(F.sum("range_n").over(before.orderBy("range")), F.lit(0)).alias("range_offset"))
@@ -27,19 +27,18 @@ def offsets(numbered: DataFrame) -> DataFrame:
 def shard(df: DataFrame, size: Column, *, shards: int = 16, seed: int = 7, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct) with size, shard and slot: all rows in random order, cut in equal runs.
 
-    The law is `rows`: shard sizes in rows differ by one at most, and slots count from 0 without gaps. ``df`` must read
-    the same rows in the same order each time, as a table does, since it is read twice; its record numbers are the
-    scan's. Null, empty and very long texts are only sizes here; ties and repeated rows are records of their own; columns
+    The law is `rows`: shard sizes in rows differ by one at most, and slots count from 0 without gaps. ``df`` is read
+    twice; its record numbers are the table's (``numbered``). Null, empty and very long texts are only sizes here; ties and repeated rows are records of their own; columns
     stay inside ``row``; an empty table gives an empty result, and fewer rows than shards leave the last shards empty.
     """
-    sized = df.select(F.struct("*").alias("row"), size.cast("long").alias("size"))
+    row = F.struct(*[f"`{name}`" for name in df.columns]).alias("row")
+    sized = numbered(df).select(F.col(RID).alias("rid"), row, size.cast("long").alias("size"))
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(shuffle_partitions(df.sparkSession), -(-total // bucket_bytes))
-    rid = F.monotonically_increasing_id()
-    numbered = sized.withColumn("rid", rid).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(buckets)))
-    mixed = numbered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rid", "size", "row"))).alias("records"))
+    dealt = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(buckets)))
+    mixed = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rid", "size", "row"))).alias("records"))
     mixed = mixed.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("pos", "record"))
-    placed = mixed.join(offsets(numbered), "bucket").withColumn("place", F.col("offset") + F.col("pos"))
+    placed = mixed.join(offsets(dealt), "bucket").withColumn("place", F.col("offset") + F.col("pos"))
     least, longer = n // shards, n % shards
     cut = longer * (least + 1)
     shard_of = f"if(place < {cut}L, place div {least + 1}, {longer} + (place - {cut}L) div {max(1, least)})"

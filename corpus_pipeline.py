@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chordgrid.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from chordgrid.llm.common import WORD, documents, stored, text_of
+from chordgrid.llm.common import WORD, documents, numbered, stored, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
 
 
@@ -23,6 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = numbered(docs)
     words = F.regexp_count(text_of("text"), F.lit(WORD))
     return mixing.mixed_rows(docs, *mixing.mix(docs, size=words, carry=["doc_id"]))
 

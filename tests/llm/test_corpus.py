@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chordgrid.llm import bwt, exact_dedup, mixing, ngram_join, queries, repeated_spans, sharding, toxicity
-from chordgrid.llm.common import WORD, text_of
+from chordgrid.llm.common import RID, WORD, numbered, text_of
 from chordgrid.llm.components import components
 from chordgrid.llm.count_tree import CountTree, enough
 
@@ -221,3 +221,36 @@ def test_toxicity(spark, docs, empty):
     none = toxicity.score(docs, known.limit(0)).collect()
     assert len(none) == docs.count() and not any(r.predicted for r in none)
     assert toxicity.score(empty, known).count() == 0
+
+
+def test_rows_keep_their_numbers_however_scans_are_cut(spark, docs):
+    words = F.regexp_count(text_of("text"), F.lit(WORD))
+
+    def results():
+        return [
+            exact_dedup.mark_copies(docs).select("row.doc_id", "keep_id", "group_size", "kept"),
+            exact_dedup.drop_copies(docs).select("doc_id", "text"),
+            ngram_join.drop_near_duplicates(docs).select("doc_id", "text"),
+            repeated_spans.remove_repeats(docs).select("doc_id", "n_removed", "kept_sha256"),
+            mixing.mixed_rows(docs, *mixing.mix(docs, size=words, carry=["doc_id"], block=8)).select("doc_id", "text"),
+            numbered(docs).select(RID, "doc_id"),
+        ]
+
+    want = [sorted(map(str, df.collect())) for df in results()]
+    planned = results()
+    cuts = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    try:
+        for name, value in cuts.items():
+            spark.conf.set(name, value)
+        assert docs.select("doc_id").rdd.getNumPartitions() == 1
+        assert [sorted(map(str, df.collect())) for df in planned] == want
+    finally:
+        for name in cuts:
+            spark.conf.unset(name)
+
+
+def test_what_is_no_table_is_stored_before_it_is_numbered(spark, docs):
+    for rows in (docs.union(docs), docs.withColumn("x", F.rand()), spark.range(20), docs.select(F.explode(F.sequence(F.lit(1), F.lit(3))))):
+        own = numbered(rows)
+        assert own.select(RID).distinct().count() == own.count() == rows.count()
+        assert sorted(map(str, own.collect())) == sorted(map(str, own.collect()))
