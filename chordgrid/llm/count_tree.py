@@ -9,11 +9,13 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 16
+#: Pairs of boxes that are opened at a time.
+STEP = 64
 
 
-def enough(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether an overlap can reach 90 of 100 of the union of sets whose sizes add up to ``sizes``."""
-    return 190 * overlap >= 90 * sizes
+def enough(overlap: np.ndarray, sizes: np.ndarray, similarity: int = 90) -> np.ndarray:
+    """Whether an overlap can reach ``similarity`` of 100 of the union of sets whose sizes add up to ``sizes``."""
+    return (100 + similarity) * overlap >= similarity * sizes
 
 
 class CountTree:
@@ -29,24 +31,22 @@ class CountTree:
             least.append(np.minimum.reduceat(least[-1], starts))
         self.tops, self.least = tops, least  # by level, points first
 
-    def pairs(self, other: CountTree) -> np.ndarray:
+    def pairs(self, other: CountTree, similarity: int = 90) -> np.ndarray:
         """(i, j) rows: positions of points of this and the other tree whose bound is enough; with itself each pair twice."""
         levels = max(len(self.tops), len(other.tops))
         a = b = np.zeros(1, np.int64)
-        found = []
         for level in range(levels - 1, -1, -1):
-            if level < levels - 1:
-                a, b = self._children(a, b, level, other)
-            keep = []
+            kept = []
             la, lb = min(level, len(self.tops) - 1), min(level, len(other.tops) - 1)
-            for start in range(0, len(a), 8192):
-                x, y = a[start : start + 8192], b[start : start + 8192]
+            for start in range(0, len(a), STEP):
+                x, y = a[start : start + STEP], b[start : start + STEP]
+                if level < levels - 1:
+                    x, y = self._children(x, y, level, other)
                 overlap = np.minimum(self.tops[la][x], other.tops[lb][y]).sum(axis=1)
-                keep.append(enough(overlap, self.least[la][x] + other.least[lb][y]))
-            kept = np.concatenate(keep) if keep else np.zeros(0, bool)
-            a, b = a[kept], b[kept]
-        found = np.stack((self.order[a], other.order[b]), axis=1)
-        return found
+                keep = enough(overlap, self.least[la][x] + other.least[lb][y], similarity)
+                kept.append((x[keep], y[keep]))
+            a, b = (np.concatenate([k[i] for k in kept]) if kept else np.zeros(0, np.int64) for i in (0, 1))
+        return np.stack((self.order[a], other.order[b]), axis=1)
 
     def _children(self, a: np.ndarray, b: np.ndarray, level: int, other: CountTree) -> tuple[np.ndarray, np.ndarray]:
         def spread(box: np.ndarray, tree: CountTree) -> tuple[np.ndarray, np.ndarray]:

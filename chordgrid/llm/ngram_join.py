@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: which documents' sets of word shingles overlap by 90 of 100, and the groups that links make.
+"""N-gram Jaccard join: which documents' sets of word shingles overlap by 90 of 100 or another share, and the groups that links make.
 
 Every link is found. Equal sets are one node. Two linked sets differ in few shingles, so when shingles are hashed into
 one group more than that, the sets agree on a whole group: a signature is such a group's content, and sets meet where
@@ -23,8 +23,8 @@ from chordgrid.llm.components import components
 from chordgrid.llm.count_tree import CountTree, enough
 from chordgrid.llm.shingles import WordHashes, mixed
 
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point; more under 90 of 100, where the bound on overlaps needs them to tell large sets apart.
+GROUPS, MORE_GROUPS = 32, 128
 #: Groups beyond the least number: a set with so many empty groups or fewer needs no signature for those.
 SPARE = 2
 #: Sets at one meeting place that one task compares with as many others.
@@ -42,16 +42,16 @@ def _classes() -> list[int]:
 CLASSES = _classes()
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """Signatures of a set: those of its class, and of the next if a linked set may lie there."""
+def signatures(shingles: np.ndarray, similarity: int = 90) -> np.ndarray:
+    """Signatures of a set: those of its class, and of the next ones if a linked set may lie there."""
     size = len(shingles)
     own = bisect_right(CLASSES, size) - 1
     out = []
-    for level in (own, own + 1):
-        if level > own and 10 * size < 9 * CLASSES[level]:
+    for level in range(own, len(CLASSES) - 1):
+        if level > own and 100 * size < similarity * CLASSES[level]:
             break
         most = CLASSES[level + 1] - 1
-        differ = 2 * most // 19
+        differ = 2 * most * (100 - similarity) // (100 + similarity)
         if not differ:  # sets this small are linked only if equal
             continue
         n = np.uint64(differ + 1 + SPARE)
@@ -64,14 +64,18 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def points(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def points(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def _coordinates(similarity: int) -> int:
+    return GROUPS if similarity >= 90 else MORE_GROUPS
 
 
 ROWS = "rid long, doc_id long, n_shingles long, node long, point binary, signatures array<long>"
 
 
-def shingled(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+def shingled(df: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
     """Each row's set: its size, its node (a hash of the whole set; null for none), and, once a task, point and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +94,8 @@ def shingled(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 nodes.append(node)
                 first = node not in seen
                 seen.add(node)
-                places.append(points(shingles).tobytes() if first else None)
-                signs.append(signatures(shingles).astype(np.int64) if first else None)
+                places.append(points(shingles, _coordinates(similarity)).tobytes() if first else None)
+                signs.append(signatures(shingles, similarity).astype(np.int64) if first else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
@@ -147,7 +151,7 @@ def stars(met: DataFrame) -> DataFrame:
     return weighted.repartition(shuffle_partitions(met.sparkSession), "signature").mapInArrow(centre, "a long, b long").distinct()
 
 
-def crossings(met: DataFrame, roots: DataFrame, places: DataFrame) -> DataFrame:
+def crossings(met: DataFrame, roots: DataFrame, places: DataFrame, similarity: int) -> DataFrame:
     """(a, b): pairs of different components that the tree's bound leaves at a meeting place.
 
     A place with more than PLACE sets is dealt into blocks, and each pair of blocks is compared by itself.
@@ -164,13 +168,13 @@ def crossings(met: DataFrame, roots: DataFrame, places: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
             block, node, root, n = (table.column(i).to_numpy() for i in (3, 4, 5, 6))
-            point = np.frombuffer(b"".join(table.column(7).to_pylist()), np.int32).reshape(-1, GROUPS)
+            point = np.frombuffer(b"".join(table.column(7).to_pylist()), np.int32).reshape(-1, _coordinates(similarity))
             x, y = table.column(1)[0].as_py(), table.column(2)[0].as_py()
             left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
             if not len(left) or not len(right):
                 continue
             tree = CountTree(point[left], n[left])
-            pairs = tree.pairs(tree if x == y else CountTree(point[right], n[right]))
+            pairs = tree.pairs(tree if x == y else CountTree(point[right], n[right]), similarity)
             i, j = left[pairs[:, 0]], right[pairs[:, 1]]
             keep = (root[i] != root[j]) & ((node[i] < node[j]) | (x != y))
             a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
@@ -204,7 +208,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(waiting)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Those (a, b) whose sets are linked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +217,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 overlap = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(enough(overlap, len(p) + len(q))))
+                keep.append(bool(enough(overlap, len(p) + len(q), similarity)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
@@ -236,9 +240,10 @@ def shingle_sets(df: DataFrame, rows: DataFrame, met: DataFrame, text: str, widt
     return texts.join(chosen, "rid").select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: int = 90) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, first for each row of ``df``.
 
+    Sets of ``width``-word shingles are linked where they share ``similarity`` of 100 of their union or more (1 to 100).
     component_id is the smallest doc_id that links reach; first is true for one row of each component, one with that
     doc_id. rid is the row's number in its table (``numbered``). A null, empty or blank text has no shingles, is linked with nothing and is its own component; texts of
     fewer than ``width`` words are one shingle; very long texts are read whole; repeated rows and equal sets are linked;
@@ -246,15 +251,15 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     not read; an empty table gives an empty result. Sets are identified by a 64-bit hash of all their shingles.
     """
     df = numbered(df)
-    rows = stored(shingled(df, doc_id, text, width), "ngram-rows")
+    rows = stored(shingled(df, doc_id, text, width, similarity), "ngram-rows")
     met = stored(meetings(rows), "ngram-meetings")
     sets = stored(shingle_sets(df, rows, met, text, width), "ngram-sets")
     candidates = stored(stars(met), "ngram-stars")
-    links = stored(verified(candidates, sets), "ngram-links")
+    links = stored(verified(candidates, sets, similarity), "ngram-links")
     roots = components(links)
     places = rows.where("point is not null").dropDuplicates(["node"]).select("node", "n_shingles", "point")
-    more = crossings(met, roots, places).join(candidates, ["a", "b"], "left_anti")
-    more = stored(verified(more, sets), "ngram-more-links")
+    more = crossings(met, roots, places, similarity).join(candidates, ["a", "b"], "left_anti")
+    more = stored(verified(more, sets, similarity), "ngram-more-links")
     roots = components(links.unionByName(more))
     own = rows.select("rid", "doc_id", "n_shingles", "node").join(roots, "node", "left")
     own = own.withColumn("root", F.coalesce("root", "node"))

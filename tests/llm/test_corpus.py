@@ -254,3 +254,17 @@ def test_what_is_no_table_is_stored_before_it_is_numbered(spark, docs):
         own = numbered(rows)
         assert own.select(RID).distinct().count() == own.count() == rows.count()
         assert sorted(map(str, own.collect())) == sorted(map(str, own.collect()))
+
+
+def test_signatures_meet_at_other_similarities():
+    rng = np.random.default_rng(10)
+    met = 0
+    for _ in range(600):
+        similarity = int(rng.choice([50, 80]))
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64))
+        b = a[rng.random(len(a)) > rng.choice([0, 0.05, 0.1, 0.19])]
+        b = np.unique(np.append(b, rng.integers(0, 1 << 63, int(rng.integers(0, 2 + len(a) // 10))).astype(np.uint64)))
+        if enough(len(np.intersect1d(a, b)), len(a) + len(b), similarity) and not np.array_equal(a, b):
+            met += 1
+            assert len(np.intersect1d(ngram_join.signatures(a, similarity), ngram_join.signatures(b, similarity)))
+    assert met > 200

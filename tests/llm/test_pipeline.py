@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
 from chordgrid.llm.common import stored
 
@@ -21,3 +23,28 @@ def test_stages(spark):
         if name == "mixing sources to target weights":
             assert docs.join(before, "doc_id", "left_anti").count() == 0
     assert {"sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for family in range(30):
+        text = [f"f{family}w{i}" for i in range(50 if family < 5 else int(rng.integers(6, 300)))]
+        texts.append(" ".join(text))
+        for copy in range(4):
+            other = list(text)
+            for at in [25] if family < 5 and not copy else rng.integers(0, len(text), int(rng.integers(1, 2 + len(text) // 40))):
+                other[at] = f"other{len(texts)}"
+            texts.append(" ".join(other[: len(other) - int(rng.integers(0, 2 + len(text) // 12)) * (copy > 1)]))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if n == high else n for n in least]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
