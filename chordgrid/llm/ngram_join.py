@@ -72,22 +72,22 @@ def _coordinates(similarity: int) -> int:
     return GROUPS if similarity >= 90 else MORE_GROUPS
 
 
-ROWS = "rid long, doc_id long, n_shingles long, node long, point binary, signatures array<long>"
+ROWS = "rid long, doc_id long, n_shingles long, node long, point binary, fine binary, signatures array<long>"
 
 
 def shingled(df: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
-    """Each row's set: its size, its node (a hash of the whole set; null for none), and, once a task, point and signatures."""
+    """Each row's set: its size, its node (a hash of the whole set; null for none), and, once a task, point, a finer point, and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         names = [field.split()[0] for field in ROWS.split(", ")]
         for batch in batches:
-            sizes, nodes, places, signs = [], [], [], []
+            sizes, nodes, places, fines, signs = [], [], [], [], []
             for value in batch.column(2):
                 shingles = hashes.shingles(value.as_py(), width)
                 sizes.append(len(shingles))
                 if not len(shingles):
-                    nodes.append(None), places.append(None), signs.append(None)
+                    nodes.append(None), places.append(None), fines.append(None), signs.append(None)
                     continue
                 order = np.arange(1, len(shingles) + 1, dtype=np.uint64)
                 node = int(mixed(mixed(shingles + order).sum(dtype=np.uint64)[None] + np.uint64(len(shingles)))[0].astype(np.int64))
@@ -95,8 +95,9 @@ def shingled(df: DataFrame, doc_id: str, text: str, width: int, similarity: int)
                 first = node not in seen
                 seen.add(node)
                 places.append(points(shingles, _coordinates(similarity)).tobytes() if first else None)
+                fines.append(points(shingles, max(_coordinates(similarity), 1 << (len(shingles) // 8).bit_length())).tobytes() if first else None)
                 signs.append(signatures(shingles, similarity).astype(np.int64) if first else None)
-            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
+            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(fines, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     source = df.select(F.col(RID).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
@@ -208,6 +209,27 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(waiting)
 
 
+def bounded(pairs: DataFrame, fine: DataFrame, similarity: int) -> DataFrame:
+    """Those (a, b) that the bound of their finer points leaves, so that few whole sets move.
+
+    A finer point has coordinates in proportion to its set, a power of two, and folds to the fewer of its partner's.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(x.as_py(), np.int32), np.frombuffer(y.as_py(), np.int32)
+                least = min(len(p), len(q))
+                p, q = p.reshape(-1, least).sum(axis=0), q.reshape(-1, least).sum(axis=0)
+                keep.append(bool(enough(np.minimum(p, q).sum(), p.sum() + q.sum(), similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = fine.select(F.col("node").alias("a"), F.col("fine").alias("p"))
+    right = fine.select(F.col("node").alias("b"), F.col("fine").alias("q"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Those (a, b) whose sets are linked."""
 
@@ -254,11 +276,14 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     rows = stored(shingled(df, doc_id, text, width, similarity), "ngram-rows")
     met = stored(meetings(rows), "ngram-meetings")
     sets = stored(shingle_sets(df, rows, met, text, width), "ngram-sets")
-    candidates = stored(stars(met), "ngram-stars")
+    places = rows.where("point is not null").dropDuplicates(["node"]).select("node", "n_shingles", "point")
+    fine = rows.where("point is not null").dropDuplicates(["node"]).select("node", "fine")
+    tried = stored(stars(met), "ngram-stars")
+    candidates = stored(bounded(tried, fine, similarity), "ngram-candidates")
     links = stored(verified(candidates, sets, similarity), "ngram-links")
     roots = components(links)
-    places = rows.where("point is not null").dropDuplicates(["node"]).select("node", "n_shingles", "point")
-    more = crossings(met, roots, places, similarity).join(candidates, ["a", "b"], "left_anti")
+    more = crossings(met, roots, places, similarity).join(tried, ["a", "b"], "left_anti")
+    more = stored(bounded(more, fine, similarity), "ngram-more-candidates")
     more = stored(verified(more, sets, similarity), "ngram-more-links")
     roots = components(links.unionByName(more))
     own = rows.select("rid", "doc_id", "n_shingles", "node").join(roots, "node", "left")
