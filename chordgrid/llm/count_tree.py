@@ -1,4 +1,4 @@
-"""An R-tree over group-count vectors, joined with itself or another by an upper bound on overlaps.
+"""An R-tree over group-count vectors, searched for each point's best partners by an upper bound on overlaps.
 
 A point is a set's number of members in each of its hash groups, so the sum of the smaller counts of two points bounds
 the overlap of their sets, and the sum over the upper corners of two boxes bounds that of any points in them.
@@ -6,11 +6,13 @@ the overlap of their sets, and the sum over the upper corners of two boxes bound
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 FAN = 16
-#: Pairs of boxes that are opened at a time.
-STEP = 64
+#: Coordinates that are compared at a time, which bounds the memory of a search.
+STEP = 1 << 22
 
 
 def enough(overlap: np.ndarray, sizes: np.ndarray, similarity: int = 90) -> np.ndarray:
@@ -18,12 +20,22 @@ def enough(overlap: np.ndarray, sizes: np.ndarray, similarity: int = 90) -> np.n
     return (100 + similarity) * overlap >= similarity * sizes
 
 
+def overlaps(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The summed minima of pairs of points."""
+    out = np.empty(len(a), np.int64)
+    step = max(1, STEP // max(1, points.shape[1]))
+    for start in range(0, len(a), step):
+        part = slice(start, start + step)
+        out[part] = np.minimum(points[a[part]], points[b[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 class CountTree:
     """Points in order of size, packed into boxes of FAN, those into boxes of FAN, up to one."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        heavy = points.argmax(axis=1)
-        self.order = np.lexsort((heavy, sizes))
+        self.points, self.sizes = points, sizes
+        self.order = np.lexsort((points.argmax(axis=1), sizes))
         tops, least = [points[self.order]], [sizes[self.order]]
         while len(tops[-1]) > 1:
             starts = np.arange(0, len(tops[-1]), FAN)
@@ -31,33 +43,36 @@ class CountTree:
             least.append(np.minimum.reduceat(least[-1], starts))
         self.tops, self.least = tops, least  # by level, points first
 
-    def pairs(self, other: CountTree, similarity: int = 90) -> np.ndarray:
-        """(i, j) rows: positions of points of this and the other tree whose bound is enough; with itself each pair twice."""
-        levels = max(len(self.tops), len(other.tops))
-        a = b = np.zeros(1, np.int64)
-        for level in range(levels - 1, -1, -1):
-            kept = []
-            la, lb = min(level, len(self.tops) - 1), min(level, len(other.tops) - 1)
-            for start in range(0, len(a), STEP):
-                x, y = a[start : start + STEP], b[start : start + STEP]
-                if level < levels - 1:
-                    x, y = self._children(x, y, level, other)
-                overlap = np.minimum(self.tops[la][x], other.tops[lb][y]).sum(axis=1)
-                keep = enough(overlap, self.least[la][x] + other.least[lb][y], similarity)
-                kept.append((x[keep], y[keep]))
-            a, b = (np.concatenate([k[i] for k in kept]) if kept else np.zeros(0, np.int64) for i in (0, 1))
-        return np.stack((self.order[a], other.order[b]), axis=1)
-
-    def _children(self, a: np.ndarray, b: np.ndarray, level: int, other: CountTree) -> tuple[np.ndarray, np.ndarray]:
-        def spread(box: np.ndarray, tree: CountTree) -> tuple[np.ndarray, np.ndarray]:
-            if level + 1 > len(tree.tops) - 1:  # this tree is lower: its root waits
-                return box[:, None], np.ones((len(box), 1), bool)
-            child = box[:, None] * FAN + np.arange(FAN)
-            return child, child < len(tree.tops[level])
-
-        ca, va = spread(a, self)
-        cb, vb = spread(b, other)
-        x = np.repeat(ca, cb.shape[1], axis=1)
-        y = np.tile(cb, (1, ca.shape[1]))
-        valid = np.repeat(va, vb.shape[1], axis=1) & np.tile(vb, (1, va.shape[1]))
-        return x[valid], y[valid]
+    def near(self, top: np.ndarray, least: int, similarity: int) -> np.ndarray:
+        """Positions of the points that a box with this upper corner and least size may have partners among."""
+        at = np.zeros(1, np.int64)
+        for level in range(len(self.tops) - 1, -1, -1):
+            if level < len(self.tops) - 1:
+                at = (at[:, None] * FAN + np.arange(FAN)).ravel()
+                at = at[at < len(self.tops[level])]
+            overlap = np.concatenate([np.minimum(part, top).sum(axis=1, dtype=np.int64) for part in self._parts(self.tops[level], at)])
+            at = at[enough(overlap, self.least[level][at] + least, similarity)]
+            if not len(at):
+                break
+        return self.order[at]
+
+    def _parts(self, corners: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        step = max(1, STEP // corners.shape[1])
+        for start in range(0, max(1, len(at)), step):
+            yield corners[at[start : start + step]]
+
+    def pairs(self, other: CountTree, similarity: int = 90) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, overlap) for pairs of a point here and one of ``other`` whose bound is enough, a box at a time."""
+        for start in range(0, len(self.order), FAN):
+            own = self.order[start : start + FAN]
+            found = other.near(self.points[own].max(axis=0), int(self.sizes[own].min()), similarity)
+            if not len(found):
+                continue
+            i, j = np.repeat(own, len(found)), np.tile(found, len(own))
+            overlap = np.empty(len(i), np.int64)
+            step = max(1, STEP // self.points.shape[1])
+            for at in range(0, len(i), step):
+                part = slice(at, at + step)
+                overlap[part] = np.minimum(self.points[i[part]], other.points[j[part]]).sum(axis=1, dtype=np.int64)
+            keep = enough(overlap, self.sizes[i] + other.sizes[j], similarity)
+            yield i[keep], j[keep], overlap[keep]

@@ -1,11 +1,11 @@
 """N-gram Jaccard join: which documents' sets of word shingles overlap by 90 of 100 or another share, and the groups that links make.
 
-Every link is found. Equal sets are one node. Two linked sets differ in few shingles, so when shingles are hashed into
-one group more than that, the sets agree on a whole group: a signature is such a group's content, and sets meet where
-they share one. A size class sets how many groups there are. Sets that meet are compared in two steps: first with the
-set that meets most others, which joins most copies to their original; then, where a meeting place still holds sets of
-different components, by an R-tree over group-count vectors whose bound on overlaps leaves few pairs. Each surviving
-pair is verified on the shingles themselves.
+Every link between sets of different groups is found. Equal sets are one node. The index is an R-tree over count
+vectors in places: two linked sets differ in few shingles, so when shingles are hashed into one group more than that, the
+sets agree on a whole group, and each group's content names a place of the index where both lie. Places with the same
+sets are one. Where a place has sets of different components, its tree gives each of them the partners with the best
+bounds on overlap, at most as many rows as sets; those pairs are verified on the shingles themselves, verified ones
+join components, and the search goes on among what is still apart, until no bound leaves a pair that wasn't verified.
 """
 
 from __future__ import annotations
@@ -15,20 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chordgrid.llm.batches import whole
 from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
-from chordgrid.llm.components import components
-from chordgrid.llm.count_tree import CountTree, enough
+from chordgrid.llm.count_tree import FAN, CountTree, enough, overlaps
 from chordgrid.llm.shingles import WordHashes, mixed
+from chordgrid.operators.components import roots as least_members
 
-#: Coordinates of a point; more under 90 of 100, where the bound on overlaps needs them to tell large sets apart.
-GROUPS, MORE_GROUPS = 32, 128
 #: Groups beyond the least number: a set with so many empty groups or fewer needs no signature for those.
 SPARE = 2
-#: Sets at one meeting place that one task compares with as many others.
+#: Sets at one place that one task searches; a larger place is dealt into blocks.
 PLACE = 4096
+#: Rows of whole places that are searched at a time.
+ROWS_AT_A_TIME = 16_384
+#: Rows of a place beyond which it is not named by its sets, so that no task holds it whole.
+NAMED_ROWS = 1 << 20
+#: Candidate sets whose texts are found by a broadcast of their row numbers (16 bytes each); more are joined.
+BROADCAST_ROWS = 2_000_000
 
 
 def _classes() -> list[int]:
@@ -64,191 +70,210 @@ def signatures(shingles: np.ndarray, similarity: int = 90) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def points(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+def point(shingles: np.ndarray) -> np.ndarray:
+    """The counts of a set's groups as bytes: about a quarter as many as shingles, a power of two, more if one overflows."""
+    groups = max(16, 1 << max(0, (len(shingles) // 4 - 1).bit_length()))
+    while True:
+        counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
 
 
-def _coordinates(similarity: int) -> int:
-    return GROUPS if similarity >= 90 else MORE_GROUPS
-
-
-ROWS = "rid long, doc_id long, n_shingles long, node long, point binary, fine binary, signatures array<long>"
+ROWS = "rid long, doc_id long, n_shingles long, node long, check long, point binary, signatures array<long>"
 
 
 def shingled(df: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
-    """Each row's set: its size, its node (a hash of the whole set; null for none), and, once a task, point, a finer point, and signatures."""
+    """Each row's set: its size, two hashes of the whole set (null for none), and, once a task, point and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         names = [field.split()[0] for field in ROWS.split(", ")]
         for batch in batches:
-            sizes, nodes, places, fines, signs = [], [], [], [], []
+            sizes, nodes, checks, places, signs = [], [], [], [], []
             for value in batch.column(2):
                 shingles = hashes.shingles(value.as_py(), width)
                 sizes.append(len(shingles))
                 if not len(shingles):
-                    nodes.append(None), places.append(None), fines.append(None), signs.append(None)
+                    nodes.append(None), checks.append(None), places.append(None), signs.append(None)
                     continue
                 order = np.arange(1, len(shingles) + 1, dtype=np.uint64)
-                node = int(mixed(mixed(shingles + order).sum(dtype=np.uint64)[None] + np.uint64(len(shingles)))[0].astype(np.int64))
-                nodes.append(node)
-                first = node not in seen
-                seen.add(node)
-                places.append(points(shingles, _coordinates(similarity)).tobytes() if first else None)
-                fines.append(points(shingles, max(_coordinates(similarity), 1 << (len(shingles) // 8).bit_length())).tobytes() if first else None)
+                both = np.stack((mixed(shingles + order).sum(dtype=np.uint64), mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                node, check = mixed(both + np.uint64(len(shingles))).astype(np.int64).tolist()
+                nodes.append(node), checks.append(check)
+                first = (node, check) not in seen
+                seen.add((node, check))
+                places.append(point(shingles).tobytes() if first else None)
                 signs.append(signatures(shingles, similarity).astype(np.int64) if first else None)
-            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.binary()), pa.array(fines, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
+            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(places, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
     source = df.select(F.col(RID).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     return source.mapInArrow(run, ROWS)
 
 
-def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
-    parts = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)] for batch in batches]
-    return [np.concatenate([p[i] for p in parts]) for i in range(n)] if parts else [np.zeros(0, np.int64)] * n
-
-
-def _groups(key: np.ndarray) -> np.ndarray:
-    """Bounds of runs of equal keys."""
-    return np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with nodes that are equal only for sets of equal 128 bits: where one hash meets two others, both name the node."""
+    clashes = rows.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi")
+    clashes = stored(clashes.select("node", F.lit(True).alias("clash")), "ngram-clashes")
+    node = F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return rows.join(clashes, "node", "left").withColumn("node", node).drop("clash", "check")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(signature, node, size): where at least two different sets meet, and how many."""
+    """(place, node): where at least two different sets share a signature. Places with the same sets have the same name."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signature, node = _columns(batches, 2)
-        order = np.lexsort((node, signature))
-        signature, node = signature[order], node[order]
-        fresh = np.ones(len(node), bool)
-        fresh[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
-        signature, node = signature[fresh], node[fresh]
-        bounds = _groups(signature)
-        sizes = np.repeat(np.diff(bounds), np.diff(bounds))
-        many = sizes > 1
-        yield pa.RecordBatch.from_arrays([pa.array(signature[many]), pa.array(node[many]), pa.array(sizes[many].astype(np.int64))], names=["signature", "node", "size"])
+        goes_on = None
+        for table, ended in whole(batches, ("signature",), ROWS_AT_A_TIME, NAMED_ROWS):
+            signature, node = (table.column(i).to_numpy() for i in (0, 1))
+            fresh = np.ones(len(node), bool)
+            fresh[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
+            signature, node = signature[fresh], node[fresh]
+            start = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+            sizes = np.diff(np.append(start, len(signature)))
+            names = mixed(np.add.reduceat(mixed(node.view(np.uint64)), start) + sizes.astype(np.uint64)).view(np.int64)
+            if signature[0] == goes_on or not ended:  # parts of one place keep its signature as their name
+                names[0], sizes[0] = signature[0], 2
+            goes_on = None if ended else signature[0]
+            counts = np.diff(np.append(start, len(signature)))
+            many = np.repeat(sizes, counts) > 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)[many]), pa.array(node[many])], names=["place", "node"])
 
     exploded = rows.where("signatures is not null").select(F.explode("signatures").alias("signature"), "node")
-    dealt = exploded.repartition(shuffle_partitions(rows.sparkSession), "signature")
-    return dealt.mapInArrow(shared, "signature long, node long, size long")
-
-
-def stars(met: DataFrame) -> DataFrame:
-    """(a, b): at each meeting place, the set that meets most others overall, with each of the rest."""
-    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
-
-    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signature, node, weight = _columns(batches, 3)
-        order = np.lexsort((node, -weight, signature))
-        signature, node = signature[order], node[order]
-        bounds = _groups(signature)
-        hub = np.repeat(node[bounds[:-1]], np.diff(bounds)) if len(node) else node
-        pairs = np.stack((np.minimum(hub, node), np.maximum(hub, node)), axis=1)[hub != node]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    weighted = met.join(weights, "node").select("signature", "node", "weight")
-    return weighted.repartition(shuffle_partitions(met.sparkSession), "signature").mapInArrow(centre, "a long, b long").distinct()
-
-
-def crossings(met: DataFrame, roots: DataFrame, places: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): pairs of different components that the tree's bound leaves at a meeting place.
-
-    A place with more than PLACE sets is dealt into blocks, and each pair of blocks is compared by itself.
+    dealt = exploded.repartition(shuffle_partitions(rows.sparkSession), "signature").sortWithinPartitions("signature", "node")
+    return dealt.mapInArrow(shared, "place long, node long").distinct()
+
+
+def _folded(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Points with ``width`` coordinates each: a finer one's coordinates add up to them."""
+    values = column.combine_chunks()
+    lengths = pc.binary_length(values).to_numpy()
+    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), b"")[0].as_buffer(), np.uint8)
+    start = np.cumsum(lengths) - lengths
+    out = np.empty((len(values), width), np.uint16)
+    for length in np.unique(lengths):
+        of = np.flatnonzero(lengths == length)
+        out[of] = data[start[of][:, None] + np.arange(length)].reshape(len(of), -1, width).sum(axis=1, dtype=np.uint16)
+    return out
+
+
+def _in_boxes(points: np.ndarray, sizes: np.ndarray, count: np.ndarray, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, overlap) within places of one box each, that follow each other in ``points``."""
+    at = np.arange(len(points))
+    after = np.repeat(np.cumsum(count), count) - 1 - at
+    i = np.repeat(at, after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    overlap = overlaps(points, i, j)
+    keep = enough(overlap, sizes[i] + sizes[j], similarity)
+    i, j, overlap = i[keep], j[keep], overlap[keep]
+    yield np.append(i, j), np.append(j, i), np.append(overlap, overlap)
+
+
+def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
+    """(a, b) nodes: for each row its ``most`` partners by bound among sets of other components at its place.
+
+    ``table`` holds whole places (place, x, y, block, node, root, n_shingles, point, failed), sorted by place and blocks.
+    With x < y sets of block x meet those of block y. Pairs that failed before are left out.
     """
-    known = met.join(roots, "node", "left").select("signature", "node", "size", F.coalesce("root", "node").alias("root"))
-    open_places = known.groupBy("signature").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("signature")
-    members = known.join(open_places, "signature").join(places, "node")
-    blocks = F.ceil(F.col("size") / PLACE).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
-    members = members.select("signature", "x", "y", "block", "node", "root", "n_shingles", "point")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, 3):
-            block, node, root, n = (table.column(i).to_numpy() for i in (3, 4, 5, 6))
-            point = np.frombuffer(b"".join(table.column(7).to_pylist()), np.int32).reshape(-1, _coordinates(similarity))
-            x, y = table.column(1)[0].as_py(), table.column(2)[0].as_py()
-            left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-            if not len(left) or not len(right):
-                continue
-            tree = CountTree(point[left], n[left])
-            pairs = tree.pairs(tree if x == y else CountTree(point[right], n[right]), similarity)
-            i, j = left[pairs[:, 0]], right[pairs[:, 1]]
-            keep = (root[i] != root[j]) & ((node[i] < node[j]) | (x != y))
-            a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    dealt = members.repartition(shuffle_partitions(met.sparkSession), "signature", "x", "y").sortWithinPartitions("signature", "x", "y")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of rows with equal first ``keys`` columns, from sorted batches."""
-    waiting: list[pa.Table] = []
-    last = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        columns = [table.column(i).to_numpy() for i in range(keys)]
-        change = np.zeros(max(0, len(columns[0]) - 1), bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        bounds = np.concatenate(([0], np.flatnonzero(change) + 1, [table.num_rows])).tolist()
-        for start, end in zip(bounds[:-1], bounds[1:]):
-            if start == end:
+    column = {name: table.column(name).to_numpy() for name in ("place", "x", "y", "block", "node", "root", "n_shingles")}
+    node, root, sizes = column["node"], column["root"], column["n_shingles"]
+    fresh = np.ones(len(node), bool)
+    fresh[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("place", "x", "y")], axis=0)
+    start = np.flatnonzero(fresh)
+    count = np.diff(np.append(start, len(node)))
+    width = np.minimum.reduceat(pc.binary_length(table.column("point")).to_numpy(), start)
+    failed = {(a, b) for a, others in zip(node.tolist(), table.column("failed").to_pylist()) if others for b in others}
+    out = []
+
+    def kept(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        for i, j, overlap in found:
+            apart = root[i] != root[j]
+            i, j, overlap = i[apart], j[apart], overlap[apart]
+            if failed and len(i):
+                new = np.array([(a, b) not in failed for a, b in zip(node[i].tolist(), node[j].tolist())])
+                i, j, overlap = i[new], j[new], overlap[new]
+            if not len(i):
                 continue
-            key = tuple(c[start] for c in columns)
-            if waiting and key != last:
-                yield pa.concat_tables(waiting)
-                waiting = []
-            waiting.append(table.slice(start, end - start))
-            last = key
-    if waiting:
-        yield pa.concat_tables(waiting)
+            order = np.lexsort((node[j], -overlap / (sizes[i] + sizes[j]), i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            out.append(np.stack((node[i], node[j]), axis=1)[rank < most])
+
+    one_block = column["x"][start] == column["y"][start]
+    for w in np.unique(width):
+        small = np.flatnonzero((width == w) & (count <= FAN) & (count > 1) & one_block)
+        if len(small):
+            before = np.cumsum(count[small]) - count[small]
+            rows = np.repeat(start[small] - before, count[small]) + np.arange(count[small].sum())
+            points = _folded(table.column("point").take(pa.array(rows)), int(w))
+            kept((rows[i], rows[j], overlap) for i, j, overlap in _in_boxes(points, sizes[rows], count[small], similarity))
+    for p in np.flatnonzero((count > FAN) | ~one_block):
+        rows = np.arange(start[p], start[p] + count[p])
+        points = _folded(table.column("point").slice(start[p], count[p]), int(width[p]))
+        left, right = (rows[column["block"][rows] == column[c][start[p]]] for c in "xy")
+        if not len(left) or not len(right):
+            continue
+        tree = CountTree(points[left - start[p]], sizes[left])
+        other = tree if one_block[p] else CountTree(points[right - start[p]], sizes[right])
+        kept((left[i], right[j], overlap) for i, j, overlap in tree.pairs(other, similarity))
+        if other is not tree:
+            kept((right[i], left[j], overlap) for i, j, overlap in other.pairs(tree, similarity))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
-def bounded(pairs: DataFrame, fine: DataFrame, similarity: int) -> DataFrame:
-    """Those (a, b) that the bound of their finer points leaves, so that few whole sets move.
+def candidates(met: DataFrame, roots: DataFrame | None, failed: DataFrame, points: DataFrame, similarity: int, most: int) -> DataFrame:
+    """(a, b): what the trees of places that are still apart give; at most ``most`` partners for each set at a place.
 
-    A finer point has coordinates in proportion to its set, a power of two, and folds to the fewer of its partner's.
+    The first search (no ``roots``) deals a place of more than PLACE sets into blocks and searches each by itself; later
+    ones compare each pair of blocks.
     """
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.int32), np.frombuffer(y.as_py(), np.int32)
-                least = min(len(p), len(q))
-                p, q = p.reshape(-1, least).sum(axis=0), q.reshape(-1, least).sum(axis=0)
-                keep.append(bool(enough(np.minimum(p, q).sum(), p.sum() + q.sum(), similarity)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = fine.select(F.col("node").alias("a"), F.col("fine").alias("p"))
-    right = fine.select(F.col("node").alias("b"), F.col("fine").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long")
+    larger = met.groupBy("place").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("blocks")).where("blocks > 1")
+    larger = stored(larger, "ngram-larger")
+    known = met.withColumn("root", F.col("node"))
+    if roots is not None:
+        known = met.join(roots, "node", "left").select("place", "node", F.coalesce("root", "node").alias("root"))
+        apart = known.groupBy("place").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("place")
+        known = known.join(apart, "place", "left_semi")
+    members = known.join(larger, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.join(points.select("node", "n_shingles", "point"), "node")
+    members = members.join(failed.groupBy("node").agg(F.collect_list("other").alias("failed")), "node", "left")
+    members = members.withColumn("with", F.explode(F.array("block") if roots is None else F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select(
+        "place", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "node", "root", "n_shingles", "point", "failed"
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in whole(batches, ("place", "x", "y"), ROWS_AT_A_TIME):
+            pairs = best_partners(table.combine_chunks(), similarity, most)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = members.repartition(shuffle_partitions(met.sparkSession), "place", "x", "y").sortWithinPartitions("place", "x", "y")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those (a, b) whose sets are linked."""
+    """(a, b, linked) of each pair: whether its sets are linked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 overlap = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(enough(overlap, len(p) + len(q), similarity)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(bool(enough(overlap, len(p) + len(q), similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long, linked boolean")
 
 
-def shingle_sets(df: DataFrame, rows: DataFrame, met: DataFrame, text: str, width: int) -> DataFrame:
-    """(node, shingles) of the nodes that meet others, read again from one text of each."""
+def shingle_sets(df: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
+    """(node, shingles) of ``wanted`` (node, rid), read again from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -256,10 +281,33 @@ def shingle_sets(df: DataFrame, rows: DataFrame, met: DataFrame, text: str, widt
             sets = [hashes.shingles(value.as_py(), width).tobytes() for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    active = met.select("node").distinct()
-    chosen = rows.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid")).join(active, "node", "left_semi")
+    wanted = stored(wanted, "ngram-wanted")
     texts = df.select(F.col(RID).alias("rid"), text_of(text).cast("binary").alias("text"))
-    return texts.join(chosen, "rid").select("node", "text").mapInArrow(run, "node long, shingles binary")
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return stored(texts.join(chosen, "rid").select("node", "text").mapInArrow(run, "node long, shingles binary"), "ngram-sets")
+
+
+def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: int) -> DataFrame:
+    """(node, root) of the nodes that links join to a smaller one."""
+    spark = df.sparkSession
+    met = stored(meetings(rows), "ngram-meetings")
+    nodes = rows.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
+    nodes = stored(nodes.join(met.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+    sets, tried, roots = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean"), None
+    most = 1
+    while True:
+        failed = tried.where("not linked")
+        failed = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a"))
+        found = stored(candidates(met, roots, failed, nodes, similarity, most), "ngram-candidates")
+        done = found.isEmpty()
+        if not done:
+            new = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
+            sets = sets.unionByName(shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width))
+            tried = tried.unionByName(stored(verified(found, sets, similarity), "ngram-verified"))
+        elif roots is not None:
+            return roots
+        roots = least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt")))
+        most *= 8
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: int = 90) -> DataFrame:
@@ -270,22 +318,11 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     doc_id. rid is the row's number in its table (``numbered``). A null, empty or blank text has no shingles, is linked with nothing and is its own component; texts of
     fewer than ``width`` words are one shingle; very long texts are read whole; repeated rows and equal sets are linked;
     null doc_ids count as larger than any other, and a component of them alone has a null component_id. Other columns are
-    not read; an empty table gives an empty result. Sets are identified by a 64-bit hash of all their shingles.
+    not read; an empty table gives an empty result. Sets are identified by a 128-bit hash of all their shingles.
     """
     df = numbered(df)
-    rows = stored(shingled(df, doc_id, text, width, similarity), "ngram-rows")
-    met = stored(meetings(rows), "ngram-meetings")
-    sets = stored(shingle_sets(df, rows, met, text, width), "ngram-sets")
-    places = rows.where("point is not null").dropDuplicates(["node"]).select("node", "n_shingles", "point")
-    fine = rows.where("point is not null").dropDuplicates(["node"]).select("node", "fine")
-    tried = stored(stars(met), "ngram-stars")
-    candidates = stored(bounded(tried, fine, similarity), "ngram-candidates")
-    links = stored(verified(candidates, sets, similarity), "ngram-links")
-    roots = components(links)
-    more = crossings(met, roots, places, similarity).join(tried, ["a", "b"], "left_anti")
-    more = stored(bounded(more, fine, similarity), "ngram-more-candidates")
-    more = stored(verified(more, sets, similarity), "ngram-more-links")
-    roots = components(links.unionByName(more))
+    rows = told_apart(stored(shingled(df, doc_id, text, width, similarity), "ngram-rows"))
+    roots = joined(df, rows, text, width, similarity)
     own = rows.select("rid", "doc_id", "n_shingles", "node").join(roots, "node", "left")
     own = own.withColumn("root", F.coalesce("root", "node"))
     least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chordgrid.llm import bwt
+from chordgrid.llm.batches import whole
 from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
-from chordgrid.llm.ngram_join import _columns, _groups, _runs
 from chordgrid.llm.shingles import mixed
 
 WINDOW = 100
 GRAM = 50
 #: Windows that are hashed at a time, which bounds the memory for a very long document.
 CHUNK = 1 << 20
+#: Runs that meet at a time, of whole anchors.
+MET_ROWS = 1 << 17
 #: Bytes of runs whose suffixes are merged at a time, and the number of their shards.
 SORTED_BYTES, SHARDS = 1 << 19, 4
 
@@ -117,32 +119,33 @@ def meetings(rows: DataFrame) -> DataFrame:
     """Runs that meet: those that repeat an earlier one's bytes (not open), and the first of each content where contents differ (open)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *columns, again = _columns(batches, 8)
-        again = again.astype(bool)
         names = [field.split()[0] for field in MET.split(", ")]
 
         def found(rows: list[np.ndarray], opened: np.ndarray) -> pa.RecordBatch:
             arrays = [pa.array(c) for c in rows]
             return pa.RecordBatch.from_arrays([*arrays[:3], *[a.cast(pa.int32()) for a in arrays[3:]], pa.array(opened)], names=names)
 
-        yield found([columns[i][again] for i in (0, 1, 2, 4, 5, 6)], np.zeros(int(again.sum()), bool))
-        rid, doc, anchor, content, first, windows, place = (c[~again] for c in columns)
-        # only anchors that occur twice need an order
-        order = np.argsort(anchor, kind="stable")
-        bounds = _groups(anchor[order])
-        order = order[np.repeat(np.diff(bounds), np.diff(bounds)) > 1] if len(order) else order
-        order = order[np.lexsort((first[order], rid[order], doc[order], content[order], anchor[order]))]
-        rid, doc, anchor, content, first, windows, place = (c[order] for c in (rid, doc, anchor, content, first, windows, place))
-        n = len(rid)
-        new_anchor, fresh = np.ones(n, bool), np.ones(n, bool)
-        new_anchor[1:] = anchor[1:] != anchor[:-1]
-        fresh[1:] = new_anchor[1:] | (content[1:] != content[:-1])
-        group = np.cumsum(new_anchor) - 1
-        contents = np.bincount(group, weights=fresh, minlength=1)[group] if n else np.zeros(0)
-        keep = ~fresh | (contents > 1)
-        yield found([c[keep] for c in (rid, doc, anchor, first, windows, place)], fresh[keep])
-
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "anchor")
+        for table, _ in whole(batches, ("anchor",), MET_ROWS):
+            *columns, again = (table.column(i).to_numpy() for i in range(8))
+            again = again.astype(bool)
+            yield found([columns[i][again] for i in (0, 1, 2, 4, 5, 6)], np.zeros(int(again.sum()), bool))
+            rid, doc, anchor, content, first, windows, place = (c[~again] for c in columns)
+            # only anchors that occur twice need an order; equal anchors follow each other
+            twice = np.zeros(len(anchor) + 1, bool)
+            twice[1:-1] = anchor[1:] == anchor[:-1]
+            order = np.flatnonzero(twice[1:] | twice[:-1])
+            order = order[np.lexsort((first[order], rid[order], doc[order], content[order], anchor[order]))]
+            rid, doc, anchor, content, first, windows, place = (c[order] for c in (rid, doc, anchor, content, first, windows, place))
+            n = len(rid)
+            new_anchor, fresh = np.ones(n, bool), np.ones(n, bool)
+            new_anchor[1:] = anchor[1:] != anchor[:-1]
+            fresh[1:] = new_anchor[1:] | (content[1:] != content[:-1])
+            group = np.cumsum(new_anchor) - 1
+            contents = np.bincount(group, weights=fresh, minlength=1)[group] if n else np.zeros(0)
+            keep = ~fresh | (contents > 1)
+            yield found([c[keep] for c in (rid, doc, anchor, first, windows, place)], fresh[keep])
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(meet, MET)
 
 
@@ -186,16 +189,8 @@ def merged_repeats(cut: DataFrame) -> DataFrame:
     """(rid, first, windows): stretches of windows that start earlier within another run of the same anchor."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.Table] = []
-        size = 0
-        for table in _runs(batches, 1):
-            waiting.append(table)
-            size += table.num_rows * (WINDOW + GRAM)
-            if size >= SORTED_BYTES:
-                yield done(pa.concat_tables(waiting))
-                waiting, size = [], 0
-        if waiting:
-            yield done(pa.concat_tables(waiting))
+        for table, _ in whole(batches, ("anchor",), SORTED_BYTES // (WINDOW + GRAM)):
+            yield done(table)
 
     def done(table: pa.Table) -> pa.RecordBatch:
         columns = {name: table.column(name).to_numpy() for name in ("rid", "doc_id", "first", "windows")}

@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chordgrid.llm import bwt, exact_dedup, mixing, ngram_join, queries, repeated_spans, sharding, toxicity
+from chordgrid.llm.batches import whole
 from chordgrid.llm.common import RID, WORD, numbered, text_of
-from chordgrid.llm.components import components
-from chordgrid.llm.count_tree import CountTree, enough
+from chordgrid.llm.count_tree import CountTree, enough, overlaps
 
 
 def key(r):
@@ -100,17 +101,80 @@ def test_signatures_meet_for_every_linked_pair():
 
 def test_count_tree_keeps_every_pair_with_enough():
     rng = np.random.default_rng(6)
-    points = rng.poisson(2, (150, 8)).astype(np.int32)
+    points = rng.poisson(2, (150, 8)).astype(np.uint16)
     points[100:] = points[:50] + (rng.random((50, 8)) < 0.1)
-    sizes = points.sum(axis=1)
+    sizes = points.sum(axis=1).astype(np.int64)
     x, y = CountTree(points[:90], sizes[:90]), CountTree(points[90:], sizes[90:])
     want = {(i, j) for i in range(90) for j in range(60) if enough(np.minimum(points[i], points[90 + j]).sum(), sizes[i] + sizes[90 + j])}
-    assert set(map(tuple, x.pairs(y).tolist())) == want
+    got = [(int(i), int(j), int(n)) for part in x.pairs(y) for i, j, n in zip(*part)]
+    assert {(i, j) for i, j, _ in got} == want and len(got) == len(want)
+    assert all(n == overlaps(points, np.array([i]), np.array([90 + j]))[0] for i, j, n in got)
+
+
+def place_rows(rng, place, n, blocks=1):
+    """Rows of one place: near-equal sets as points, some of one component."""
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    rows = []
+    for k in range(n):
+        members = np.unique(np.append(base[rng.random(60) > 0.06], rng.integers(0, 1 << 62, int(rng.integers(0, 5))).astype(np.uint64)))
+        rows.append({"place": place, "block": k % blocks, "node": 1000 * place + k, "root": 1000 * place + k % max(1, n // 2), "n_shingles": len(members), "point": ngram_join.point(members).tobytes(), "failed": None})
+    return rows
+
+
+def test_best_partners_are_the_best_of_other_components():
+    rng = np.random.default_rng(16)
+    for n, most in ((2, 1), (7, 1), (16, 3), (40, 1), (90, 5)):
+        rows = place_rows(rng, 1, n) + place_rows(rng, 2, 5)
+        rows[0]["failed"] = [rows[1]["node"]]
+        table = pa.Table.from_pylist([r | {"x": 0, "y": 0} for r in rows], schema=PLACE)
+        got = set(map(tuple, ngram_join.best_partners(table, 90, most).tolist()))
+        assert len(got) <= most * len(rows)
+        for r in rows:
+            found = []
+            for other in rows:
+                p, q = (np.frombuffer(x["point"], np.uint8).astype(int) for x in (r, other))
+                least = min(len(p), len(q))
+                bound = np.minimum(p.reshape(-1, least).sum(axis=0), q.reshape(-1, least).sum(axis=0)).sum()
+                sizes = r["n_shingles"] + other["n_shingles"]
+                if other["place"] == r["place"] and other["root"] != r["root"] and other["node"] not in (r["failed"] or []) and enough(bound, sizes):
+                    found.append((-bound / sizes, other["node"]))
+            assert {tuple(sorted((r["node"], node))) for _, node in sorted(found)[:most]} <= got
+
+
+PLACE = pa.schema([*[(name, pa.int64()) for name in ("place", "x", "y", "block", "node", "root", "n_shingles")], ("point", pa.binary()), ("failed", pa.list_(pa.int64()))])
+
+
+def test_blocks_of_a_large_place_meet_each_other():
+    rows = place_rows(np.random.default_rng(17), 3, 60, blocks=3)
+    table = pa.Table.from_pylist([r | {"x": 0, "y": 2} for r in rows if r["block"] in (0, 2)], schema=PLACE)
+    got = ngram_join.best_partners(table, 90, 60).tolist()
+    assert got and all({(a - 3000) % 3, (b - 3000) % 3} == {0, 2} for a, b in got)
+
+
+def test_large_places_are_searched_whole(spark, monkeypatch):
+    """Blocks and unnamed places, forced by small bounds (workers are forked after the change), lose no link."""
+    monkeypatch.setattr(ngram_join, "PLACE", 5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: i % 50], f"own{i}", *base[i % 50 :]])) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(table, width=1).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_keys_are_not_cut_between_tables():
+    keys = np.sort(np.random.default_rng(18).integers(0, 30, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 37])], names=["k"]) for i in range(0, 500, 37)]
+    parts = [(t.column("k").to_pylist(), ended) for t, ended in whole(iter(batches), ("k",), 60)]
+    assert sum((p for p, _ in parts), []) == keys.tolist() and all(ended for _, ended in parts)
+    assert all(a[0][-1] != b[0][0] for a, b in zip(parts, parts[1:]))
+    parts = [(t.num_rows, ended) for t, ended in whole(iter([pa.RecordBatch.from_arrays([pa.array([7] * 90)], names=["k"])] * 3), ("k",), 60, 100)]
+    assert sum(n for n, _ in parts) == 270 and not parts[0][1]
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90)], "a long, b long")
-    assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 90), (95, 90)}
+def test_equal_hashes_of_different_sets_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 70), (2, 5, 71), (3, 5, 70), (4, 6, 80), (5, None, None)], "rid long, node long, check long")
+    got = {r.rid: r.node for r in ngram_join.told_apart(rows).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 6 and got[5] is None and 5 not in got.values()
 
 
 def test_repeated_spans(spark, docs, empty):
