@@ -10,6 +10,7 @@ join components, and the search goes on among what is still apart, until no boun
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -25,8 +26,6 @@ from chordgrid.llm.count_tree import FAN, CountTree, enough, overlaps
 from chordgrid.llm.shingles import WordHashes, mixed
 from chordgrid.operators.components import roots as least_members
 
-#: Groups beyond the least number: a set with so many empty groups or fewer needs no signature for those.
-SPARE = 2
 #: Sets at one place that one task searches; a larger place is dealt into blocks.
 PLACE = 4096
 #: Rows of whole places that are searched at a time.
@@ -48,6 +47,17 @@ def _classes() -> list[int]:
 CLASSES = _classes()
 
 
+def _groups(level: int, similarity: int) -> tuple[int, int]:
+    """The number of groups of a size class, and how many of them linked sets may differ on.
+
+    Groups beyond the least number are for those that stay empty: sets with fewer empty groups than those that must agree
+    need no signature for them, as they also agree on a filled one with each linked set.
+    """
+    differ = 2 * (CLASSES[level + 1] - 1) * (100 - similarity) // (100 + similarity)
+    empty = (differ + 1) * math.exp(-similarity / 100 * CLASSES[level] / (differ + 1))
+    return differ + 3 + int(empty + 2 * math.sqrt(empty)), differ
+
+
 def signatures(shingles: np.ndarray, similarity: int = 90) -> np.ndarray:
     """Signatures of a set: those of its class, and of the next ones if a linked set may lie there."""
     size = len(shingles)
@@ -56,17 +66,16 @@ def signatures(shingles: np.ndarray, similarity: int = 90) -> np.ndarray:
     for level in range(own, len(CLASSES) - 1):
         if level > own and 100 * size < similarity * CLASSES[level]:
             break
-        most = CLASSES[level + 1] - 1
-        differ = 2 * most * (100 - similarity) // (100 + similarity)
+        groups, differ = _groups(level, similarity)
         if not differ:  # sets this small are linked only if equal
             continue
-        n = np.uint64(differ + 1 + SPARE)
+        n = np.uint64(groups)
         group = ((shingles >> np.uint64(24)) % n).astype(np.int64)
         content = np.zeros(int(n), np.uint64)
         np.add.at(content, group, shingles)
         names = mixed(content + np.arange(int(n), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level << 48))
         filled = np.bincount(group, minlength=int(n)) > 0
-        out.append(names[filled] if (~filled).sum() <= SPARE else names)
+        out.append(names[filled] if (~filled).sum() < groups - differ else names)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -171,7 +180,7 @@ def _in_boxes(points: np.ndarray, sizes: np.ndarray, count: np.ndarray, similari
 
 
 def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
-    """(a, b) nodes: for each row its ``most`` partners by bound among sets of other components at its place.
+    """(place, a, b) with a < b: for each row its ``most`` partners by bound among sets of other components at its place.
 
     ``table`` holds whole places (place, x, y, block, node, root, n_shingles, point, failed), sorted by place and blocks.
     With x < y sets of block x meet those of block y. Pairs that failed before are left out.
@@ -199,7 +208,8 @@ def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
             i, j = i[order], j[order]
             first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
             rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            out.append(np.stack((node[i], node[j]), axis=1)[rank < most])
+            i, j = i[rank < most], j[rank < most]
+            out.append(np.stack((column["place"][i], np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), axis=1))
 
     one_block = column["x"][start] == column["y"][start]
     for w in np.unique(width):
@@ -220,18 +230,15 @@ def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
         kept((left[i], right[j], overlap) for i, j, overlap in tree.pairs(other, similarity))
         if other is not tree:
             kept((right[i], left[j], overlap) for i, j, overlap in other.pairs(tree, similarity))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
-def candidates(met: DataFrame, roots: DataFrame | None, failed: DataFrame, points: DataFrame, similarity: int, most: int) -> DataFrame:
-    """(a, b): what the trees of places that are still apart give; at most ``most`` partners for each set at a place.
+def candidates(met: DataFrame, larger: DataFrame, roots: DataFrame | None, failed: DataFrame, nodes: DataFrame, similarity: int, most: int) -> DataFrame:
+    """(place, a, b): what the trees of places give; at most ``most`` partners for each set at a place.
 
-    The first search (no ``roots``) deals a place of more than PLACE sets into blocks and searches each by itself; later
-    ones compare each pair of blocks.
+    ``larger`` has the numbers of blocks of places with more than PLACE sets. The first search (no ``roots``) searches
+    each block by itself; later ones compare each pair of blocks, at places whose sets are still of several components.
     """
-    larger = met.groupBy("place").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("blocks")).where("blocks > 1")
-    larger = stored(larger, "ngram-larger")
     known = met.withColumn("root", F.col("node"))
     if roots is not None:
         known = met.join(roots, "node", "left").select("place", "node", F.coalesce("root", "node").alias("root"))
@@ -239,7 +246,7 @@ def candidates(met: DataFrame, roots: DataFrame | None, failed: DataFrame, point
         known = known.join(apart, "place", "left_semi")
     members = known.join(larger, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = members.join(points.select("node", "n_shingles", "point"), "node")
+    members = members.join(nodes.select("node", "n_shingles", "point"), "node")
     members = members.join(failed.groupBy("node").agg(F.collect_list("other").alias("failed")), "node", "left")
     members = members.withColumn("with", F.explode(F.array("block") if roots is None else F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(
@@ -248,11 +255,11 @@ def candidates(met: DataFrame, roots: DataFrame | None, failed: DataFrame, point
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in whole(batches, ("place", "x", "y"), ROWS_AT_A_TIME):
-            pairs = best_partners(table.combine_chunks(), similarity, most)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            found = best_partners(table.combine_chunks(), similarity, most)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["place", "a", "b"])
 
     dealt = members.repartition(shuffle_partitions(met.sparkSession), "place", "x", "y").sortWithinPartitions("place", "x", "y")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(search, "place long, a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -293,19 +300,24 @@ def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: in
     met = stored(meetings(rows), "ngram-meetings")
     nodes = rows.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
     nodes = stored(nodes.join(met.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
-    sets, tried, roots = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean"), None
-    most = 1
+    larger = met.groupBy("place").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("blocks")).where("blocks > 1")
+    larger = stored(larger, "ngram-larger")
+    sets, tried = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean")
+    roots, most = None, 1
     while True:
-        failed = tried.where("not linked")
-        failed = failed.select(F.col("a").alias("node"), F.col("b").alias("other")).union(failed.select("b", "a"))
-        found = stored(candidates(met, roots, failed, nodes, similarity, most), "ngram-candidates")
-        done = found.isEmpty()
-        if not done:
-            new = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-            sets = sets.unionByName(shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width))
-            tried = tried.unionByName(stored(verified(found, sets, similarity), "ngram-verified"))
-        elif roots is not None:
+        failed = tried.where("not linked").select(F.col("a").alias("node"), F.col("b").alias("other"))
+        failed = failed.union(failed.select("other", "node"))
+        found = stored(candidates(met, larger, roots, failed, nodes, similarity, most), "ngram-candidates")
+        live = found.select("place")  # where nothing is found, nothing will be
+        if roots is None:
+            live = live.union(larger.select("place"))
+        elif found.isEmpty():
             return roots
+        met = met.join(live.distinct(), "place", "left_semi")
+        pairs = found.select("a", "b").distinct()
+        new = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
+        sets = sets.unionByName(shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width))
+        tried = tried.unionByName(stored(verified(pairs, sets, similarity), "ngram-verified"))
         roots = least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt")))
         most *= 8
 
