@@ -1,14 +1,16 @@
 """The segmentation network's forward pass: linear layers, batch norms over all rows, mean pool, head.
 
-Weights are small arrays, so layers are column expressions; a batch norm is one aggregation whose row of means and
-deviations comes back as constants.
+A layer multiplies an Arrow batch by its matrix, which is shipped once a task; a batch norm is one aggregation whose means
+and deviations come back as constants.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +27,29 @@ def weights(widths: tuple[int, ...] = WIDTHS, classes: int = 10, seed: int = 3)
 
 
 def linear(df: DataFrame, matrix: np.ndarray, column: str = "x") -> DataFrame:
-    """``column`` (array<double>) times the matrix."""
-    rows = F.array(*[F.array(*map(F.lit, row)) for row in matrix.tolist()])
-    dot = F.transform(rows, lambda w: F.aggregate(F.zip_with(w, F.col(column), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    return df.withColumn(column, dot)
+    """``column`` (array<double> as wide as the matrix) times the matrix, an Arrow batch at a time."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ matrix.T
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * matrix.shape[0])
+            columns = batch.columns
+            columns[at] = pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def batch_norm(df: DataFrame, width: int, column: str = "x", eps: float = 1e-5) -> DataFrame:
     """Each place of the array less its mean over all rows, by its deviation."""
     df = stored(df, "batch-norm")
-    sums = df.agg(*[F.avg(F.col(column)[i]).alias(f"m{i}") for i in range(width)], *[F.var_pop(F.col(column)[i]).alias(f"v{i}") for i in range(width)]).first()
-    if sums[0] is None:
+    places = df.select(F.posexplode(column).alias("place", "v")).groupBy("place").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
+    found = {row.place: row for row in places.collect()}  # one row for each place
+    if not found:
         return df
-    shift = F.array(*[F.lit(float(sums[f"m{i}"])) for i in range(width)])
-    scale = F.array(*[F.lit(float(1 / np.sqrt(sums[f"v{i}"] + eps))) for i in range(width)])
+    shift = F.array(*[F.lit(float(found[i].mean)) for i in range(width)])
+    scale = F.array(*[F.lit(float(1 / np.sqrt(found[i].variance + eps))) for i in range(width)])
     centred = F.zip_with(column, shift, lambda x, m: x - m)
     return df.withColumn(column, F.zip_with(centred, scale, lambda x, s: x * s))
 

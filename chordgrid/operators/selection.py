@@ -25,18 +25,21 @@ def chance_sql(seed: int, round_: int, oid: str, p: float) -> str:
 
 def select_equidistant(
     points: DataFrame, ends: DataFrame, *, rounds: int = 300, radius: float = 1.2, low: float = 0.95, high: float = 1.05,
-    density: float = 0.05, seed: int = 5, reactivate: bool = True, keep_every: int = 10,
+    density: float = 0.05, seed: int = 5, reactivate: bool = True, keep_every: int = 1,
 ) -> DataFrame:
     """(imgid, oid, active, pinned, is_end). ``ends`` are always active.
 
     In a round an edge of two active points passes if its length lies between the bounds, else fails. Points on a
     failing edge drop out unless pinned; points on passing edges only are pinned and stay. At the end chance wakes a
-    share of all points (``reactivate``). Every ``keep_every`` rounds the state is written to shared storage.
+    share of all points (``reactivate``). Every ``keep_every`` rounds the state is written to shared storage (a
+    round reads it three times, so plans over several rounds grow as a power of three); a state that
+    a round leaves as it was stays so in all rounds, and the rest of them is skipped.
     """
     edges = neighbours(points, radius).select("lf", "rt", ((F.col("d") > low) & (F.col("d") < high)).alias("passes"))
     both = stored(edges.unionByName(edges.select(F.col("rt").alias("lf"), F.col("lf").alias("rt"), "passes")), "selection-edges")
     flagged = points.select("imgid", "oid").join(ends.select("oid", F.lit(True).alias("is_end")), "oid", "left").withColumn("is_end", F.coalesce("is_end", F.lit(False)))
     state = flagged.select("imgid", "oid", "is_end", (chance(seed, 0, F.col("oid"), density) | F.col("is_end")).alias("active"), F.lit(False).alias("pinned"))
+    before = None
     for n in range(rounds):
         awake = state.where("active").select("oid")
         live = both.join(awake.select(F.col("oid").alias("lf")), "lf").join(awake.select(F.col("oid").alias("rt")), "rt")
@@ -47,6 +50,11 @@ def select_equidistant(
         state = state.select("imgid", "oid", "is_end", ((F.col("active") & ~fails) | F.col("pinned") | settled | F.col("is_end")).alias("active"), (F.col("pinned") | settled).alias("pinned"))
         if (n + 1) % keep_every == 0:
             state = stored(state, "selection")
+            # points only drop out or get pinned, so equal counts mean an equal state
+            now = state.agg(F.count_if("active"), F.count_if("pinned")).first()
+            if now == before:
+                break
+            before = now
     if reactivate:
         state = state.withColumn("active", F.col("active") | chance(seed, rounds + 1, F.col("oid"), density))
     return state.select("imgid", "oid", "active", "pinned", "is_end")

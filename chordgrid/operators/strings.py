@@ -113,7 +113,7 @@ def _named(candidates: DataFrame) -> DataFrame:
     return candidates.select("imgid", sid.alias("sid"), *STRING)
 
 
-def find_strings(strings: DataFrame, radii: tuple[float, ...] = (1.0, 2.0), **options) -> DataFrame:
+def merge_rounds(strings: DataFrame, radii: tuple[float, ...] = (1.0, 2.0), **options) -> DataFrame:
     """Rounds of merging that keep the candidates whose similarity score exceeds 1, in place of the strings before."""
     for radius in radii:
         found = merged(meetings(strings, radius), variant="sf", **options).withColumn("score", similarity())
@@ -121,7 +121,7 @@ def find_strings(strings: DataFrame, radii: tuple[float, ...] = (1.0, 2.0), **op
     return strings
 
 
-def find_string_tree(strings: DataFrame, radii: tuple[float, ...] = (0.5, 1.0, 1.5), **options) -> DataFrame:
+def merge_forest(strings: DataFrame, radii: tuple[float, ...] = (0.5, 1.0, 1.5), **options) -> DataFrame:
     """Rounds of merging that add the new strings, each with the set of all strings it was made of.
 
     Pairs of one string, of strings with a common ancestor, and of a string and its ancestor are left out.

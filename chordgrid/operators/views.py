@@ -13,14 +13,15 @@ def scaled(table: DataFrame, columns: tuple[str, ...], scale: float = 25.0, shif
     return table.withColumns({c: (F.col(c) + shift) * scale for c in columns})
 
 
-def edge_segments(points: DataFrame, edges: DataFrame, image: int, *, by: str = "source") -> DataFrame:
-    """(lf, rt, x0, y0, x1, y1, r, g, b): an image's edges as coloured segments; an edge belongs by its source, or by either end."""
+def edge_segments(points: DataFrame, edges: DataFrame, image: int | None = None, *, by: str = "source") -> DataFrame:
+    """(lf, rt, x0, y0, x1, y1, r, g, b): edges as coloured segments, of all images or one; an edge belongs by its source, or by either end."""
     at = points.select("oid", "imgid", F.col("y"), F.col("x"))
     lf = at.select(*[F.col(c).alias(f"l_{c}") for c in at.columns])
     rt = at.select(*[F.col(c).alias(f"r_{c}") for c in at.columns])
     joined = edges.select("lf", "rt").join(lf, F.col("lf") == F.col("l_oid")).join(rt, F.col("rt") == F.col("r_oid"))
-    mine = F.col("l_imgid") == image
-    joined = joined.where(mine if by == "source" else mine | (F.col("r_imgid") == image))
+    if image is not None:
+        mine = F.col("l_imgid") == image
+        joined = joined.where(mine if by == "source" else mine | (F.col("r_imgid") == image))
     joined = scaled(joined, ("l_y", "l_x", "r_y", "r_x"))
     colours = [c.alias(name) for c, name in zip(palette(F.col("rt")), "rgb")]
     return joined.select("lf", "rt", F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x1"), F.col("r_y").alias("y1"), *colours)

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from chordgrid.operators import canny, pooling
 from chordgrid.operators.components import components, image_components, roots
-from chordgrid.operators.neighbours import EIGHT, degrees, drop_coincident, endpoints, neighbours
-from chordgrid.plans.sql import COMPONENTS, DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
+from chordgrid.operators.neighbours import EIGHT, bipartite_neighbours, degrees, drop_coincident, endpoints, neighbours
+from chordgrid.operators.unionfind import UnionFind
+from chordgrid.plans.sql import COMPONENTS, DEGREES, ENDPOINTS, PIXELS, POINTS, STEPS, cells, edges, query
 from chordgrid.sources.images import embedding_pixels, event_points, points
 from chordgrid.sources.shapes import SHAPES, shape, shape_sql
 
@@ -96,6 +97,27 @@ def frnn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(event_points(spark, sf_dir), 2.0).select("imgid", "lf", "rt")
 
 
+@registered(query(POINTS, """lo AS (SELECT * FROM pt WHERE v <= 0.2), hi AS (SELECT * FROM pt WHERE v > 0.2)""", f"""
+    lc AS MATERIALIZED (SELECT imgid, oid, y, x, cy + sy AS cy, cx + sx AS cx FROM ({cells("lo", EIGHT)}), {STEPS}), hc AS MATERIALIZED ({cells("hi", EIGHT)})""", select=f"""
+    SELECT a.imgid, a.oid AS lf, b.oid AS rt, round(sqrt(CAST((a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS DOUBLE)), 6) AS d FROM lc a JOIN hc b ON a.imgid = b.imgid AND a.cy = b.cy AND a.cx = b.cx
+    WHERE (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= {EIGHT * EIGHT!r}"""))
+def frnn_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours between faint and bright points."""
+    found = graph(spark, sf_dir)[0]
+    return bipartite_neighbours(found.where("v <= 0.2"), found.where("v > 0.2"), EIGHT).withColumn("d", F.round("d", 6))
+
+
+@registered(query(POINTS, edges(), edges(radius=3.0, name="wide"), DEGREES, COMPONENTS, recursive=True, select="""
+    SELECT w.imgid, w.lf, w.rt FROM wide w JOIN cc a ON a.oid = w.lf JOIN cc b ON b.oid = w.rt WHERE a.ccid <> b.ccid"""))
+def unrelated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within three pixels of each other that no chain of neighbours joins."""
+    found, links = graph(spark, sf_dir)
+    label = components(found, links).select("oid", "ccid")
+    wide = neighbours(found, 3.0).select("imgid", "lf", "rt")
+    wide = wide.join(label.select(F.col("oid").alias("lf"), F.col("ccid").alias("a")), "lf").join(label.select(F.col("oid").alias("rt"), F.col("ccid").alias("b")), "rt")
+    return wide.where("a != b").select("imgid", "lf", "rt")
+
+
 @registered(query(POINTS, edges(), DEGREES, select="SELECT imgid, oid, degree FROM dg"))
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return degrees(*graph(spark, sf_dir))
@@ -107,7 +129,7 @@ def endpoint_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(query(PIXELS, """pt AS (SELECT imgid, oid, y * 0.7 AS y, x * 0.7 AS x FROM px WHERE v > 0.1)""", edges(radius=1.2),
-    select="SELECT imgid, oid FROM pt WHERE oid NOT IN (SELECT lf FROM ed WHERE d * d < 0.9)"))
+    select="SELECT p.imgid, p.oid FROM pt p LEFT JOIN (SELECT DISTINCT lf FROM ed WHERE d * d < 0.9) c ON c.lf = p.oid WHERE c.lf IS NULL"))
 def coincident_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = points(embedding_pixels(spark, sf_dir)).select("imgid", "oid", (F.col("y") * 0.7).alias("y"), (F.col("x") * 0.7).alias("x"))
     return drop_coincident(found).select("imgid", "oid")
@@ -133,6 +155,41 @@ def uf_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots(orders.select((2 * F.col("o_orderkey") + 1).alias("lf"), (2 * F.col("o_custkey")).alias("rt")))
 
 
+def supplier_forest(spark: SparkSession, sf_dir: str) -> UnionFind:
+    """Suppliers in order of their keys, those of one nation joined in turn."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("x"), F.col("s_nationkey").alias("nation"))
+    before = F.lag("x").over(Window.partitionBy("nation").orderBy("x"))
+    pairs = suppliers.select("x", before.alias("y"), F.col("x").alias("order")).where("y is not null")
+    return UnionFind.of(spark).add(suppliers.select("x", F.col("x").alias("order"))).union(pairs)
+
+
+_FOREST = """su AS (SELECT s_suppkey AS x, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_nationkey AS nation FROM supplier),
+    fo AS (SELECT x, idx, nation, min(idx) OVER (PARTITION BY nation) AS root FROM su)"""
+
+
+@registered(f"WITH {_FOREST} SELECT x, idx, root FROM fo")
+def uf_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_forest(spark, sf_dir).labelled().select("x", "idx", "root")
+
+
+@registered(f"WITH {_FOREST} SELECT a.x, b.x AS y, a.root = b.root AS connected FROM fo a JOIN fo b ON b.x = a.x + 1")
+def uf_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = supplier_forest(spark, sf_dir)
+    return forest.connected(forest.elements.select("x", (F.col("x") + 1).alias("y"))).where("connected is not null")
+
+
+@registered(f"WITH {_FOREST} SELECT root, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS members FROM fo GROUP BY 1")
+def uf_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = supplier_forest(spark, sf_dir).components()
+    return found.select("root", F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
+
+
+@registered(f"WITH {_FOREST} SELECT x, count(*) OVER (PARTITION BY root) AS size, min(x) OVER (PARTITION BY root) AS least FROM fo")
+def uf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = supplier_forest(spark, sf_dir).component_mapping()
+    return found.select("x", F.size("members").cast("long").alias("size"), F.array_min("members").alias("least"))
+
+
 @registered("SELECT p_partkey AS node, p_partkey // 8 * 8 AS root FROM part WHERE p_partkey % 8 <> 0")
 def uf_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of eight parts, each linked to the one before: the worst shape for label spreading."""
@@ -175,16 +232,16 @@ def regrid_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PACKED = """it AS (SELECT c.imgid, c.ccid, c.oid, p.y, p.x, p.v, row_number() OVER (PARTITION BY c.ccid ORDER BY c.oid) - 1 AS r
         FROM cc c JOIN pt p ON p.oid = c.oid),
     fl AS (SELECT imgid, ccid, k, CASE k % 3 WHEN 0 THEN y WHEN 1 THEN x ELSE round(v, 6) END AS f
-        FROM it, range(3) q(j), LATERAL (SELECT r * 3 + j AS k) WHERE k < 24)"""
+        FROM it, range(3) q(j), LATERAL (SELECT r * 3 + j AS k) WHERE k < 350)"""
 
 
 @registered(query(POINTS, edges(), DEGREES, COMPONENTS, _PACKED, recursive=True, select="""
     SELECT c.imgid, c.ccid, CAST(i AS INTEGER) AS place, CAST(coalesce(f.f, 0) AS DOUBLE) AS feature
-    FROM (SELECT DISTINCT imgid, ccid FROM cc) c CROSS JOIN range(24) t(i) LEFT JOIN fl f ON f.ccid = c.ccid AND f.k = i"""))
+    FROM (SELECT DISTINCT imgid, ccid FROM cc) c CROSS JOIN range(350) t(i) LEFT JOIN fl f ON f.ccid = c.ccid AND f.k = i"""))
 def stack_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, links = graph(spark, sf_dir)
     items = components(found.withColumn("v", F.round("v", 6)), links)
-    packed = pooling.stack_bind(items, ["y", "x", "v"], 24)
+    packed = pooling.stack_bind(items, ["y", "x", "v"], 350)
     return packed.select("imgid", "ccid", F.posexplode("packed").alias("place", "feature"))
 
 
@@ -203,18 +260,35 @@ def sobel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canny.sobel(embedding_pixels(spark, sf_dir)).select("imgid", "oid", F.round("dy", 6).alias("dy"), F.round("dx", 6).alias("dx"))
 
 
-_CANNY = """mg AS (SELECT imgid, oid, y, x, round(dy, 6) AS dy, round(dx, 6) AS dx, round(sqrt(dy * dy + dx * dx), 6) AS m FROM so),
+_THIN = """mg AS (SELECT imgid, oid, y, x, round(dy, 6) AS dy, round(dx, 6) AS dx, round(sqrt(dy * dy + dx * dx), 6) AS m FROM so),
     st AS (SELECT *, CASE WHEN abs(dy) <= 0.41421356 * abs(dx) THEN 0 ELSE 1 END AS sy,
                CASE WHEN abs(dy) <= 0.41421356 * abs(dx) THEN 1 WHEN abs(dy) >= 2.41421356 * abs(dx) THEN 0 ELSE CAST(sign(dy) * sign(dx) AS INTEGER) END AS sx FROM mg),
     nm AS (SELECT s.imgid, s.oid, s.y, s.x, s.m FROM st s LEFT JOIN mg a ON a.imgid = s.imgid AND a.y = s.y + s.sy AND a.x = s.x + s.sx
                LEFT JOIN mg b ON b.imgid = s.imgid AND b.y = s.y - s.sy AND b.x = s.x - s.sx
-           WHERE s.m > 0 AND s.m >= coalesce(a.m, 0) AND s.m > coalesce(b.m, 0)),
-    wk AS (SELECT * FROM nm WHERE m > 0.5),
-    strong(oid) AS (SELECT oid FROM wk WHERE m > 0.9
+           WHERE s.m > 0 AND s.m >= coalesce(a.m, 0) AND s.m > coalesce(b.m, 0))"""
+
+
+def _canny_sql(low: float, high: float) -> str:
+    """Edge pixels over the low threshold that reach one over the high."""
+    strong = f"""wk AS (SELECT * FROM nm WHERE m > {low!r}),
+    strong(oid) AS (SELECT oid FROM wk WHERE m > {high!r}
         UNION SELECT n.oid FROM strong r JOIN wk p ON p.oid = r.oid JOIN wk n ON n.imgid = p.imgid AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1)"""
+    return query(PIXELS, _SOBEL, _THIN, strong, recursive=True, select="SELECT w.imgid, w.oid, w.m FROM wk w JOIN strong s ON s.oid = w.oid")
+
+
+@registered(_canny_sql(0.0, 0.1))
+def canny_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges at the thresholds of pyramids, segments and interpolation."""
+    return canny.canny(embedding_pixels(spark, sf_dir), 0.0, 0.1).select("imgid", "oid", "m")
+
+
+@registered(_canny_sql(0.1, 0.1))
+def canny_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges at the one threshold of the string models."""
+    return canny.canny(embedding_pixels(spark, sf_dir), 0.1, 0.1).select("imgid", "oid", "m")
 
 
-@registered(query(PIXELS, _SOBEL, _CANNY, recursive=True, select="SELECT w.imgid, w.oid, w.m FROM wk w JOIN strong s ON s.oid = w.oid"))
+@registered(_canny_sql(0.5, 0.9))
 def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canny.canny(embedding_pixels(spark, sf_dir), 0.5, 0.9).select("imgid", "oid", "m")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours
 from chordgrid.plans.point_queries import _SOBEL, graph
 from chordgrid.plans.sql import DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
 from chordgrid.sources.images import embedding_pixels, points
+from chordgrid.sources.shapes import shape
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -130,15 +133,29 @@ def spline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered()
-def find_string_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of the tree; strings with their ancestors."""
-    found = strings.find_string_tree(string_table(spark, sf_dir), radii=(0.5, 0.6))
+def merge_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two rounds of the tree over all images; strings with the number of their ancestors.
+
+    The third round multiplies the strings of these images by about a hundred; ``merge_forest_shapes`` runs all three.
+    """
+    found = strings.merge_forest(string_table(spark, sf_dir), radii=(0.5, 1.0))
+    return found.select("imgid", "sid", F.size("ancestors").alias("n_ancestors"))
+
+
+@_registered()
+def merge_forest_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rounds of the tree over a bar and blocks of the synthetic shapes, each an image."""
+    drawn = [shape(spark, name).withColumn("imgid", F.lit(i).cast("long")) for i, name in enumerate(("topbar", "tetris"))]
+    pixels = reduce(DataFrame.unionByName, drawn)
+    lit = pixels.where("v > 0").select("imgid", (F.col("imgid") * 1024 + F.col("y") * 32 + F.col("x")).alias("oid"), "y", "x", F.lit(1.0).alias("n_y"), F.lit(0.0).alias("n_x"))
+    found = strings.merge_forest(strings.initial_strings(lit, neighbours(lit, EIGHT)))
     return found.select("imgid", "sid", F.size("ancestors").alias("n_ancestors"))
 
 
 @_registered()
-def find_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(strings.find_strings(string_table(spark, sf_dir), radii=(0.5,)))
+def merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rounds of merging."""
+    return _rounded(strings.merge_rounds(string_table(spark, sf_dir)))
 
 
 _LEVELS = """
@@ -147,7 +164,7 @@ _LEVELS = """
     im AS (SELECT max(imgid) + 1 AS n FROM px),
     nd AS (SELECT imgid, 4 AS level, imgid * 16 + y * 4 + x AS linid, imgid * 16 + y * 4 + x AS parent_linid, (y + 0.5) * 2 AS cy, (x + 0.5) * 2 AS cx, dy, dx, 2.0 AS size FROM g4 WHERE v > 0
         UNION ALL SELECT imgid, 8, n * 16 + imgid * 64 + y * 8 + x, imgid * 16 + y // 2 * 4 + x // 2, y + 0.5, x + 0.5, dy, dx, 1.0 FROM g8, im WHERE v > 0),
-    no AS (SELECT imgid, level, linid, parent_linid, cy::DOUBLE AS cy, cx::DOUBLE AS cx, CASE WHEN dy <> 0 OR dx <> 0 THEN dy / sqrt(dy ** 2 + dx ** 2) END AS ny,
+    no AS MATERIALIZED (SELECT imgid, level, linid, parent_linid, cy::DOUBLE AS cy, cx::DOUBLE AS cx, CASE WHEN dy <> 0 OR dx <> 0 THEN dy / sqrt(dy ** 2 + dx ** 2) END AS ny,
         CASE WHEN dy <> 0 OR dx <> 0 THEN dx / sqrt(dy ** 2 + dx ** 2) END AS nx, size::DOUBLE AS size FROM nd)"""
 
 
@@ -191,28 +208,41 @@ def equidistant_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_sql(n: int) -> str:
     return f"""
-        j{n} AS (SELECT b.lf AS oid, bool_or(NOT b.ok) AS fails, bool_or(b.ok) AS passes FROM nb b JOIN s{n - 1} p ON p.oid = b.lf AND p.active JOIN s{n - 1} q ON q.oid = b.rt AND q.active GROUP BY 1),
-        s{n} AS (SELECT s.imgid, s.oid, s.is_end, (s.active AND NOT coalesce(j.fails, false)) OR s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) OR s.is_end AS active,
+        j{n} AS MATERIALIZED (SELECT b.lf AS oid, bool_or(NOT b.ok) AS fails, bool_or(b.ok) AS passes FROM nb b JOIN s{n - 1} p ON p.oid = b.lf AND p.active JOIN s{n - 1} q ON q.oid = b.rt AND q.active GROUP BY 1),
+        s{n} AS MATERIALIZED (SELECT s.imgid, s.oid, s.is_end, (s.active AND NOT coalesce(j.fails, false)) OR s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) OR s.is_end AS active,
             s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) AS pinned FROM s{n - 1} s LEFT JOIN j{n} j ON j.oid = s.oid)"""
 
 
-_SELECT = f"""nb AS (SELECT lf, rt, d > 0.95 AND d < 1.05 AS ok FROM ed WHERE d <= 1.2 UNION ALL SELECT rt, lf, d > 0.95 AND d < 1.05 FROM ed WHERE d <= 1.2),
-    s0 AS (SELECT p.imgid, p.oid, en.oid IS NOT NULL AS is_end, en.oid IS NOT NULL OR {selection.chance_sql(5, 0, "p.oid", 0.5)} AS active, false AS pinned FROM pt p LEFT JOIN en ON en.oid = p.oid)"""
+def _select_sql(density: float) -> str:
+    return f"""nb AS MATERIALIZED (SELECT lf, rt, d > 0.95 AND d < 1.05 AS ok FROM ed WHERE d <= 1.2 UNION ALL SELECT rt, lf, d > 0.95 AND d < 1.05 FROM ed WHERE d <= 1.2),
+    s0 AS MATERIALIZED (SELECT p.imgid, p.oid, en.oid IS NOT NULL AS is_end, en.oid IS NOT NULL OR {selection.chance_sql(5, 0, "p.oid", density)} AS active, false AS pinned FROM pt p LEFT JOIN en ON en.oid = p.oid)"""
 
 
-@_registered(query(POINTS, edges(), DEGREES, ENDPOINTS, _SELECT, _round_sql(1), _round_sql(2), _round_sql(3), select="SELECT imgid, oid, active, pinned, is_end FROM s3"))
+@_registered(query(POINTS, edges(), DEGREES, ENDPOINTS, _select_sql(0.5), *map(_round_sql, range(1, 4)), select="SELECT imgid, oid, active, pinned, is_end FROM s3"))
 def equidistant_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds of the selection, without the last waking."""
+    """Three rounds of the selection from many points, without the last waking."""
     found, links = graph(spark, sf_dir)
     return selection.select_equidistant(found, endpoints(found, links), rounds=3, density=0.5, reactivate=False)
 
 
+#: Rounds that the twin unrolls; points settle in fewer, and what is settled stays so in all rounds.
+_SETTLED = 8
+
+
+@_registered(query(POINTS, edges(), DEGREES, ENDPOINTS, _select_sql(0.05), *map(_round_sql, range(1, _SETTLED + 1)),
+    select=f"SELECT imgid, oid, active OR {selection.chance_sql(5, 301, 'oid', 0.05)} AS active, pinned, is_end FROM s{_SETTLED}"))
+def equidistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole selection: 300 rounds and the last waking."""
+    found, links = graph(spark, sf_dir)
+    return selection.select_equidistant(found, endpoints(found, links))
+
+
 @_registered(query(POINTS, edges(), select="""
     SELECT e.lf, e.rt, (a.x + 0.5) * 25.0 AS x0, (a.y + 0.5) * 25.0 AS y0, (b.x + 0.5) * 25.0 AS x1, (b.y + 0.5) * 25.0 AS y1,
         round(e.rt * 33554431 % 255 / 255.0, 6) AS r, round(e.rt * 32767 % 255 / 255.0, 6) AS g, round(e.rt * 2097151 % 255 / 255.0, 6) AS b
-    FROM ed e JOIN pt a ON a.oid = e.lf JOIN pt b ON b.oid = e.rt WHERE a.imgid = 3"""))
+    FROM ed e JOIN pt a ON a.oid = e.lf JOIN pt b ON b.oid = e.rt"""))
 def draw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(views.edge_segments(*graph(spark, sf_dir), 3))
+    return _rounded(views.edge_segments(*graph(spark, sf_dir)))
 
 
 @_registered(query(POINTS, edges(), select="SELECT e.lf, e.rt, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM ed e JOIN pt a ON a.oid = e.lf JOIN pt b ON b.oid = e.rt"))
@@ -240,9 +270,9 @@ def draw_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered()
 def seg_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class scores of each image, from components' packed (y, x, v) through a small network of fixed weights."""
+    """Class scores of each image, from components' packed (y, x, v) through the network at its full widths."""
     pixels = embedding_pixels(spark, sf_dir)
     found, links = graph(spark, sf_dir)
-    packed = pooling.stack_bind(components(found, links), ["y", "x", "v"], 24).select("imgid", F.col("packed").alias("x"))
-    scores = segnet.forward(packed, pixels.select("imgid").distinct(), segnet.weights((24, 8, 16), classes=10))
+    packed = pooling.stack_bind(components(found, links), ["y", "x", "v"], segnet.WIDTHS[0]).select("imgid", F.col("packed").alias("x"))
+    scores = segnet.forward(packed, pixels.select("imgid").distinct(), segnet.weights(classes=10))
     return scores.select("imgid", F.posexplode("x").alias("class", "score")).withColumn("score", F.round("score", 6))

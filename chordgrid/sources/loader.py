@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chordgrid.operators.storage import stored
+
 # The images that debugging shows again and again, and the one image of the one-image set.
 DEBUG_IDS = (18803, 28702, 11915, 27372)
 ONE_IMAGE = 17
 
 
+# Names and defaults of the settings.
 @dataclass(frozen=True)
 class EngineOptions:
     """Settings of a run. Booleans are booleans; scales are pairs (least, most)."""
@@ -78,12 +81,16 @@ def subset_size(length: int, wanted: int | None) -> int:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with idx from 0 in the given order, counted in ranges so that no task sees all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    """``df`` with idx from 0 in the given order, counted in ranges so that no task sees all rows.
+
+    The ranged table is stored with the number of each row's range: bounds are sampled, so another run of the same plan
+    may cut other ranges, and offsets must be those of the very rows they number.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    placed = ranged.withColumn("__rank", rank).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")  # a row for each partition
+    placed = ranged.withColumn("__rank", rank).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part", "left")  # a row for each range
     return placed.withColumn("idx", (F.col("__before") + F.col("__rank")).cast("long")).drop("__part", "__rank", "__before")
 
 
@@ -186,6 +193,40 @@ def load_images(spark: SparkSession, images: DataFrame, options: EngineOptions,
     return batches(table, options.batch_size)
 
 
+def resized_to(pixels: DataFrame, side: int, wanted: int) -> DataFrame:
+    """(imgid, y, x, v): square images of ``side`` scaled to ``wanted``, each target pixel from its nearest source."""
+    images = pixels.select("imgid").distinct()
+    cells = images.select("imgid", F.explode(F.sequence(F.lit(0), F.lit(wanted * wanted - 1))).alias("i"))
+    y, x = F.expr(f"i div {wanted}"), F.col("i") % wanted
+    source = [F.floor((2 * c + 1) * side / (2 * wanted)).cast("long") for c in (y, x)]
+    cells = cells.select("imgid", y.cast("long").alias("y"), x.cast("long").alias("x"), source[0].alias("sy"), source[1].alias("sx"))
+    values = pixels.select("imgid", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    return cells.join(values, ["imgid", "sy", "sx"]).select("imgid", "y", "x", "v")
+
+
+def load_pixels(pixels: DataFrame, options: EngineOptions, train: bool = True, seed: int = 1) -> DataFrame:
+    """Pixels (imgid, y, x, v) of square images of ``img_size`` after the transforms that one split's options name, in their order.
+
+    Resizing to ``img_resize``, turning by an angle of each image within half a turn, values from -1 to 1, then a size of
+    its own for each image. Without any of them the pixels stay as they are.
+    """
+    mode = "train" if train else "test"
+    pixels, side = pixels.select("imgid", "y", "x", "v"), options.img_size
+    if options.img_resize:
+        pixels, side = resized_to(pixels, side, options.img_resize), options.img_resize
+    if getattr(options, f"{mode}_rotate"):
+        part = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("angle"), F.col("imgid").cast("string"))), 1, 8), 16, 10).cast("long")
+        pixels = rotated(pixels, side, part / 4294967296.0 * 360.0 - 180.0)
+    if getattr(options, f"{mode}_normalize"):
+        pixels = transformed(pixels)
+    scale = getattr(options, f"{mode}_scale")
+    if scale is not None:
+        low, high = scale
+        size = debug_size(side, low, high, F.col("imgid")) if options.debug else random_size(side, low, high, F.col("imgid"), seed)
+        pixels = resized(pixels.withColumn("size", size), side, low).drop("size")
+    return pixels
+
+
 def save_checkpoint(weights: DataFrame, folder: str, epoch: int, batch: int) -> str:
     """Weights (name, values) without samplers and edge detectors, under the epoch's and batch's name."""
     path = f"{folder}/epoch_{epoch}_batch_{batch}"

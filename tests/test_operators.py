@@ -124,3 +124,55 @@ def test_running_means(spark, tmp_path):
     running_means(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = totals(spark.read.parquet(str(tmp_path / "out"))).first()
     assert (got.batches, got.count_avg, got.devs) == (6, 2.5, 3.0)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_a_permutation_over_many_ranges(spark, adaptive):
+    n = 1_000_000
+    table = spark.range(n).select(F.xxhash64("id").alias("key"), "id").repartition(9)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = loader.numbered(table, "key", "id")
+        found = placed.agg(F.count("*"), F.min("idx"), F.max("idx"), F.countDistinct("idx")).first()
+        assert tuple(found) == (n, 0, n - 1, n)
+        ordered = placed.select(F.floor(F.col("idx") / 1000).alias("k"), "key").groupBy("k").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("k").collect()
+        assert all(a.hi < b.lo for a, b in zip(ordered, ordered[1:]))
+        shuffled = loader.shuffled(placed.select("id", "idx"), 3, "id")
+        assert tuple(shuffled.agg(F.count("*"), F.max("idx"), F.countDistinct("idx")).first()) == (n, n - 1, n)
+        assert loader.batches(placed, 7).groupBy("batch").count().where("count != 7").count() == 0
+        assert loader.rank_split(placed, 2, 3).count() == n // 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_loaded_pixels_follow_the_options(spark):
+    pixels = images.embedding_pixels(spark, "/root/testdata/sf0.001").where("imgid < 3").select("imgid", "y", "x", "v")
+    plain = loader.EngineOptions(img_size=8)
+    assert sorted(map(tuple, loader.load_pixels(pixels, plain).collect())) == sorted(map(tuple, pixels.collect()))
+    scaled = loader.load_pixels(pixels, loader.EngineOptions(img_size=8, img_resize=16, train_normalize=True)).collect()
+    source = {(r.imgid, r.y, r.x): r.v for r in pixels.collect()}
+    assert len(scaled) == 3 * 256 and all(abs(r.v - (source[r.imgid, r.y // 2, r.x // 2] * 2 - 1)) < 1e-9 for r in scaled)
+    turned = loader.load_pixels(pixels, loader.EngineOptions(img_size=8, train_rotate=True, train_scale=(0.5, 1.0)))
+    assert turned.count() == 3 * 64 and turned.where("v = -1").count() > 0
+    assert loader.load_pixels(pixels, loader.EngineOptions(img_size=8, train_rotate=True), train=False).exceptAll(pixels).count() == 0
+
+
+def test_selection_stops_where_nothing_changes(spark):
+    points = shape_points(spark, "circle")
+    ends = endpoints(points, neighbours(points, EIGHT))
+    few = selection.select_equidistant(points, ends, rounds=12, density=0.4, reactivate=False)
+    many = selection.select_equidistant(points, ends, rounds=300, density=0.4, reactivate=False)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from chordgrid.operators.storage import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=context))
