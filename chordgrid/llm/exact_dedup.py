@@ -1,10 +1,11 @@
 """Exact deduplication by an extendible-hash index that lives in shared files. DataFrame functions only.
 
-Records go to shared storage as hashes and row numbers, without their texts. The directory maps the leading bits of the hash to buckets: it
-starts with one bucket and doubles while a bucket holds too many records, so a bucket is a range of hashes. The index
-entries of a bucket are made where its texts meet: equal hashes chain, and the texts themselves are compared as
-grouping keys, byte by byte. Groups are pre-aggregated before they move, so a text with a third of all rows moves as
-one row per task; the way back to its rows is an equi-join that Spark can split.
+Records go to shared storage as hashes and row numbers, without their texts. The directory maps the leading bits of the hash
+to buckets: it starts with one bucket and doubles while a bucket holds too many records, so a bucket is a range of hashes.
+What no doubling parts, many records of few hashes, spills over to pages of its bucket, dealt by row number. Buckets and
+their pages own the work: texts move to the owner of theirs, where equal hashes chain and texts are compared byte by
+byte, so a text with a third of all rows is as many pages as it fills. The owners' entries, merged over the pages of a
+bucket, are the index; the way back to the rows is an equi-join that Spark can split.
 """
 
 from __future__ import annotations
@@ -19,35 +20,35 @@ def normalised(text: str) -> Column:
     return F.regexp_replace(text_of(text), BLANKS, " ")
 
 
-def directory(records: DataFrame, n_rows: int, bucket_rows: int, max_depth: int = 18) -> tuple[DataFrame, int]:
-    """(cell, bucket, depth) for each cell of the leading bits of ``h``, and the number of bits.
+def directory(records: DataFrame, n_rows: int, bucket_rows: int) -> tuple[DataFrame, int]:
+    """(cell, bucket, depth, pages) for each cell of the leading bits of ``h``, and the number of bits.
 
     Depths 0 to the full depth are the successive doublings; a cell belongs to the first whose bucket holds at most
-    ``bucket_rows`` records. At most 2**max_depth rows, which bounds what is broadcast.
+    ``bucket_rows`` records. Buckets are at least so large that there are at most 2**19 cells, which bounds what is
+    broadcast; a bucket that is overfull at the full depth has several pages.
     """
-    bits = min(max_depth, max(1, (n_rows // bucket_rows).bit_length() + 3))
+    bucket_rows = max(bucket_rows, n_rows >> 15)
+    bits = max(1, (n_rows // bucket_rows).bit_length() + 3)
     cells = records.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("cell")).agg(F.count("*").alias("n"))
     tries = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
     tries = tries.withColumn("bucket", F.expr(f"(cell div shiftleft(1L, {bits} - depth)) * shiftleft(1L, {bits} - depth)"))
     loads = tries.groupBy("depth", "bucket").agg(F.sum("n").alias("load"))
-    fits = loads.where((F.col("load") <= bucket_rows) | (F.col("depth") == bits)).select("depth", "bucket")
-    chosen = tries.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    start = F.expr(f"(cell div shiftleft(1L, {bits} - depth)) * shiftleft(1L, {bits} - depth)")
-    return chosen.select("cell", start.alias("bucket"), "depth"), bits
+    fits = loads.where((F.col("load") <= bucket_rows) | (F.col("depth") == bits))
+    chosen = tries.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "load")).alias("c"))
+    return chosen.select("cell", "c.bucket", "c.depth", F.ceil(F.col("c.load") / bucket_rows).alias("pages")), bits
 
 
 def index(texts: DataFrame, records: DataFrame, bucket_rows: int) -> DataFrame:
-    """The stored index: one entry (bucket, depth, h, sha, keep_id, group_size) for each distinct text, by ranges of buckets."""
+    """The stored index: one entry (bucket, depth, h, sha, keep_id, group_size) for each distinct text, made by its owner."""
     cells, bits = directory(records, records.count(), bucket_rows)
-    keyed = texts.select(F.shiftrightunsigned("h", 64 - bits).alias("cell"), "h", "norm", "id")
-    entries = (
-        keyed.join(F.broadcast(cells), "cell")
-        .groupBy("bucket", "depth", "h", "norm")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("bucket", "depth", "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    )
-    owners = shuffle_partitions(records.sparkSession)
-    return stored(entries.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h"), "hash-index")
+    cells = stored(cells, "hash-directory")
+    keyed = texts.select("rid", F.shiftrightunsigned("h", 64 - bits).alias("cell"), "h", "norm", "id").join(F.broadcast(cells), "cell")
+    keyed = keyed.withColumn("page", F.pmod(F.xxhash64("rid"), "pages"))
+    owned = keyed.repartition(shuffle_partitions(records.sparkSession), "bucket", "page")
+    chains = owned.groupBy("bucket", "page", "depth", "pages", "h", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    paged = chains.where("pages > 1").groupBy("bucket", "depth", "h", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    columns = ["bucket", "depth", "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"]
+    return stored(chains.where("pages = 1").select(columns).unionByName(paged.select(columns)), "hash-index")
 
 
 def verdicts(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> DataFrame:
@@ -79,7 +80,7 @@ def verdicts(df: DataFrame, doc_id: str, text: str, bucket_rows: int) -> DataFra
     )
 
 
-def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
+def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 1024) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct), keep_id, group_size, kept, text_sha256 for each row of ``df``.
 
     Texts are equal when they are the same bytes after each run of blanks became one space; null counts as empty. The
@@ -92,8 +93,11 @@ def mark_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bu
     return rows.join(verdicts(own, doc_id, text, bucket_rows), "rid").drop("rid")
 
 
-def drop_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 65_536) -> DataFrame:
-    """The rows of ``df`` that stay, with its columns. Verdicts are found without the rows, which move once."""
+def drop_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 1024) -> DataFrame:
+    """The rows of ``df`` that stay, with its columns; nulls, empty texts, ties and repeats as in ``mark_copies``.
+
+    Verdicts are found without the rows, which move once. Very long texts are compared whole; an empty table stays empty.
+    """
     own = numbered(df)
     dropped = verdicts(own, doc_id, text, bucket_rows).where(~F.col("kept")).select(F.col("rid").alias(RID))
     return own.join(dropped, RID, "left_anti").select(*[f"`{name}`" for name in df.columns])
