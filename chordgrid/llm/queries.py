@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chordgrid.llm import exact_dedup, licences, media, mixing, ngram_join, packing, repeated_spans, sharding, token_counts, toxicity
 from chordgrid.llm.common import WORD, documents, text_of
 from chordgrid.llm.tokenizing import tokenizer_path
+from chordgrid.operators.storage import shared_dir
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +31,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), F.octet_length(text_of("text")) + 1)
-    return sharded.select(
+    written = sharding.write_shards(sharded, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return written.select(
         "row.doc_id", "size", F.crc32(text_of("row.text").cast("binary")).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -49,7 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), size=F.regexp_count(text_of("text"), F.lit(WORD)), carry=["doc_id"])
-    return mixing.taken_words(*mixed).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(*mixed).select("row.doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

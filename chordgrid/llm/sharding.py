@@ -2,7 +2,9 @@
 
 Pass one scatters records into memory-sized buckets by a seeded hash of their number. Pass two brings each bucket
 together, puts it in record order, shuffles it (Spark's ``shuffle`` is a Fisher-Yates shuffle), and writes it at the
-bucket's place. Buckets are filled by record number, so equal texts or equal ids never gather in one of them.
+bucket's place. Buckets are filled by record number, so equal texts or equal ids never gather in one of them. Their number
+follows the bytes alone and each has its own place among as many partitions, so neither the session's number of
+partitions nor a run after a lost executor changes the order.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chordgrid.llm.common import RID, numbered, shuffle_partitions
+from chordgrid.llm.common import RID, numbered
 
 
 def offsets(dealt: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def offsets(dealt: DataFrame) -> DataFrame:
     return counts.withColumn("inner", inner).join(ranges, "range").select("bucket", (F.col("range_offset") + F.col("inner")).alias("offset"))
 
 
-def shard(df: DataFrame, size: Column, *, shards: int = 16, seed: int = 7, bucket_bytes: int = 16 << 20) -> DataFrame:
+def shard(df: DataFrame, size: Column, *, shards: int = 16, seed: int = 7, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct) with size, shard and slot: all rows in random order, cut in equal runs.
 
     The law is `rows`: shard sizes in rows differ by one at most, and slots count from 0 without gaps. ``df`` is read
@@ -34,10 +36,11 @@ def shard(df: DataFrame, size: Column, *, shards: int = 16, seed: int = 7, bucke
     row = F.struct(*[f"`{name}`" for name in df.columns]).alias("row")
     sized = numbered(df).select(F.col(RID).alias("rid"), row, size.cast("long").alias("size"))
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(shuffle_partitions(df.sparkSession), -(-total // bucket_bytes))
+    buckets = max(1, -(-total // bucket_bytes))
     dealt = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(buckets)))
-    mixed = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rid", "size", "row"))).alias("records"))
-    mixed = mixed.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("pos", "record"))
+    # as many partitions as buckets: a task holds few of them; in bucket order, so that the shuffle draws the same again
+    met = dealt.repartition(buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rid", "size", "row"))).alias("records"))
+    mixed = met.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("records", seed)).alias("pos", "record"))
     placed = mixed.join(offsets(dealt), "bucket").withColumn("place", F.col("offset") + F.col("pos"))
     least, longer = n // shards, n % shards
     cut = longer * (least + 1)
@@ -48,6 +51,12 @@ def shard(df: DataFrame, size: Column, *, shards: int = 16, seed: int = 7, bucke
     )
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard; a bucket lies in one or two of them, its rows in slot order."""
-    sharded.select("row.*", "shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str) -> DataFrame:
+    """One folder for each shard under ``path``, and what they hold, read back: ``row`` with its size, law, shard and slot.
+
+    A bucket's rows lie in one or two folders. What an input row holds (nulls, empty and very long texts, repeats) is
+    written as it is; its columns stay inside ``row``, so none clashes with ``shard``; without rows there are no folders,
+    and the result is empty.
+    """
+    sharded.write.partitionBy("shard").parquet(path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)
