@@ -1,8 +1,9 @@
-"""Packing by multiway differencing (Karmarkar and Karp): near-equal windows, more of them when one overflows."""
+"""Packing by multiway differencing (Karmarkar and Karp): near-equal windows, more of them when one overflows, cuts last."""
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -63,33 +64,52 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal groups with sums of at most ``capacity``; their number starts at the least and rises on overflow.
+def fitted(sizes: list[int], capacity: int, padding: float = 0.01) -> list[list[tuple[int, int, int]]]:
+    """Windows of (position, start, length) with sums of at most ``capacity``; sizes are at most that.
 
-    It rises to where the largest sum would fit if it stayed as far above the mean as it is.
+    Whole pieces are differenced into the least number of windows. If one overflows, the number rises as far as
+    ``padding`` allows; what overflows then is cut off and fills the gaps of other windows.
     """
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
-    while sizes:
-        groups = differencing(sizes, k)
-        most = max(sum(sizes[i] for i in g) for g in groups)
-        if most <= capacity:
-            return [g for g in groups if g]
-        k = max(k + 1, int(total / (capacity - most + total / k)) if capacity > most - total / k else 2 * k)
-    return []
+    least = max(1, -(-sum(sizes) // capacity))
+    for k in dict.fromkeys((least, math.ceil(least * (1 + padding)))):
+        groups = differencing(sizes, k) if sizes else []
+        if all(sum(sizes[i] for i in g) <= capacity for g in groups):
+            return [[(i, 0, sizes[i]) for i in g] for g in groups if g]
+    out, over = [], []
+    for g in groups:
+        window, room = [], capacity
+        for i in sorted(g, key=lambda i: sizes[i]):  # the largest is the one that is cut
+            length = min(room, sizes[i])
+            if length:
+                window.append((i, 0, length))
+            if length < sizes[i]:
+                over.append((i, length, sizes[i] - length))
+            room -= length
+        out.append((room, window))
+    out.sort(key=lambda w: -w[0])
+    over.sort(key=lambda piece: piece[2])
+    for room, window in out:
+        while room and over:
+            i, start, length = over.pop()
+            part = min(room, length)
+            window.append((i, start, part))
+            room -= part
+            if part < length:
+                over.append((i, start + part, length - part))
+    return [window for _, window in out if window]
 
 
 def pack(
-    df: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, grain: int = 512, block_pieces: int = 2048
+    df: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, block_pieces: int = 2048
 ) -> DataFrame:
     """One row for each piece of each row's ids (with ``end_id`` appended): where it starts and where it lies.
 
     Every input partition packs its own rows, so nothing is shuffled: each full piece of ``capacity`` ids is a
-    sequence, the rest of a row is cut into pieces of at most ``grain`` ids, and each ``block_pieces`` of those are
-    packed together (the finer they are, the nearer to equal the windows get). sequence_id is the partition's number times
-    2**40 plus a count. A null or empty text is the lone end id; repeated rows are documents of their own; a null
-    doc_id stays null; other columns are not read; an empty table gives an empty result. Ties in size keep input
-    order, so a rerun over the same partitions gives the same rows.
+    sequence, and the rests of rows, ``block_pieces`` at a time, are differenced whole into near-equal windows; only what
+    overflows a window is cut (``fitted``). sequence_id is the partition's number times 2**40 plus a count. A null or empty
+    text is the lone end id; a very long text is encoded whole, segment by segment; repeated rows are documents of their
+    own; a null doc_id stays null; other columns are not read; an empty table gives an empty result. Ties in size keep
+    input order, so a rerun over the same partitions gives the same rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +117,19 @@ def pack(
         tail = np.uint32(end_id).tobytes()
         next_id = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []  # finished pieces
-        rest: list[tuple] = []  # pieces that wait for their block
+        rest: list[tuple] = []  # (doc_id, start, ids, doc_tokens) of pieces that wait for their block
+
+        def piece(key: int | None, start: int, ids: bytes, n: int, offset: int) -> tuple:
+            return (key, start, len(ids) // 4, zlib.crc32(ids), n, next_id, offset)
 
         def close() -> None:
             nonlocal next_id
-            for group in windows([piece[2] for piece in rest], capacity):
+            for window in fitted([len(ids) // 4 for _, _, ids, _ in rest], capacity):
                 offset = 0
-                for i in group:
-                    rows.append((*rest[i], next_id, offset))
-                    offset += rest[i][2]
+                for i, at, length in window:
+                    key, start, ids, n = rest[i]
+                    rows.append(piece(key, start + at, ids[4 * at : 4 * (at + length)], n, offset))
+                    offset += length
                 next_id += 1
             rest.clear()
 
@@ -119,16 +143,12 @@ def pack(
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = ids_of.encode(value) + tail
                 n = len(ids) // 4
-                start = 0
-                while start < n:
-                    length = capacity if n - start >= capacity else min(grain, n - start)
-                    piece = (key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)
-                    if length == capacity:
-                        rows.append((*piece, next_id, 0))
-                        next_id += 1
-                    else:
-                        rest.append(piece)
-                    start += length
+                whole = n // capacity * capacity
+                for start in range(0, whole, capacity):
+                    rows.append(piece(key, start, ids[4 * start : 4 * (start + capacity)], n, 0))
+                    next_id += 1
+                if whole < n:
+                    rest.append((key, whole, ids[4 * whole :], n))
                 if len(rest) >= block_pieces:
                     close()
                 if len(rows) >= 8192:
