@@ -3,8 +3,8 @@
 1. Mining: on a bounded sample of labelled rows, whole words (lexicon) and word beginnings (patterns) are counted by
    label; those that mark toxic rows become features, the best of them voters.
 2. Votes: every document is read once; the features it has are stored with the set of its voters.
-3. Label model: over the votes of all documents, expectation maximisation estimates how often each voter fires in either
-   class, and the correlations of voters given the class; a voter counts the less the more correlated ones fire with
+3. Label model: over the votes of all documents, expectation maximisation estimates in each round how often each voter fires in either
+   class, and the correlations of voters within either class; a voter counts the less the more correlated ones fire with
    it. A voter that doesn't fire abstains; a document where none fires has the vote of silence.
 4. Classifier: logistic regression on the features of the sample, with the label model's posteriors as its labels.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chordgrid.llm.common import stored, text_of
+from chordgrid.llm.common import RID, numbered, stored, text_of
 from chordgrid.llm.tokenizing import segments
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -42,7 +42,7 @@ class Settings:
     features: int = 2048
     voters: int = 48
     least_rows: int = 3  # toxic sample rows that have a feature
-    least_share: float = 0.02  # of all toxic sample rows, likewise
+    chance: float = 0.5  # features that chance alone may add
     least_ratio: float = 6.0  # of its rates in toxic and other rows
     rounds: int = 6
     words_kept: int = 300_000  # word table of a worker
@@ -156,11 +156,13 @@ def mine(sample: DataFrame, settings: Settings) -> Model:
     counted = counted.groupBy("feature", "level").agg(F.sum("toxic_rows").alias("toxic_rows"), F.sum("other_rows").alias("other_rows"))
     rate = (F.col("toxic_rows") + 0.5) / (total.toxic + 1.0)
     ratio = rate / ((F.col("other_rows") + 0.5) / (total.n - total.toxic + 1.0))
-    least = max(settings.least_rows, math.ceil(settings.least_share * total.toxic))
+    often = stored(counted.where(F.col("toxic_rows") >= settings.least_rows), "toxicity-features")
+    # Chernoff's bound on as many toxic rows by chance; with many candidates, few toxic rows prove little
+    expected = (F.col("toxic_rows") + F.col("other_rows")) * (max(total.toxic, 1) / max(total.n, 1))
+    surprise = F.col("toxic_rows") * F.log(F.col("toxic_rows") / expected) - F.col("toxic_rows") + expected
     best = (
-        counted.where(F.col("toxic_rows") >= least)
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= settings.least_ratio)
+        often.withColumn("ratio", ratio)
+        .where((F.col("ratio") >= settings.least_ratio) & (surprise >= math.log(max(1, often.count()) / settings.chance)))
         .withColumn("evidence", F.col("toxic_rows") * F.log("ratio"))
         .orderBy(F.desc("evidence"), F.desc(F.length("feature")), "feature", "level")
         .limit(settings.features)
@@ -175,7 +177,7 @@ def mine(sample: DataFrame, settings: Settings) -> Model:
     return Model([*chosen], levels, ratios, (total.toxic + 0.5) / (total.n + 1), min(len(chosen), settings.voters))
 
 
-HITS = "doc_id long, votes long, features array<int>, counts array<int>, words long"
+HITS = "rid long, doc_id long, votes long, features array<int>, counts array<int>, words long"
 
 
 def hits(documents: DataFrame, model: Model, settings: Settings) -> DataFrame:
@@ -185,16 +187,17 @@ def hits(documents: DataFrame, model: Model, settings: Settings) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(names, kept)
         for batch in batches:
-            found = [matcher.counts(text.as_py()) for text in batch.column(1)]
+            found = [matcher.counts(text.as_py()) for text in batch.column(2)]
             votes = [sum(1 << i for i, n in row.items() if i < n_voters and present(n, words, levels[i])) for row, words in found]
             features = pa.array([sorted(row) for row, _ in found], pa.list_(pa.int32()))
             counts = pa.array([[row[i] for i in sorted(row)] for row, _ in found], pa.list_(pa.int32()))
             words = pa.array([words for _, words in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(votes, pa.int64()), features, counts, words], names=["doc_id", "votes", "features", "counts", "words"]
+                [*batch.columns[:2], pa.array(votes, pa.int64()), features, counts, words], names=["rid", "doc_id", "votes", "features", "counts", "words"]
             )
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").cast("binary").alias("text"))
+    rid = F.col(RID) if RID in documents.columns else F.lit(None).cast("long")
+    source = documents.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of("text").cast("binary").alias("text"))
     return source.mapInArrow(find, HITS)
 
 
@@ -202,13 +205,19 @@ def _fires(voter: int) -> Column:
     return F.getbit("votes", F.lit(voter)).cast("double")
 
 
-def _posterior(prior: float, silence: float, evidence: np.ndarray, correlation: np.ndarray | None = None) -> Column:
-    total = F.lit(prior) + F.when(F.col("votes") == 0, silence).otherwise(0.0)
-    for j, weight in enumerate(evidence):
+def _voices(weights: np.ndarray, correlation: np.ndarray) -> Column:
+    """The sum of the weights of voters that fire, each the less the more correlated ones fire with it."""
+    total = F.lit(0.0)
+    for j, weight in enumerate(weights):
         voice = _fires(j) * float(weight)
-        if correlation is not None and correlation[j].any():
+        if correlation[j].any():
             voice = voice / sum((_fires(int(k)) * float(correlation[j, k]) for k in np.flatnonzero(correlation[j])), F.lit(1.0))
         total = total + voice
+    return total
+
+
+def _posterior(prior: float, silence: float, evidence: Column) -> Column:
+    total = F.lit(prior) + F.when(F.col("votes") == 0, silence).otherwise(0.0) + evidence
     return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), total))))
 
 
@@ -222,8 +231,9 @@ def label_model(votes: DataFrame, model: Model, rounds: int) -> Column:
     if not n_voters:
         return F.lit(0.0)
     patterns = stored(votes.groupBy("votes").agg(F.count("*").alias("n")), "vote-patterns")
-    posterior = _posterior(math.log(model.toxic_share / (1 - model.toxic_share)), -2.0, np.log(model.ratios[:n_voters]))
-    for step in range(rounds):
+    alone = np.zeros((n_voters, n_voters))
+    posterior = _posterior(math.log(model.toxic_share / (1 - model.toxic_share)), -2.0, _voices(np.log(model.ratios[:n_voters]), alone))
+    for _ in range(rounds):
         weighted = patterns.withColumn("p", posterior)
         one, none = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
         sums = weighted.agg(
@@ -235,28 +245,34 @@ def label_model(votes: DataFrame, model: Model, rounds: int) -> Column:
             return F.lit(0.0)
         a, b = np.array(sums.a, float), np.array(sums.b, float)
         rate_a, rate_b = (a + 0.5) / (sums.toxic + 1), (b + 0.5) / (sums.other + 1)
-        correlation = _correlations(weighted, a, sums.toxic, n_voters) if step == rounds - 1 else None
-        evidence = np.log(rate_a / rate_b)
+        toxic_pairs, other_pairs = _correlations(weighted, a, b, sums.toxic, sums.other, n_voters)
+        # of each class a voter's own rate, and which voters fire with it beyond their rates
+        both = np.maximum(toxic_pairs, other_pairs)
+        evidence = _voices(np.log(rate_a / rate_b), both)
         silence = math.log((sums.silent_toxic + 0.5) / (sums.toxic + 1)) - math.log((sums.silent_other + 0.5) / (sums.other + 1))
         prior = math.log((sums.toxic + 0.5) / (sums.other + 0.5))
-        posterior = _posterior(prior, silence, evidence, correlation)
+        posterior = _posterior(prior, silence, evidence)
     return posterior
 
 
-def _correlations(weighted: DataFrame, fired: np.ndarray, toxic: float, n_voters: int) -> np.ndarray:
-    """The voters' correlations among toxic documents, those of at least 0.2."""
+def _correlations(weighted: DataFrame, fired_toxic: np.ndarray, fired_other: np.ndarray, toxic: float, other: float, n_voters: int) -> list[np.ndarray]:
+    """The voters' correlations among toxic and among other documents, those of at least 0.2."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(n_voters - 1)), lambda j: F.getbit("votes", j) == 1)
-    pairs = weighted.where("votes != 0").select(F.explode(bits).alias("j"), "votes", (F.col("n") * F.col("p")).alias("w"))
-    pairs = pairs.select("j", F.explode(bits).alias("k"), "w").groupBy("j", "k").agg(F.sum("w").alias("w"))
-    joint = np.zeros((n_voters, n_voters))
+    pairs = weighted.where("votes != 0").select(F.explode(bits).alias("j"), "votes", (F.col("n") * F.col("p")).alias("u"), (F.col("n") * (1 - F.col("p"))).alias("w"))
+    pairs = pairs.select("j", F.explode(bits).alias("k"), "u", "w").groupBy("j", "k").agg(F.sum("u").alias("u"), F.sum("w").alias("w"))
+    joint = np.zeros((2, n_voters, n_voters))
     for row in pairs.collect():  # at most the square of the number of voters
-        joint[row.j, row.k] = row.w / toxic
-    p = np.clip(fired / toxic, 1e-9, 1 - 1e-9)
-    spread = np.sqrt(p * (1 - p))
-    correlation = np.clip((joint - np.outer(p, p)) / np.outer(spread, spread), 0, 1)
-    np.fill_diagonal(correlation, 0)
-    correlation[correlation < 0.2] = 0
-    return correlation
+        joint[:, row.j, row.k] = row.u, row.w
+    out = []
+    for together, fired, n in zip(joint, (fired_toxic, fired_other), (max(toxic, 1e-9), max(other, 1e-9))):
+        p = np.clip(fired / n, 1e-9, 1 - 1e-9)
+        spread = np.sqrt(p * (1 - p))
+        # a class of few rows shows chance pairs: its correlations shrink as with ten more rows that show none
+        correlation = np.clip((together / n - np.outer(p, p)) / np.outer(spread, spread), 0, 1) * (n / (n + 10))
+        np.fill_diagonal(correlation, 0)
+        correlation[correlation < 0.2] = 0
+        out.append(correlation)
+    return out
 
 
 def signals(features: list, counts: list, words: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,21 +341,20 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def score_column(model: Model, text: str, settings: Settings = Settings()) -> Column:
-    """The fitted model's score of a text column."""
-    matcher: list[Matcher] = []
-
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        if not matcher:
-            matcher.append(Matcher(model.features, settings.words_kept))
-        found = [matcher[0].counts(text) for text in texts]
-        return pd.Series(_scores(model, [[*row] for row, _ in found], [[*row.values()] for row, _ in found], [words for _, words in found]))
+def drop_toxic(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``documents`` that the fitted model doesn't reject, with all their columns.
 
-    return scores(text_of(text).cast("binary"))
+    Texts are matched once, and scores join the rows by their numbers. Null and empty texts stay (unless all are toxic);
+    very long texts are read whole; repeated rows share a fate; an empty table stays empty.
+    """
+    own = numbered(documents)
+    model, found = fit(own, labels, settings)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(model, *(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["rid"]).filter(pa.array(scores >= THRESHOLD))
 
-def drop_toxic(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``documents`` that the fitted model doesn't reject, with all their columns."""
-    model, _ = fit(documents, labels, settings)
-    return documents.where(score_column(model, "text", settings) < THRESHOLD)
+    rejected = found.select("rid", "features", "counts", "words").mapInArrow(run, "rid long")
+    rejected = stored(rejected.select(F.col("rid").alias(RID)), "toxicity-rejected")
+    return own.join(rejected, RID, "left_anti").select(*[f"`{name}`" for name in documents.columns])
