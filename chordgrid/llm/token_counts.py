@@ -17,7 +17,7 @@ def balanced(texts: list[bytes], batch_bytes: int) -> Iterator[list[tuple[int, b
     """(row, segment) lists of about ``batch_bytes`` each; a long text is split at white space over several lists."""
     batch, size = [], 0
     for row, text in enumerate(texts):
-        for segment in segments(text, batch_bytes):
+        for segment in segments(text, batch_bytes, marks=True):
             batch.append((row, segment))
             size += len(segment)
             if size >= batch_bytes:

@@ -14,20 +14,30 @@ from array import array
 from collections.abc import Iterator
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: The end of letters (ASCII, or a Han character) before white space or a mark that no special string has.
+_LETTER_THEN_MARK = re.compile(rb"(?:[A-Za-z]|[\xe4-\xe9][\x80-\xbf]{2})(?=[\x20\x09-\x0D]|[,.;:!?](?![\x80-\xff])|\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f])")
 #: ASCII punctuation without the apostrophe, which the vocabulary joins to letters.
 _MARKS = string.punctuation.replace("'", "").encode()
 _PROBES = [w.encode() for w in ("abcdefghijklmnopqrstuvwxyz", "Word,", "straße.", "Élan;", "x###", "naïveté***")]
 
 
-def segments(text: bytes, limit: int) -> Iterator[bytes]:
-    """``text`` in pieces of about ``limit`` bytes, cut only before white space; one long word stays whole."""
+def segments(text: bytes, limit: int, marks: bool = False) -> Iterator[bytes]:
+    """``text`` in pieces of about ``limit`` bytes, cut only before white space; one long word stays whole.
+
+    With ``marks`` a word without white space for another ``limit`` bytes is cut before a punctuation mark that ends
+    letters, where the pre-tokenizer cuts it as well.
+    """
     at = 0
     while len(text) - at > limit:
-        cut = _BLANK.search(text, at + limit)
+        cut = _BLANK.search(text, at + limit, at + 2 * limit if marks else len(text))
+        end = cut.start() if cut else None
+        if cut is None and marks:
+            cut = _LETTER_THEN_MARK.search(text, at + limit)
+            end = cut.end() if cut else None
         if cut is None:
             break
-        yield text[at : cut.start()]
-        at = cut.start()
+        yield text[at:end]
+        at = end
     yield text[at:] if at else text
 
 
@@ -115,7 +125,7 @@ class WordEncoder:
     def encode(self, text: bytes, segment_bytes: int = 1 << 20) -> bytes:
         """All ids of ``text``."""
         out = []
-        for segment in segments(text, segment_bytes):
+        for segment in segments(text, segment_bytes, marks=True):
             words = segment.split()
             self.learn(words)
             out.append(b"".join(map(self.ids.__getitem__, words)))

@@ -69,9 +69,41 @@ def test_packing(spark, docs, empty):
 @given(st.lists(st.integers(1, 100), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_windows_hold_every_piece_once(sizes):
-    groups = packing.windows(sizes, 100)
-    assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in g) <= 100 for g in groups)
+    groups = packing.fitted(sizes, 100)
+    held = defaultdict(list)
+    for group in groups:
+        assert 0 < sum(length for _, _, length in group) <= 100
+        for i, start, length in group:
+            held[i].append((start, length))
+    assert sorted(held) == list(range(len(sizes)))
+    for i, parts in held.items():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == sizes[i]
+    assert len(groups) <= max(1, -(-sum(sizes) // 100)) * 1.01 + 1
+
+
+def test_documents_that_fit_are_cut_only_where_a_window_overflows(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokenizer_path()).collect()
+    pieces, used = defaultdict(int), defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+        if r.doc_tokens <= 2048:
+            pieces[r.doc_id, r.doc_tokens] += 1
+    assert sum(used.values()) / (2048 * len(used)) > 0.98
+    assert sum(n > 1 for n in pieces.values()) < 0.25 * len(pieces)
+
+
+def test_words_without_blanks_are_cut_at_marks():
+    for unit in ("些文字，没有空白。", "letters,without.blanks;"):
+        text = (unit * 4000).encode()
+        parts = list(segments(text, 2000, marks=True))
+        assert b"".join(parts) == text and max(map(len, parts)) < 4100
+        assert list(segments(text, 2000)) == [text]
+        ids = np.frombuffer(WordEncoder(tokenizer_path()).encode(text, 2000), np.uint32).tolist()
+        assert ids == Tokenizer.from_file(tokenizer_path()).encode(text.decode(), add_special_tokens=False).ids
 
 
 def test_media(spark, docs, empty):
