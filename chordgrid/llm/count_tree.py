@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 FAN = 16
+#: Coordinates of boxes and of the first look at a pair; finer ones add up to them, so their bound holds as well.
+COARSE = 32
 #: Coordinates that are compared at a time, which bounds the memory of a search.
 STEP = 1 << 22
 
@@ -35,8 +37,9 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         self.points, self.sizes = points, sizes
-        self.order = np.lexsort((points.argmax(axis=1), sizes))
-        tops, least = [points[self.order]], [sizes[self.order]]
+        self.coarse = points.reshape(len(points), -1, min(COARSE, points.shape[1])).sum(axis=1, dtype=np.uint16)
+        self.order = np.lexsort((self.coarse.argmax(axis=1), sizes))
+        tops, least = [self.coarse[self.order]], [sizes[self.order]]
         while len(tops[-1]) > 1:
             starts = np.arange(0, len(tops[-1]), FAN)
             tops.append(np.maximum.reduceat(tops[-1], starts))
@@ -65,14 +68,15 @@ class CountTree:
         """(i, j, overlap) for pairs of a point here and one of ``other`` whose bound is enough, a box at a time."""
         for start in range(0, len(self.order), FAN):
             own = self.order[start : start + FAN]
-            found = other.near(self.points[own].max(axis=0), int(self.sizes[own].min()), similarity)
-            if not len(found):
-                continue
+            found = other.near(self.coarse[own].max(axis=0), int(self.sizes[own].min()), similarity)
             i, j = np.repeat(own, len(found)), np.tile(found, len(own))
-            overlap = np.empty(len(i), np.int64)
-            step = max(1, STEP // self.points.shape[1])
-            for at in range(0, len(i), step):
-                part = slice(at, at + step)
-                overlap[part] = np.minimum(self.points[i[part]], other.points[j[part]]).sum(axis=1, dtype=np.int64)
-            keep = enough(overlap, self.sizes[i] + other.sizes[j], similarity)
-            yield i[keep], j[keep], overlap[keep]
+            for one, two in ((self.coarse, other.coarse), (self.points, other.points)):
+                overlap = np.empty(len(i), np.int64)
+                step = max(1, STEP // one.shape[1])
+                for at in range(0, len(i), step):
+                    part = slice(at, at + step)
+                    overlap[part] = np.minimum(one[i[part]], two[j[part]]).sum(axis=1, dtype=np.int64)
+                keep = enough(overlap, self.sizes[i] + other.sizes[j], similarity)
+                i, j, overlap = i[keep], j[keep], overlap[keep]
+            if len(i):
+                yield i, j, overlap

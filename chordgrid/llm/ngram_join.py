@@ -4,12 +4,14 @@ Every link between sets of different groups is found. Equal sets are one node. T
 vectors in places: two linked sets differ in few shingles, so when shingles are hashed into one group more than that, the
 sets agree on a whole group, and each group's content names a place of the index where both lie. Places with the same
 sets are one. Where a place has sets of different components, its tree gives each of them the partners with the best
-bounds on overlap, at most as many rows as sets; those pairs are verified on the shingles themselves, verified ones
-join components, and the search goes on among what is still apart, until no bound leaves a pair that wasn't verified.
+bounds on overlap; those pairs are verified on the shingles themselves, verified ones join components, and the search
+goes on among what is still apart: first with each set at its largest place only, then at all places, until no bound
+leaves a pair that wasn't verified.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chordgrid.llm.batches import whole
 from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
@@ -28,6 +31,8 @@ from chordgrid.operators.components import roots as least_members
 
 #: Sets at one place that one task searches; a larger place is dealt into blocks.
 PLACE = 4096
+#: Searches that each set takes part in at one place only, at most; then all places that are still apart are searched whole.
+SINGLE_SEARCHES = 2
 #: Rows of whole places that are searched at a time.
 ROWS_AT_A_TIME = 16_384
 #: Rows of a place beyond which it is not named by its sets, so that no task holds it whole.
@@ -80,8 +85,11 @@ def signatures(shingles: np.ndarray, similarity: int = 90) -> np.ndarray:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """The counts of a set's groups as bytes: about a quarter as many as shingles, a power of two, more if one overflows."""
-    groups = max(16, 1 << max(0, (len(shingles) // 4 - 1).bit_length()))
+    """The counts of a set's groups as bytes: half as many as shingles or up to all, a power of two, more if one overflows.
+
+    With fewer groups the bound would let sets meet that share a long passage and little else, as many as there are pairs.
+    """
+    groups = max(16, 1 << max(0, (len(shingles) // 2 - 1).bit_length()))
     while True:
         counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
         if counts.max(initial=0) < 256:
@@ -233,22 +241,30 @@ def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
-def candidates(met: DataFrame, larger: DataFrame, roots: DataFrame | None, failed: DataFrame, nodes: DataFrame, similarity: int, most: int) -> DataFrame:
+def still_apart(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(place, node, root, n): the places whose ``n`` sets are of several components; stored."""
+    known = met.select("place", "node")
+    known = known.withColumn("root", F.col("node")) if roots is None else known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = Window.partitionBy("place")
+    known = known.select("place", "node", "root", F.count("*").over(at).alias("n"), F.min("root").over(at).alias("lo"), F.max("root").over(at).alias("hi"))
+    return stored(known.where("lo != hi").drop("lo", "hi"), "ngram-apart")
+
+
+def largest_places(met: DataFrame) -> DataFrame:
+    """Each set at the largest of its places only, so that copies by the thousand meet once and not at all places they share."""
+    return met.groupBy("node").agg(F.max(F.struct("n", "place", "root")).alias("at")).select("at.place", "node", "at.root", "at.n")
+
+
+def candidates(members: DataFrame, failed: DataFrame, nodes: DataFrame, similarity: int, most: int, whole_places: bool) -> DataFrame:
     """(place, a, b): what the trees of places give; at most ``most`` partners for each set at a place.
 
-    ``larger`` has the numbers of blocks of places with more than PLACE sets. The first search (no ``roots``) searches
-    each block by itself; later ones compare each pair of blocks, at places whose sets are still of several components.
+    A place of more than PLACE sets is dealt into blocks; each is searched by itself, or with ``whole_places`` each pair of them.
     """
-    known = met.withColumn("root", F.col("node"))
-    if roots is not None:
-        known = met.join(roots, "node", "left").select("place", "node", F.coalesce("root", "node").alias("root"))
-        apart = known.groupBy("place").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("place")
-        known = known.join(apart, "place", "left_semi")
-    members = known.join(larger, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("blocks", F.ceil(F.col("n") / PLACE).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = members.join(nodes.select("node", "n_shingles", "point"), "node")
     members = members.join(failed.groupBy("node").agg(F.collect_list("other").alias("failed")), "node", "left")
-    members = members.withColumn("with", F.explode(F.array("block") if roots is None else F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1) if whole_places else F.array("block")))
     members = members.select(
         "place", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "node", "root", "n_shingles", "point", "failed"
     )
@@ -258,7 +274,7 @@ def candidates(met: DataFrame, larger: DataFrame, roots: DataFrame | None, faile
             found = best_partners(table.combine_chunks(), similarity, most)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["place", "a", "b"])
 
-    dealt = members.repartition(shuffle_partitions(met.sparkSession), "place", "x", "y").sortWithinPartitions("place", "x", "y")
+    dealt = members.repartition(shuffle_partitions(members.sparkSession), "place", "x", "y").sortWithinPartitions("place", "x", "y")
     return dealt.mapInArrow(search, "place long, a long, b long")
 
 
@@ -300,26 +316,26 @@ def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: in
     met = stored(meetings(rows), "ngram-meetings")
     nodes = rows.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
     nodes = stored(nodes.join(met.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
-    larger = met.groupBy("place").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("blocks")).where("blocks > 1")
-    larger = stored(larger, "ngram-larger")
     sets, tried = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean")
-    roots, most = None, 1
-    while True:
+    met, roots, whole_places, most = still_apart(met, None), None, False, 1
+    for search in itertools.count(1):
         failed = tried.where("not linked").select(F.col("a").alias("node"), F.col("b").alias("other"))
         failed = failed.union(failed.select("other", "node"))
-        found = stored(candidates(met, larger, roots, failed, nodes, similarity, most), "ngram-candidates")
-        live = found.select("place")  # where nothing is found, nothing will be
-        if roots is None:
-            live = live.union(larger.select("place"))
-        elif found.isEmpty():
-            return roots
-        met = met.join(live.distinct(), "place", "left_semi")
-        pairs = found.select("a", "b").distinct()
-        new = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-        sets = sets.unionByName(shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width))
-        tried = tried.unionByName(stored(verified(pairs, sets, similarity), "ngram-verified"))
-        roots = least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt")))
-        most *= 8
+        found = candidates(met if whole_places else largest_places(met), failed, nodes, similarity, most, whole_places)
+        found = stored(found, "ngram-candidates")
+        done = found.isEmpty()
+        if not done:
+            pairs = found.select("a", "b").distinct()
+            new = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
+            sets = sets.unionByName(shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width))
+            tried = tried.unionByName(stored(verified(pairs, sets, similarity), "ngram-verified"))
+            roots = least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt")))
+            if whole_places:  # where nothing is found, nothing will be
+                met, most = met.join(found.select("place").distinct(), "place", "left_semi"), 8 * most
+            met = still_apart(met, roots)
+        elif whole_places:
+            return least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt"))) if roots is None else roots
+        whole_places = whole_places or done or search >= SINGLE_SEARCHES
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: int = 90) -> DataFrame:
