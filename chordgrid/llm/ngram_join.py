@@ -5,8 +5,8 @@ vectors in places: two linked sets differ in few shingles, so when shingles are
 sets agree on a whole group, and each group's content names a place of the index where both lie. Places with the same
 sets are one. Where a place has sets of different components, its tree gives each of them the partners with the best
 bounds on overlap; those pairs are verified on the shingles themselves, verified ones join components, and the search
-goes on among what is still apart: first with each set at its largest place only, then at all places, until no bound
-leaves a pair that wasn't verified.
+goes on among what is still apart: first with each set at its largest place only, then at all places, each pair at the
+first of those it shares, until no bound leaves a pair that wasn't verified.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from chordgrid.llm.batches import whole
 from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
-from chordgrid.llm.count_tree import FAN, CountTree, enough, overlaps
+from chordgrid.llm.count_tree import FAN, STEP, CountTree, enough, overlaps
 from chordgrid.llm.shingles import WordHashes, mixed
 from chordgrid.operators.components import roots as least_members
 
@@ -187,11 +187,74 @@ def _in_boxes(points: np.ndarray, sizes: np.ndarray, count: np.ndarray, similari
     yield np.append(i, j), np.append(j, i), np.append(overlap, overlap)
 
 
+def _listed(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists; null is none."""
+    lists = column.combine_chunks()
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+
+
+def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+class _Failed:
+    """The pairs of a table's sets that failed before."""
+
+    def __init__(self, node: np.ndarray, failed: pa.ChunkedArray) -> None:
+        self.nodes, self.code = np.unique(node, return_inverse=True)
+        row, other = _listed(failed)
+        here = _within(other, self.nodes)
+        self.keys = np.unique(self.code[row[here]] * len(self.nodes) + np.searchsorted(self.nodes, other[here]))
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return _within(self.code[i] * len(self.nodes) + self.code[j], self.keys)
+
+
+class _MetBefore:
+    """Whether two rows of a place share a place of a smaller name, which is where they are compared."""
+
+    def __init__(self, place: np.ndarray, start: np.ndarray, places: pa.ChunkedArray) -> None:
+        row, other = _listed(places)
+        earlier = other < place[row]
+        row, other = row[earlier], other[earlier]
+        at = np.searchsorted(start, row, side="right")
+        order = np.lexsort((other, at))
+        row, other, at = row[order], other[order], at[order]
+        ends = np.append(np.flatnonzero((other[1:] != other[:-1]) | (at[1:] != at[:-1])) + 1, len(row)) if len(row) else np.zeros(0, np.int64)
+        count = np.diff(ends, prepend=0)
+        code = np.repeat(np.arange(len(ends)), count)
+        shared = np.repeat(count, count) > 1
+        row, code = row[shared], code[shared]
+        order = np.argsort(row, kind="stable")
+        self.codes, self.n = code[order], max(1, len(ends))
+        self.length = np.bincount(row, minlength=len(place))
+        self.start = np.cumsum(self.length) - self.length
+        self.keys = np.sort(row * self.n + code)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        i, j = np.where(self.length[i] <= self.length[j], i, j), np.where(self.length[i] <= self.length[j], j, i)
+        done = np.cumsum(self.length[i])
+        first = 0
+        while first < len(i):
+            last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + STEP, side="right")))
+            count = self.length[i[first:last]]
+            pair = np.repeat(np.arange(first, last), count)
+            at = np.repeat(self.start[i[first:last]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            out[pair[_within(j[pair] * self.n + self.codes[at], self.keys)]] = True
+            first = last
+        return out
+
+
 def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
     """(place, a, b) with a < b: for each row its ``most`` partners by bound among sets of other components at its place.
 
     ``table`` holds whole places (place, x, y, block, node, root, n_shingles, point, failed), sorted by place and blocks.
-    With x < y sets of block x meet those of block y. Pairs that failed before are left out.
+    With x < y sets of block x meet those of block y. Pairs that failed before are left out, and with a column ``places``,
+    all places of each set, those that share a place of a smaller name.
     """
     column = {name: table.column(name).to_numpy() for name in ("place", "x", "y", "block", "node", "root", "n_shingles")}
     node, root, sizes = column["node"], column["root"], column["n_shingles"]
@@ -200,15 +263,17 @@ def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
     start = np.flatnonzero(fresh)
     count = np.diff(np.append(start, len(node)))
     width = np.minimum.reduceat(pc.binary_length(table.column("point")).to_numpy(), start)
-    failed = {(a, b) for a, others in zip(node.tolist(), table.column("failed").to_pylist()) if others for b in others}
+    before = [_Failed(node, table.column("failed"))]
+    if "places" in table.column_names:
+        before.append(_MetBefore(column["place"], start, table.column("places")))
     out = []
 
     def kept(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         for i, j, overlap in found:
-            apart = root[i] != root[j]
-            i, j, overlap = i[apart], j[apart], overlap[apart]
-            if failed and len(i):
-                new = np.array([(a, b) not in failed for a, b in zip(node[i].tolist(), node[j].tolist())])
+            new = root[i] != root[j]
+            i, j, overlap = i[new], j[new], overlap[new]
+            for known in before:
+                new = ~known(i, j)
                 i, j, overlap = i[new], j[new], overlap[new]
             if not len(i):
                 continue
@@ -223,8 +288,8 @@ def best_partners(table: pa.Table, similarity: int, most: int) -> np.ndarray:
     for w in np.unique(width):
         small = np.flatnonzero((width == w) & (count <= FAN) & (count > 1) & one_block)
         if len(small):
-            before = np.cumsum(count[small]) - count[small]
-            rows = np.repeat(start[small] - before, count[small]) + np.arange(count[small].sum())
+            skipped = np.cumsum(count[small]) - count[small]
+            rows = np.repeat(start[small] - skipped, count[small]) + np.arange(count[small].sum())
             points = _folded(table.column("point").take(pa.array(rows)), int(w))
             kept((rows[i], rows[j], overlap) for i, j, overlap in _in_boxes(points, sizes[rows], count[small], similarity))
     for p in np.flatnonzero((count > FAN) | ~one_block):
@@ -258,15 +323,17 @@ def largest_places(met: DataFrame) -> DataFrame:
 def candidates(members: DataFrame, failed: DataFrame, nodes: DataFrame, similarity: int, most: int, whole_places: bool) -> DataFrame:
     """(place, a, b): what the trees of places give; at most ``most`` partners for each set at a place.
 
-    A place of more than PLACE sets is dealt into blocks; each is searched by itself, or with ``whole_places`` each pair of them.
+    A place of more than PLACE sets is dealt into blocks; each is searched by itself, or with ``whole_places`` each pair of
+    them. With ``whole_places`` a pair is given only at the first of the places it shares.
     """
     members = members.withColumn("blocks", F.ceil(F.col("n") / PLACE).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = members.join(nodes.select("node", "n_shingles", "point"), "node")
+    own = ["n_shingles", "point", *(["places"] if whole_places else [])]
+    members = members.join(nodes.select("node", *own), "node")
     members = members.join(failed.groupBy("node").agg(F.collect_list("other").alias("failed")), "node", "left")
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1) if whole_places else F.array("block")))
     members = members.select(
-        "place", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "node", "root", "n_shingles", "point", "failed"
+        "place", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "node", "root", *own, "failed"
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +382,7 @@ def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: in
     spark = df.sparkSession
     met = stored(meetings(rows), "ngram-meetings")
     nodes = rows.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
-    nodes = stored(nodes.join(met.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+    nodes = stored(nodes.join(met.groupBy("node").agg(F.collect_list("place").alias("places")), "node"), "ngram-nodes")
     sets, tried = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean")
     met, roots, whole_places, most = still_apart(met, None), None, False, 1
     for search in itertools.count(1):

@@ -146,6 +146,21 @@ def test_best_partners_are_the_best_of_other_components():
 PLACE = pa.schema([*[(name, pa.int64()) for name in ("place", "x", "y", "block", "node", "root", "n_shingles")], ("point", pa.binary()), ("failed", pa.list_(pa.int64()))])
 
 
+def test_pairs_are_compared_at_the_first_place_they_share():
+    rng = np.random.default_rng(19)
+    rows = []
+    for place in (1, 2, 3):
+        members = place_rows(np.random.default_rng(20), place, 40)
+        rows += [r | {"node": k, "root": k, "x": 0, "y": 0} for k, r in enumerate(members)]
+    listed = {k: sorted({int(p) for p in rng.integers(1, 4, 2)}) for k in range(40)}
+    rows = [r | {"places": listed[r["node"]]} for r in rows if r["place"] in listed[r["node"]]]
+    fields = PLACE.append(pa.field("places", pa.list_(pa.int64())))
+    got = ngram_join.best_partners(pa.Table.from_pylist(rows, schema=fields), 80, 100).tolist()
+    everywhere = ngram_join.best_partners(pa.Table.from_pylist(rows, schema=fields).drop_columns(["places"]), 80, 100).tolist()
+    assert sorted(got) == sorted([p, a, b] for p, a, b in everywhere if p == min(set(listed[a]) & set(listed[b])))
+    assert {(a, b) for _, a, b in got} == {(a, b) for _, a, b in everywhere} and len(got) < len(everywhere)
+
+
 def test_blocks_of_a_large_place_meet_each_other():
     rows = place_rows(np.random.default_rng(17), 3, 60, blocks=3)
     table = pa.Table.from_pylist([r | {"x": 0, "y": 2} for r in rows if r["block"] in (0, 2)], schema=PLACE)
