@@ -362,8 +362,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long, linked boolean")
 
 
-def shingle_sets(df: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """(node, shingles) of ``wanted`` (node, rid), read again from one text of each."""
+def shingle_sets(df: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame | None:
+    """(node, shingles) of ``wanted`` (node, rid), read again from one text of each; None if none are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -372,8 +372,11 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, text: str, width: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     wanted = stored(wanted, "ngram-wanted")
+    n = wanted.count()
+    if not n:
+        return None
     texts = df.select(F.col(RID).alias("rid"), text_of(text).cast("binary").alias("text"))
-    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    chosen = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
     return stored(texts.join(chosen, "rid").select("node", "text").mapInArrow(run, "node long, shingles binary"), "ngram-sets")
 
 
@@ -384,7 +387,7 @@ def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: in
     nodes = rows.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
     nodes = stored(nodes.join(met.groupBy("node").agg(F.collect_list("place").alias("places")), "node"), "ngram-nodes")
     sets, tried = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean")
-    met, roots, whole_places, most = still_apart(met, None), None, False, 1
+    met, roots, whole_places, most = still_apart(met, None), spark.createDataFrame([], "node long, root long"), False, 1
     for search in itertools.count(1):
         failed = tried.where("not linked").select(F.col("a").alias("node"), F.col("b").alias("other"))
         failed = failed.union(failed.select("other", "node"))
@@ -394,15 +397,19 @@ def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: in
         if not done:
             pairs = found.select("a", "b").distinct()
             new = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-            sets = sets.unionByName(shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width))
-            tried = tried.unionByName(stored(verified(pairs, sets, similarity), "ngram-verified"))
-            roots = least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt")))
+            more = shingle_sets(df, nodes.select("node", "rid").join(new, "node"), text, width)
+            sets = sets if more is None else sets.unionByName(more)
+            checked = stored(verified(pairs, sets, similarity), "ngram-verified")
+            tried = tried.unionByName(checked)
+            if not checked.where("linked").isEmpty():
+                roots = least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt")))
             if whole_places:  # where nothing is found, nothing will be
-                met, most = met.join(found.select("place").distinct(), "place", "left_semi"), 8 * most
+                met = met.join(found.select("place").distinct(), "place", "left_semi")
             met = still_apart(met, roots)
         elif whole_places:
-            return least_members(tried.where("linked").select(F.col("a").alias("lf"), F.col("b").alias("rt"))) if roots is None else roots
+            return roots
         whole_places = whole_places or done or search >= SINGLE_SEARCHES
+        most = 8 * most if whole_places else most
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: int = 90) -> DataFrame:
