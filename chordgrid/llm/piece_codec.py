@@ -10,6 +10,7 @@ each place; the ids are read off the table from its end.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +22,14 @@ from pyspark.sql import functions as F
 
 from chordgrid.llm.common import text_of
 
+#: Pieces and texts have plain spaces here in place of the model's visible ones; the library takes both for the same.
 SPACE = "▁"
-#: Words and pairs of tokens that a worker remembers, and the longest word it does.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: Words and pairs of tokens that a worker remembers at least and, twice that, at most; and the longest word it does.
+REMEMBERED, LONGEST = 1 << 17, 64
+#: Rows that are encoded at a time.
+ROWS = 512
+#: How texts are cut into words, finest first. A way is safe if it cuts no piece: then nothing merges over a cut.
+CUTS = (r" *[^\W\d_²³¹]+| *\d| *(?:[^\w ]|[_²³¹])+| +", r" *[^\W\d_²³¹]+| *(?:[^\w ]|[\d_²³¹])+| +", r" *[^ ]+| +", r"(?s).+")
 _NONE = float("inf")
 
 
@@ -34,6 +40,25 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Remembered:
+    """A table of bounded size: when the young half is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class PieceCodec:
     """Ids of a text, and the text of ids, as the library of the model gives them."""
 
@@ -52,9 +77,10 @@ class PieceCodec:
         self.ids: dict[str, int] = {}
         self.byte_ids, self.texts, self.bytes_of, self.unknown = [0] * 256, [], {}, -1
         for i, piece in enumerate(model.pieces):
-            self.texts.append(piece.piece.replace(SPACE, " "))
+            text = piece.piece.replace(SPACE, " ")
+            self.texts.append(text)
             if piece.type == kinds.NORMAL:
-                self.rank[piece.piece], self.ids[piece.piece] = -piece.score, i
+                self.rank[text], self.ids[text] = -piece.score, i
             elif piece.type == kinds.BYTE:
                 value = int(piece.piece[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, value
@@ -66,9 +92,8 @@ class PieceCodec:
                 raise ValueError(f"pieces of type {piece.type} are not known here")
         if any(c not in self.ids for c in set("".join(self.ids))):
             raise ValueError("a character of a piece is no piece itself")
-        # texts may be cut before a space that follows something else if no piece goes over such a place
-        self.cut = all(SPACE not in piece.lstrip(SPACE) for piece in self.ids)
-        self._units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.cut else r"(?s).+")
+        ways = map(re.compile, CUTS)
+        self.words = next(way for way in ways if all(way.fullmatch(piece) for piece in self.ids))
         self.last_edges: dict[int, list[tuple[float, str]]] = {}
         self.first_edges: dict[int, list[tuple[float, str]]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -79,8 +104,7 @@ class PieceCodec:
                 self.first_edges[i] = [(0.0, piece[0]), *[(rank, first) for rank, first, _ in steps]]
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self._goes: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, bytes] = {}
+        self._goes, self._words = _Remembered(), _Remembered()
 
     def _merges(self, piece: str) -> list[tuple[float, str, str]] | None:
         """(rank, first symbol, last symbol) after each merge of a piece by itself; None if it doesn't become one token."""
@@ -101,6 +125,8 @@ class PieceCodec:
         Their own merges run side by side, the better one first, and no merge over the border may come before the next of them.
         """
         left, right, rank = self.last_edges[a], self.first_edges[b], self.rank
+        if self.texts[a] + self.texts[b] in rank:
+            return False  # in the end the two would merge as they are
         i = j = 0
         while True:
             over = rank.get(left[i][1] + right[j][1], _NONE)
@@ -118,16 +144,18 @@ class PieceCodec:
     def prefix_table(self, text: str) -> list[int]:
         """For each prefix of ``text``, shortest first, its last token; -1 for a character that is no piece."""
         last, goes = [-1] * len(text), self._goes
+        lately = goes.young
         for end, (length, token) in self.automaton.iter(text):
             if last[end] >= 0:
                 continue
-            before = last[end - length] if end >= length else -1
-            if before >= 0:
-                known = goes.get((before, token))
+            if end >= length and (before := last[end - length]) >= 0:
+                pair = before << 32 | token
+                known = lately.get(pair)
                 if known is None:
-                    if len(goes) >= REMEMBERED:
-                        goes.clear()
-                    known = goes[before, token] = self._go_together(before, token)
+                    known = goes.get(pair)
+                    if known is None:
+                        known = goes[pair] = self._go_together(before, token)
+                    lately = goes.young
                 if not known:
                     continue
             last[end] = token
@@ -143,20 +171,19 @@ class PieceCodec:
             else:
                 ids.append(token)
                 at -= len(self.texts[token])
-        return np.array(ids[::-1], np.int32).tobytes()
+        ids.reverse()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         if not text:
             return np.zeros(0, np.int32)
         words, out = self._words, []
-        for word in self._units.findall(SPACE + text.replace(" ", SPACE)):
-            ids = words.get(word)
+        for word in self.words.findall(" " + text.replace(SPACE, " ")):
+            ids = words.young.get(word) or words.get(word)
             if ids is None:
                 ids = self._ids(word)
                 if len(word) <= LONGEST:
-                    if len(words) >= REMEMBERED:
-                        words.clear()
                     words[word] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
@@ -203,37 +230,46 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def _encoded(own: PieceCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of batches of (doc_id, text), a few rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            found = [own.encode(t) for t in part.column(1).to_pylist()]
+            ends = np.zeros(len(found) + 1, np.int32)
+            np.cumsum([len(f) for f in found], out=ends[1:])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["doc_id", "ids"])
+
+
+def _decoded(own: PieceCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, text) of batches of (doc_id, ids)."""
+    for batch in batches:
+        ids = batch.column(1)
+        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        texts = [own.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+
+def _given(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+
+
 def encode_texts(df: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, ids) for each row of ``df``; ``model`` is the path of a model file on every executor.
 
     A null or empty text has no ids; a null doc_id stays null; repeated rows each give a row; other columns aren't read,
     so their names can't clash; an empty table gives an empty result. A text is encoded whole, word by word, so memory
-    is that of one Arrow batch, its longest word, and what a worker remembers.
+    is that of a few rows, their longest word, and what a worker remembers.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
-        for batch in batches:
-            found = [own.encode(t) for t in batch.column(1).to_pylist()]
-            ends = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(f) for f in found], out=ends[1:])
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
-
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _given(df, doc_id, text).mapInArrow(lambda batches: _encoded(codec(model), batches), "doc_id long, ids array<int>")
 
 
 def decode_ids(df: DataFrame, model: str) -> DataFrame:
     """``df`` (doc_id, ids) with the text of the ids; null ids are no ids."""
+    given = df.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return given.mapInArrow(lambda batches: _decoded(codec(model), batches), "doc_id long, ids array<int>, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
-        for batch in batches:
-            ids = batch.column(1)
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy()
-            texts = [own.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    given = df.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return given.mapInArrow(run, "doc_id long, ids array<int>, text string")
+def round_trip(df: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode_ids`` of ``encode_texts`` within one worker: (doc_id, ids, text), with the same rules for rows."""
+    return _given(df, doc_id, text).mapInArrow(lambda batches: _decoded(codec(model), _encoded(codec(model), batches)), "doc_id long, ids array<int>, text string")

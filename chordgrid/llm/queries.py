@@ -70,8 +70,7 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_codec.model_path()
-    both = piece_codec.decode_ids(piece_codec.encode_texts(documents(spark, sf_dir), model), model)
+    both = piece_codec.round_trip(documents(spark, sf_dir), piece_codec.model_path())
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
