@@ -46,6 +46,11 @@ def mirrored(edges: DataFrame) -> DataFrame:
     return edges.select("lf", "rt", *columns).unionByName(edges.select(F.col("rt").alias("lf"), F.col("lf").alias("rt"), *columns))
 
 
+def rescaled(points: DataFrame, factor: float = 0.05333333) -> DataFrame:
+    """Points with coordinates times ``factor``; as given, a lattice of 600 becomes one of 32."""
+    return points.withColumns({c: F.col(c) * factor for c in ("y", "x")})
+
+
 def degrees(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(imgid, oid, degree); isolated points have 0."""
     counted = mirrored(edges.select("imgid", "lf", "rt")).groupBy(F.col("rt").alias("oid")).agg(F.count("*").alias("n"))

@@ -1,60 +1,189 @@
-"""Equidistant selection: points settle on neighbours at distance one, round by round.
+"""Equidistant selection: points settle on neighbours at distance one, round by round, while chance wakes others.
 
-Points never move, so their neighbour edges and whether an edge passes are found once; rounds only join active points
-to them. Chance is a hash of seed, round and point, the same in any engine and at any partitioning.
+Points never move, so their neighbour edges and what an edge is worth are found once. Each point carries two sums over its
+awake neighbours' edges; a round looks at the sums alone, and only the edges of points that fell asleep or woke change
+them. Chance is a hash of seed, round and draw, the same in any engine and at any partitioning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chordgrid.operators.neighbours import neighbours
-from chordgrid.operators.storage import stored
+from chordgrid.operators.storage import discarded, stored, stored_at
+
+#: Distances as integers, so that shares which are added and withdrawn leave no rounding behind.
+UNIT = 1 << 32
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What two sums over a point's awake neighbours mean; ``drops`` and ``pins`` take columns and arrays alike."""
+
+    weights: Callable[[Column], tuple[Column, Column]]
+    drops: Callable[[Any, Any], Any]
+    pins: Callable[[Any, Any], Any]
+
+
+def strict(low: float = 0.95, high: float = 1.05) -> Rule:
+    """An edge passes if its length lies between the bounds, else fails; one failing edge drops a point, passing ones alone pin it."""
+
+    def weights(d: Column) -> tuple[Column, Column]:
+        passes = (d > low) & (d < high)
+        return (~passes).cast("long"), passes.cast("long")
+
+    return Rule(weights, lambda fails, passes: fails > 0, lambda fails, passes: (fails == 0) & (passes > 0))
+
+
+def mean(low: float = 0.98, high: float = 1.02) -> Rule:
+    """A point drops where its edges' mean length is under the bounds and is pinned within them; over them or without edges it stays as it is."""
+    low, high = low * UNIT, high * UNIT
+    return Rule(
+        lambda d: (F.lit(1).cast("long"), F.round(d * UNIT).cast("long")),
+        lambda n, total: (n > 0) & (total < n * low),
+        lambda n, total: (n > 0) & (total >= n * low) & (total <= n * high),
+    )
+
+
+def _hashed(*parts: Any, digits: int) -> Column:
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
 def chance(seed: int, round_: int, oid: Column, p: float) -> Column:
     """True with probability ``p``."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(round_)), oid.cast("string"))), 1, 8)
-    return F.conv(digits, 16, 10).cast("long") < p * 4294967296.0
+    return _hashed(seed, round_, oid, digits=8) < p * 4294967296.0
 
 
 def chance_sql(seed: int, round_: int, oid: str, p: float) -> str:
     return f"('0x' || substr(md5('{seed}|{round_}|' || CAST({oid} AS VARCHAR)), 1, 8))::BIGINT < {p * 4294967296.0!r}"
 
 
+def wakings(points: DataFrame, rounds: int, share: float, seed: int) -> DataFrame:
+    """(imgid, oid, round) of the points that chance wakes after rounds 1 to ``rounds``.
+
+    Each round draws int(share * n) of the n points with replacement: a draw's hash names a place in the order of oid.
+    """
+    from chordgrid.sources.loader import numbered
+
+    placed = numbered(points.select("imgid", "oid"), "oid")
+    n = placed.count()
+    draws = int(n * share)
+    if not draws or not rounds:
+        return placed.select("imgid", "oid", F.lit(0).alias("round")).where(F.lit(False))
+    drawn = points.sparkSession.range(rounds * draws).select((F.expr(f"id div {draws}") + 1).cast("int").alias("round"), (F.col("id") % draws).alias("k"))
+    drawn = drawn.select("round", (_hashed(seed, "wake", F.col("round"), F.col("k"), digits=15) % n).alias("idx")).distinct()
+    return drawn.join(placed, "idx").select("imgid", "oid", "round")
+
+
+def _rounds_of(rule: Rule, rounds: int) -> Callable[[Any, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """All rounds over whole images: their points with the rounds that wake them, and their edges, both ways."""
+
+    def run(_key: Any, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("oid", ignore_index=True)
+        oids, is_end = own["oid"].to_numpy(), own["is_end"].to_numpy(bool)
+        a, b = (np.searchsorted(oids, links[c].to_numpy()) for c in ("lf", "rt"))
+        order = np.argsort(a, kind="stable")
+        b, worth = b[order], links[["u", "v"]].to_numpy(np.int64)[order]
+        begin = np.searchsorted(a[order], np.arange(len(oids) + 1))
+        counts = [0 if w is None else len(w) for w in own["wakes"]]
+        at = np.repeat(np.arange(len(oids)), counts)
+        when = np.concatenate([w for w in own["wakes"] if w is not None and len(w)]) if len(at) else np.zeros(0, np.int64)
+        order = np.argsort(when, kind="stable")
+        at, bounds = at[order], np.searchsorted(when[order], np.arange(rounds + 2))
+        active, pinned = own["active"].to_numpy(bool).copy(), np.zeros(len(oids), bool)
+        sums = np.zeros((len(oids), 2), np.int64)
+
+        def shift(points: np.ndarray, sign: np.ndarray) -> None:
+            size = begin[points + 1] - begin[points]
+            edges = np.repeat(begin[points] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            np.add.at(sums, b[edges], worth[edges] * np.repeat(sign, size)[:, None])
+
+        shift(np.flatnonzero(active), np.ones(int(active.sum()), np.int64))
+        for n in range(1, rounds + 1):
+            drops, pins = rule.drops(sums[:, 0], sums[:, 1]), rule.pins(sums[:, 0], sums[:, 1])
+            pinned |= active & pins
+            after = (active & ~drops) | pinned | is_end
+            after[at[bounds[n] : bounds[n + 1]]] = True
+            changed = np.flatnonzero(after != active)
+            shift(changed, np.where(after[changed], 1, -1))
+            active = after
+        return pd.DataFrame({"imgid": own["imgid"], "oid": oids, "active": active, "pinned": pinned, "is_end": is_end})
+
+    return run
+
+
+_SELECTED = "imgid long, oid long, active boolean, pinned boolean, is_end boolean"
+
+
+def _together(state: DataFrame, edges: DataFrame, wakes: DataFrame, rule: Rule, rounds: int, block: int) -> DataFrame:
+    """Images that each fit a task: one pass over blocks of them, of about ``block`` points."""
+    blocks = max(1, -(-state.count() // block))
+    key = F.pmod(F.xxhash64("imgid"), F.lit(blocks)).alias("block")
+    listed = wakes.groupBy("imgid", "oid").agg(F.collect_list("round").alias("wakes"))  # at most one for each round
+    own = state.join(listed, ["imgid", "oid"], "left").select(key, "imgid", "oid", "active", "is_end", "wakes")
+    links = edges.select(key, "lf", "rt", "u", "v")
+    return own.groupBy("block").cogroup(links.groupBy("block")).applyInPandas(_rounds_of(rule, rounds), _SELECTED)
+
+
+def _apart(state: DataFrame, edges: DataFrame, wakes: DataFrame, rule: Rule, rounds: int) -> DataFrame:
+    """Images of any size: a round is a join of the points that changed to their edges, and one of the sums to the points."""
+    spark = state.sparkSession
+    edges, wakes = stored(edges, "selection-edges"), stored(wakes, "selection-wakes")
+
+    def carried(table: DataFrame) -> DataFrame:
+        """``table`` after its points' changes are in their neighbours' sums."""
+        changed = table.where("change != 0").select("imgid", F.col("oid").alias("lf"), "change")
+        moved = edges.join(changed, ["imgid", "lf"]).groupBy("imgid", F.col("rt").alias("oid"))
+        moved = moved.agg(F.sum(F.col("u") * F.col("change")).alias("du"), F.sum(F.col("v") * F.col("change")).alias("dv"))
+        summed = [(F.col(c) + F.coalesce(f"d{c}", F.lit(0))).alias(c) for c in "uv"]
+        return table.join(moved, ["imgid", "oid"], "left").select("imgid", "oid", "is_end", "active", "pinned", *summed)
+
+    zero = F.lit(0).cast("long")
+    state = state.select("imgid", "oid", "is_end", "active", F.lit(False).alias("pinned"), zero.alias("u"), zero.alias("v"), F.col("active").cast("long").alias("change"))
+    state, path = stored_at(state, "selection")
+    for n in range(1, rounds + 1):
+        given = carried(state).join(wakes.where(F.col("round") == n).select("imgid", "oid", F.lit(True).alias("woken")), ["imgid", "oid"], "left")
+        pinned = F.col("pinned") | (F.col("active") & rule.pins(F.col("u"), F.col("v")))
+        given = given.withColumn("pinned", pinned)
+        after = (F.col("active") & ~rule.drops(F.col("u"), F.col("v"))) | F.col("pinned") | F.col("is_end") | F.coalesce("woken", F.lit(False))
+        given = given.withColumn("after", after)
+        change = F.col("after").cast("long") - F.col("active").cast("long")
+        before = path
+        state, path = stored_at(given.select("imgid", "oid", "is_end", F.col("after").alias("active"), "pinned", "u", "v", change.alias("change")), "selection")
+        discarded(spark, before)
+    return state.select("imgid", "oid", "active", "pinned", "is_end")
+
+
 def select_equidistant(
-    points: DataFrame, ends: DataFrame, *, rounds: int = 300, radius: float = 1.2, low: float = 0.95, high: float = 1.05,
-    density: float = 0.05, seed: int = 5, reactivate: bool = True, keep_every: int = 1,
+    points: DataFrame, ends: DataFrame, *, rule: Rule | None = None, rounds: int = 300, radius: float = 1.2, density: float = 0.05, share: float = 0.05,
+    seed: int = 5, last_waking: bool = True, whole: int = 1_000_000,
 ) -> DataFrame:
-    """(imgid, oid, active, pinned, is_end). ``ends`` are always active.
-
-    In a round an edge of two active points passes if its length lies between the bounds, else fails. Points on a
-    failing edge drop out unless pinned; points on passing edges only are pinned and stay. At the end chance wakes a
-    share of all points (``reactivate``). Every ``keep_every`` rounds the state is written to shared storage (a
-    round reads it three times, so plans over several rounds grow as a power of three); a state that
-    a round leaves as it was stays so in all rounds, and the rest of them is skipped.
-    """
-    edges = neighbours(points, radius).select("lf", "rt", ((F.col("d") > low) & (F.col("d") < high)).alias("passes"))
-    both = stored(edges.unionByName(edges.select(F.col("rt").alias("lf"), F.col("lf").alias("rt"), "passes")), "selection-edges")
+    """(imgid, oid, active, pinned, is_end) after ``rounds`` rounds. ``ends`` are always active; oids are unique.
+
+    Chance starts with a share of ``density``. In a round the ``rule`` (``strict()`` by default) judges the awake points by
+    the edges to their awake neighbours: points drop out unless pinned before, and pinned ones stay for good. Then as many
+    draws as ``share`` of all points, with replacement, wake points; ``last_waking`` says whether they do after the last
+    round too. Images of at most ``whole`` points go through all rounds in one pass, blocks of them in a task; larger ones
+    go round by round as joins, with the same result.
+    """
+    rule = rule or strict()
+    u, v = rule.weights(F.col("d"))
+    edges = neighbours(points, radius).select("imgid", "lf", "rt", u.alias("u"), v.alias("v"))
+    both = edges.unionByName(edges.select("imgid", F.col("rt").alias("lf"), F.col("lf").alias("rt"), "u", "v"))
     flagged = points.select("imgid", "oid").join(ends.select("oid", F.lit(True).alias("is_end")), "oid", "left").withColumn("is_end", F.coalesce("is_end", F.lit(False)))
-    state = flagged.select("imgid", "oid", "is_end", (chance(seed, 0, F.col("oid"), density) | F.col("is_end")).alias("active"), F.lit(False).alias("pinned"))
-    before = None
-    for n in range(rounds):
-        awake = state.where("active").select("oid")
-        live = both.join(awake.select(F.col("oid").alias("lf")), "lf").join(awake.select(F.col("oid").alias("rt")), "rt")
-        judged = live.groupBy(F.col("lf").alias("oid")).agg(F.bool_or(~F.col("passes")).alias("fails"), F.bool_or("passes").alias("passes"))
-        state = state.join(judged, "oid", "left")
-        fails = F.coalesce("fails", F.lit(False))
-        settled = F.coalesce("passes", F.lit(False)) & ~fails
-        state = state.select("imgid", "oid", "is_end", ((F.col("active") & ~fails) | F.col("pinned") | settled | F.col("is_end")).alias("active"), (F.col("pinned") | settled).alias("pinned"))
-        if (n + 1) % keep_every == 0:
-            state = stored(state, "selection")
-            # points only drop out or get pinned, so equal counts mean an equal state
-            now = state.agg(F.count_if("active"), F.count_if("pinned")).first()
-            if now == before:
-                break
-            before = now
-    if reactivate:
-        state = state.withColumn("active", F.col("active") | chance(seed, rounds + 1, F.col("oid"), density))
-    return state.select("imgid", "oid", "active", "pinned", "is_end")
+    state = stored(flagged.select("imgid", "oid", "is_end", (chance(seed, 0, F.col("oid"), density) | F.col("is_end")).alias("active")), "selection-start")
+    wakes = wakings(points, rounds if last_waking else rounds - 1, share, seed)
+    large = stored(state.groupBy("imgid").count().where(F.col("count") > whole).select("imgid"), "selection-large")
+    if large.isEmpty():
+        return _together(state, both, wakes, rule, rounds, whole)
+    small = [t.join(large, "imgid", "left_anti") for t in (state, both, wakes)]
+    big = [t.join(large, "imgid", "left_semi") for t in (state, both, wakes)]
+    return _together(*small, rule, rounds, whole).unionByName(_apart(*big, rule, rounds))

@@ -20,8 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back, which cuts its lineage and survives lost executors."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet and read back, and the folder it is in."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet and read back, which cuts its lineage and survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``stored_at`` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chordgrid.operators import canny, pooling, pyramid, segnet, selection, strings, views
 from chordgrid.operators.components import components
-from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours
+from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours, rescaled
 from chordgrid.plans.point_queries import _SOBEL, graph
 from chordgrid.plans.sql import DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
 from chordgrid.sources.images import embedding_pixels, points
@@ -206,35 +206,63 @@ def equidistant_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir)[0].where(selection.chance(5, 0, F.col("oid"), 0.05)).select("imgid", "oid")
 
 
-def _round_sql(n: int) -> str:
-    return f"""
-        j{n} AS MATERIALIZED (SELECT b.lf AS oid, bool_or(NOT b.ok) AS fails, bool_or(b.ok) AS passes FROM nb b JOIN s{n - 1} p ON p.oid = b.lf AND p.active JOIN s{n - 1} q ON q.oid = b.rt AND q.active GROUP BY 1),
-        s{n} AS MATERIALIZED (SELECT s.imgid, s.oid, s.is_end, (s.active AND NOT coalesce(j.fails, false)) OR s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) OR s.is_end AS active,
-            s.pinned OR (coalesce(j.passes, false) AND NOT coalesce(j.fails, false)) AS pinned FROM s{n - 1} s LEFT JOIN j{n} j ON j.oid = s.oid)"""
-
-
-def _select_sql(density: float) -> str:
-    return f"""nb AS MATERIALIZED (SELECT lf, rt, d > 0.95 AND d < 1.05 AS ok FROM ed WHERE d <= 1.2 UNION ALL SELECT rt, lf, d > 0.95 AND d < 1.05 FROM ed WHERE d <= 1.2),
-    s0 AS MATERIALIZED (SELECT p.imgid, p.oid, en.oid IS NOT NULL AS is_end, en.oid IS NOT NULL OR {selection.chance_sql(5, 0, "p.oid", density)} AS active, false AS pinned FROM pt p LEFT JOIN en ON en.oid = p.oid)"""
+def rescaled_points(spark: SparkSession, sf_dir: str, factor: float = 0.34) -> tuple[DataFrame, DataFrame]:
+    """The points in a finer lattice, where neighbours at other distances than one are near, and their endpoints within 1.5."""
+    found = rescaled(points(embedding_pixels(spark, sf_dir)).select("imgid", "oid", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")), factor)
+    return found, endpoints(found, neighbours(found, 1.5))
+
+
+#: Points (px rescaled) with endpoints within 1.5 of each other as pt, en, and edges within 1.2 as sd.
+_SCALED = ", ".join([PIXELS, "pt AS MATERIALIZED (SELECT imgid, oid, y * 0.34::DOUBLE AS y, x * 0.34::DOUBLE AS x FROM px WHERE v > 0.1)", edges(radius=1.5), DEGREES, ENDPOINTS, edges(radius=1.2, name="sd")])
+_LATTICE = ", ".join([POINTS, edges(), DEGREES, ENDPOINTS, edges(radius=1.2, name="sd")])
+# what an edge is worth, and when sums u and v drop and pin a point
+_STRICT = ("CAST(NOT (d > 0.95 AND d < 1.05) AS BIGINT)", "CAST(d > 0.95 AND d < 1.05 AS BIGINT)", "u > 0", "u = 0 AND v > 0")
+_MEAN = ("1", f"CAST(round(d * {selection.UNIT}) AS BIGINT)", f"u > 0 AND v < u * {0.98 * selection.UNIT!r}", f"u > 0 AND v >= u * {0.98 * selection.UNIT!r} AND v <= u * {1.02 * selection.UNIT!r}")
+
+
+def _selected_sql(base: str, rule: tuple[str, str, str, str], density: float, share: float, rounds: int = 300, last: int | None = None) -> str:
+    """All rounds as a recursion; chance wakes points after each round up to the ``last``, all by default."""
+    u, v, drops, pins = rule
+    drawn = f"('0x' || substr(md5('5|wake|' || r || '|' || k), 1, 15))::BIGINT"
+    settled = f"(s.pinned OR (s.active AND coalesce({pins}, false)))"
+    return f"""WITH RECURSIVE {base},
+        nb AS MATERIALIZED (SELECT lf, rt, {u} AS u, {v} AS v FROM sd UNION ALL SELECT rt, lf, {u}, {v} FROM sd),
+        nr AS MATERIALIZED (SELECT oid, row_number() OVER (ORDER BY oid) - 1 AS idx FROM pt),
+        cn AS MATERIALIZED (SELECT count(*) AS n FROM pt),
+        dr AS (SELECT r, unnest(range(CAST(floor(n * {share}::DOUBLE) AS BIGINT))) AS k, n FROM cn, range(1, {rounds + 1 if last is None else last + 1}) t(r)),
+        wk AS MATERIALIZED (SELECT DISTINCT CAST(d.r AS INTEGER) AS r, nr.oid FROM (SELECT r, {drawn} % n AS idx FROM dr) d JOIN nr ON nr.idx = d.idx),
+        s(r, imgid, oid, is_end, active, pinned) AS (
+            SELECT 0, p.imgid, p.oid, en.oid IS NOT NULL, en.oid IS NOT NULL OR {selection.chance_sql(5, 0, "p.oid", density)}, false FROM pt p LEFT JOIN en ON en.oid = p.oid
+            UNION ALL
+            SELECT s.r + 1, s.imgid, s.oid, s.is_end, (s.active AND NOT coalesce({drops}, false)) OR {settled} OR s.is_end OR w.oid IS NOT NULL, {settled}
+            FROM s LEFT JOIN (SELECT b.lf AS oid, sum(b.u) AS u, sum(b.v) AS v FROM nb b JOIN s q ON q.oid = b.rt AND q.active GROUP BY 1) j ON j.oid = s.oid
+            LEFT JOIN wk w ON w.r = s.r + 1 AND w.oid = s.oid WHERE s.r < {rounds})
+        SELECT imgid, oid, active, pinned, is_end FROM s WHERE r = {rounds}"""
+
+
+@_registered(_selected_sql(_SCALED, _STRICT, 0.5, 0.05, rounds=3, last=2))
+def equidistant_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds from many points; chance wakes points after the first two."""
+    return selection.select_equidistant(*rescaled_points(spark, sf_dir), rounds=3, density=0.5, last_waking=False)
 
 
-@_registered(query(POINTS, edges(), DEGREES, ENDPOINTS, _select_sql(0.5), *map(_round_sql, range(1, 4)), select="SELECT imgid, oid, active, pinned, is_end FROM s3"))
-def equidistant_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds of the selection from many points, without the last waking."""
+@_registered(_selected_sql(_LATTICE, _STRICT, 0.05, 0.05))
+def equidistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole selection: 300 rounds, after each of which chance wakes points."""
     found, links = graph(spark, sf_dir)
-    return selection.select_equidistant(found, endpoints(found, links), rounds=3, density=0.5, reactivate=False)
+    return selection.select_equidistant(found, endpoints(found, links))
 
 
-#: Rounds that the twin unrolls; points settle in fewer, and what is settled stays so in all rounds.
-_SETTLED = 8
+@_registered(_selected_sql(_SCALED, _STRICT, 0.05, 0.05))
+def equidistant_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole selection where points have neighbours at many distances."""
+    return selection.select_equidistant(*rescaled_points(spark, sf_dir))
 
 
-@_registered(query(POINTS, edges(), DEGREES, ENDPOINTS, _select_sql(0.05), *map(_round_sql, range(1, _SETTLED + 1)),
-    select=f"SELECT imgid, oid, active OR {selection.chance_sql(5, 301, 'oid', 0.05)} AS active, pinned, is_end FROM s{_SETTLED}"))
-def equidistant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole selection: 300 rounds and the last waking."""
-    found, links = graph(spark, sf_dir)
-    return selection.select_equidistant(found, endpoints(found, links))
+@_registered(_selected_sql(_SCALED, _MEAN, 0.125, 0.125))
+def equidistant_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection by mean distances: 300 rounds, and an eighth as many draws as points after each."""
+    return selection.select_equidistant(*rescaled_points(spark, sf_dir), rule=selection.mean(), density=0.125, share=0.125)
 
 
 @_registered(query(POINTS, edges(), select="""

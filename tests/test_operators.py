@@ -45,15 +45,6 @@ def test_spline_meets_ends_and_deviation(spark):
     assert np.allclose([curve[0], curve[5], curve[10]], [(0, 0), (2, 2), (0, 4)])
 
 
-def test_selection_keeps_its_invariants(spark):
-    points = shape_points(spark, "circle")
-    ends = endpoints(points, neighbours(points, EIGHT))
-    state = selection.select_equidistant(points, ends, rounds=5, density=0.4, reactivate=False).collect()
-    assert all(r.active for r in state if r.is_end or r.pinned)
-    again = selection.select_equidistant(points, ends, rounds=5, density=0.4, reactivate=False).collect()
-    assert sorted(state) == sorted(again)
-
-
 def test_network_matches_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, 6)).round(4)
@@ -160,14 +151,6 @@ def test_loaded_pixels_follow_the_options(spark):
     assert loader.load_pixels(pixels, loader.EngineOptions(img_size=8, train_rotate=True), train=False).exceptAll(pixels).count() == 0
 
 
-def test_selection_stops_where_nothing_changes(spark):
-    points = shape_points(spark, "circle")
-    ends = endpoints(points, neighbours(points, EIGHT))
-    few = selection.select_equidistant(points, ends, rounds=12, density=0.4, reactivate=False)
-    many = selection.select_equidistant(points, ends, rounds=300, density=0.4, reactivate=False)
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
-
-
 def test_no_machine_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
