@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The radius that joins the eight neighbours of a lattice point.
@@ -16,17 +16,31 @@ EIGHT = math.sqrt(2) + 0.01
 _HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def neighbours(points: DataFrame, radius: float, *, inclusive: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def related(a: Column, b: Column, a_mark: Column, b_mark: Column) -> Column:
+    """Whether two sets of ids meet; marks without a common bit say at once that they don't."""
+    return (a_mark.bitwiseAND(b_mark) != 0) & F.arrays_overlap(a, b)
+
+
+def mark(number: Column) -> Column:
+    """A bit for an id; a set's mark has the bits of its ids."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (number % 64).cast("int"))
+
+
+def neighbours(points: DataFrame, radius: float, *, inclusive: bool = True, keep: tuple[str, ...] = (), tree: bool = False) -> DataFrame:
     """(imgid, lf, rt, d) for each unordered pair of points (imgid, oid, y, x) within ``radius``; lf is the smaller oid.
 
-    ``keep`` names columns of the points that follow as <name>_lf and <name>_rt.
+    ``keep`` names columns of the points that follow as <name>_lf and <name>_rt. With ``tree``, points also have a
+    ``family``, the ids of their string and its ancestors, and its ``mark``; points whose families meet are no pair, and
+    that is looked at before their distance.
     """
-    names = ("oid", "y", "x", *keep)
+    names = ("oid", "y", "x", *dict.fromkeys((*keep, *(("family", "mark") if tree else ()))))
     cell = points.select("imgid", *names, F.floor(F.col("y") / radius).alias("cy"), F.floor(F.col("x") / radius).alias("cx"))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _HALF])
     near = cell.select("imgid", *[F.col(n).alias(f"p_{n}") for n in names], "cy", "cx", F.explode(steps).alias("s"))
     near = near.withColumn("same", (F.col("s.a") == 0) & (F.col("s.b") == 0)).withColumn("cy", F.col("cy") + F.col("s.a")).withColumn("cx", F.col("cx") + F.col("s.b"))
     pairs = near.join(cell, ["imgid", "cy", "cx"]).where(~F.col("same") | (F.col("p_oid") < F.col("oid")))
+    if tree:
+        pairs = pairs.where(~related(F.col("p_family"), F.col("family"), F.col("p_mark"), F.col("mark")))
     dy, dx = F.col("p_y") - F.col("y"), F.col("p_x") - F.col("x")
     squared = dy * dy + dx * dx
     limit = F.lit(float(radius * radius))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chordgrid.functions.geometry import distance, midpoint, quarter_turn, safe_divide, turned_area, unit
-from chordgrid.operators.neighbours import neighbours
+from chordgrid.operators.neighbours import mark, neighbours
 from chordgrid.operators.storage import stored
+from chordgrid.sources.loader import numbered
 
 STRING = ("lf_y", "lf_x", "rt_y", "rt_x", "n_y", "n_x", "dev")
 
@@ -33,21 +34,24 @@ def initial_strings(points: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def string_ends(strings: DataFrame) -> DataFrame:
-    """Both ends of each string as points; side 0 is the left. oid orders ends by string, then side."""
+def string_ends(strings: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Both ends of each string as points; side 0 is the left. oid orders ends by string, then side; it is a number where sid is."""
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"{e}_y").alias("y"), F.col(f"{e}_x").alias("x")) for i, e in enumerate(("lf", "rt"))])
     ends = strings.select("*", F.explode(sides).alias("end"))
-    return ends.select("imgid", "sid", F.concat_ws("/", "sid", "end.side").alias("oid"), "end.side", "end.y", "end.x", *STRING)
+    oid = F.col("sid") * 2 + F.col("end.side") if dict(strings.dtypes)["sid"] == "bigint" else F.concat_ws("/", "sid", "end.side")
+    return ends.select("imgid", "sid", oid.alias("oid"), "end.side", "end.y", "end.x", *STRING, *carry)
 
 
-def meetings(strings: DataFrame, radius: float, *, inclusive: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def meetings(strings: DataFrame, radius: float, *, inclusive: bool = True, tree: bool = False) -> DataFrame:
     """Pairs of ends within ``radius``: a_ and b_ columns of both strings and the sides that are close; a's end comes first.
 
-    Ends of one string are among them where the string is short enough.
+    Ends of one string are among them where the string is short enough. With ``tree``, strings have a ``family`` and its
+    ``mark``, and pairs whose families meet are left out.
     """
-    ends = string_ends(strings) if not carry else string_ends(strings).join(strings.select("sid", *carry), "sid")
+    carry = ("family", "mark") if tree else ()
+    ends = string_ends(strings, carry)
     keep = ("sid", "side", *STRING, *carry)
-    pairs = neighbours(ends, radius, inclusive=inclusive, keep=keep)
+    pairs = neighbours(ends, radius, inclusive=inclusive, keep=keep, tree=tree)
     names = [F.col(f"{c}_{e}").alias(f"{p}_{c}") for c in keep for p, e in (("a", "lf"), ("b", "rt"))]
     return pairs.select("imgid", *names)
 
@@ -62,7 +66,7 @@ def merged(pairs: DataFrame, *, variant: str = "sf", corrected: bool = False, co
     The new string spans the far ends. As given, the far end of one string is that on the other's close side; with
     ``corrected`` it is the side opposite to its own close one. Pairs whose far ends all but coincide go. The deviation
     is the middle of the close ends' distance from the chord (variant "sf"), or that by the chord's length ("tree").
-    The normal is the chord's, on the side where the strings' mean normal lies.
+    The normal is the chord's, on the side where the strings' mean normal lies ("sf"), or that mean itself ("tree").
     """
     if coincident is None:
         coincident = 0.1 if variant == "sf" else 1e-3
@@ -76,6 +80,8 @@ def merged(pairs: DataFrame, *, variant: str = "sf", corrected: bool = False, co
     area = turned_area(*[F.col(c) for c in ("lf_y", "lf_x", "rt_y", "rt_x", "t_y", "t_x")])
     scale = F.col("length") if variant == "sf" else F.col("length") * F.col("length")
     old_y, old_x = unit(midpoint(F.col("a_n_y"), F.col("b_n_y")), midpoint(F.col("a_n_x"), F.col("b_n_x")))
+    if variant == "tree":
+        return out.select("*", (area / scale).alias("dev"), old_y.alias("n_y"), old_x.alias("n_x"))
     new_y, new_x = unit(*quarter_turn(F.col("rt_y") - F.col("lf_y"), F.col("rt_x") - F.col("lf_x")))
     # without a mean normal the comparison isn't true, and the normal is turned
     keep = F.when(distance(old_y, old_x, new_y, new_x) < math.sqrt(2), 1.0).otherwise(-1.0)
@@ -121,19 +127,34 @@ def merge_rounds(strings: DataFrame, radii: tuple[float, ...] = (1.0, 2.0), **op
     return strings
 
 
+def string_tree(strings: DataFrame) -> DataFrame:
+    """The roots of a tree: strings (imgid, sid, round, a_sid, b_sid, family, mark, ...) numbered in the order of image and name, from round 0."""
+    rooted = numbered(strings, "imgid", "sid").withColumn("sid", F.col("idx"))
+    none = F.lit(None).cast("long")
+    return rooted.select("imgid", "sid", F.lit(0).alias("round"), none.alias("a_sid"), none.alias("b_sid"), *STRING, F.array("sid").alias("family"), mark(F.col("sid")).alias("mark"))
+
+
+def grown(tree: DataFrame, radius: float, *, inclusive: bool = True, **options) -> DataFrame:
+    """A tree with the strings that merge from its own within ``radius``, as its next round; their numbers go on from the last."""
+    new = merged(meetings(tree, radius, inclusive=inclusive, tree=True), variant="tree", **options)
+    new = new.withColumn("family", F.array_sort(F.array_union("a_family", "b_family"))).withColumn("mark", F.col("a_mark").bitwiseOR(F.col("b_mark")))
+    start = tree.agg((F.max("sid") + 1).alias("sid"), (F.max("round") + 1).alias("round")).first()
+    placed = numbered(new.select("imgid", "a_sid", "a_side", "b_sid", "b_side", *STRING, "family", "mark"), "imgid", "a_sid", "a_side", "b_sid", "b_side")
+    placed = placed.withColumn("sid", F.col("idx") + (start.sid or 0)).withColumn("round", F.lit(start.round or 1))
+    own = F.concat("family", F.array("sid")).alias("family"), F.col("mark").bitwiseOR(mark(F.col("sid"))).alias("mark")
+    return tree.unionByName(placed.select("imgid", "sid", "round", "a_sid", "b_sid", *STRING, *own))
+
+
 def merge_forest(strings: DataFrame, radii: tuple[float, ...] = (0.5, 1.0, 1.5), **options) -> DataFrame:
-    """Rounds of merging that add the new strings, each with the set of all strings it was made of.
+    """(imgid, sid, round, a_sid, b_sid, ..., ancestors): strings and all that rounds of merging add to them.
 
-    Pairs of one string, of strings with a common ancestor, and of a string and its ancestor are left out.
+    A string has the two that it was made of, and the set of all its ancestors. Pairs of one string, of strings with a
+    common ancestor, and of a string and its ancestor are left out: a string and its ancestors are its family, and
+    families of a pair don't meet. Sets grow by what a round doubles, and stay with their string.
     """
-    tree = strings.withColumn("ancestors", F.array().cast("array<string>"))
-    for radius in radii:
-        pairs = meetings(tree, radius, carry=("ancestors",))
-        a, b = F.col("a_ancestors"), F.col("b_ancestors")
-        related = F.arrays_overlap(a, b) | F.array_contains(a, F.col("b_sid")) | F.array_contains(b, F.col("a_sid")) | (F.col("a_sid") == F.col("b_sid"))
-        new = merged(pairs.where(~related), variant="tree", **options)
-        ancestors = F.array_distinct(F.concat(a, b, F.array("a_sid", "b_sid")))
-        new = new.withColumn("ancestors", ancestors)
-        named = new.select("imgid", F.md5(F.concat_ws("|", "a_sid", "a_side", "b_sid", "b_side")).alias("sid"), *STRING, "ancestors")
-        tree = stored(tree.unionByName(named), "string-tree")
-    return tree
+    tree = string_tree(strings)
+    for n, radius in enumerate(radii, 1):
+        tree = grown(tree, radius, **options)
+        if n < len(radii):
+            tree = stored(tree, "string-tree")
+    return tree.withColumn("ancestors", F.array_except("family", F.array("sid"))).drop("family", "mark")

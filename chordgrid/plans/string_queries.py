@@ -11,6 +11,7 @@ from chordgrid.operators import canny, pooling, pyramid, segnet, selection, stri
 from chordgrid.operators.components import components
 from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours, rescaled
 from chordgrid.plans.point_queries import _SOBEL, graph
+from chordgrid.operators.storage import stored
 from chordgrid.plans.sql import DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
 from chordgrid.sources.images import embedding_pixels, points
 from chordgrid.sources.shapes import shape
@@ -69,13 +70,14 @@ def _pairs(radius: float) -> str:
 def _merged(variant: str, coincident: float, far: tuple[str, str] = ("b_side", "a_side")) -> str:
     pick = lambda s, side, c: f"CASE WHEN {side} = 0 THEN {s}_lf_{c} ELSE {s}_rt_{c} END"
     power = 1 if variant == "sf" else 2
+    normal = ("keep * c_y", "keep * c_x") if variant == "sf" else ("m_y / nullif(m, 0)", "m_x / nullif(m, 0)")
     return f"""
         fa AS (SELECT *, {pick("a", far[0], "y")} AS lf_y, {pick("a", far[0], "x")} AS lf_x, {pick("b", far[1], "y")} AS rt_y, {pick("b", far[1], "x")} AS rt_x,
                    (a_y + b_y) / 2 AS t_y, (a_x + b_x) / 2 AS t_x, (a_n_y + b_n_y) / 2 AS m_y, (a_n_x + b_n_x) / 2 AS m_x FROM pairs),
         le AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, sqrt(m_y ** 2 + m_x ** 2) AS m FROM fa),
         no AS (SELECT *, (rt_x - lf_x) / length AS c_y, -(rt_y - lf_y) / length AS c_x FROM le WHERE length > {coincident!r}),
         ne AS (SELECT *, CASE WHEN m > 0 AND sqrt((m_y / m - c_y) ** 2 + (m_x / m - c_x) ** 2) < sqrt(2) THEN 1 ELSE -1 END AS keep FROM no WHERE m > 0 OR m = 0),
-        mg AS (SELECT imgid, a_sid, a_side, b_sid, b_side, lf_y, lf_x, rt_y, rt_x, keep * c_y AS n_y, keep * c_x AS n_x,
+        mg AS (SELECT imgid, a_sid, a_side, b_sid, b_side, lf_y, lf_x, rt_y, rt_x, {normal[0]} AS n_y, {normal[1]} AS n_x,
                    ((rt_x - lf_x) * (lf_y - t_y) - (lf_x - t_x) * (rt_y - lf_y)) / length ** {power} AS dev,
                    a_dev / (b_dev + 1e-3) + sqrt((a_lf_y - a_rt_y) ** 2 + (a_lf_x - a_rt_x) ** 2) / (sqrt((b_lf_y - b_rt_y) ** 2 + (b_lf_x - b_rt_x) ** 2) + 1e-3)
                        + sqrt((a_n_y - b_n_y) ** 2 + (a_n_x - b_n_x) ** 2) AS score FROM ne)"""
@@ -132,14 +134,58 @@ def spline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.spline_samples(chosen).select("sid", "k", (F.round("y", 4) + 0.0).alias("y"), (F.round("x", 4) + 0.0).alias("x"))
 
 
-@_registered()
-def merge_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two rounds of the tree over all images; strings with the number of their ancestors.
-
-    The third round multiplies the strings of these images by about a hundred; ``merge_forest_shapes`` runs all three.
-    """
+def _forest_sql(radii: tuple[float, ...]) -> str:
+    """Rounds of the tree; a family is a string's number and its ancestors', a mark has a bit for each of them."""
+    far = {f"{s}_{c}": f"CASE WHEN {o}.side = 0 THEN {p}.lf_{c} ELSE {p}.rt_{c} END" for s, p, o in (("lf", "a", "b"), ("rt", "b", "a")) for c in "yx"}
+    steps = ["""t0 AS MATERIALIZED (SELECT imgid, 0 AS round, row_number() OVER (ORDER BY imgid, sid) - 1 AS sid, CAST(NULL AS BIGINT) AS a_sid, CAST(NULL AS BIGINT) AS b_sid, lf_y, lf_x, rt_y, rt_x, n_y, n_x, dev,
+        [row_number() OVER (ORDER BY imgid, sid) - 1] AS family, 1::BIGINT << CAST((row_number() OVER (ORDER BY imgid, sid) - 1) % 62 AS INTEGER) AS mark FROM st)"""]
+    for i, radius in enumerate(radii):
+        steps.append(f"""
+        e{i} AS MATERIALIZED (SELECT *, 0 AS side, lf_y AS y, lf_x AS x FROM t{i} UNION ALL SELECT *, 1, rt_y, rt_x FROM t{i}),
+        p{i} AS (SELECT a.imgid, a.sid AS a_sid, a.side AS a_side, b.sid AS b_sid, b.side AS b_side, {", ".join(f"{v} AS {k}" for k, v in far.items())},
+                (a.y + b.y) / 2 AS t_y, (a.x + b.x) / 2 AS t_x, (a.n_y + b.n_y) / 2 AS m_y, (a.n_x + b.n_x) / 2 AS m_x, a.family AS a_family, b.family AS b_family, a.mark | b.mark AS mark
+            FROM e{i} a JOIN e{i} b ON a.imgid = b.imgid AND 2 * a.sid + a.side < 2 * b.sid + b.side
+            WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= {radius * radius!r} AND ((a.mark & b.mark) = 0 OR NOT list_has_any(a.family, b.family))),
+        l{i} AS (SELECT *, sqrt((lf_y - rt_y) * (lf_y - rt_y) + (lf_x - rt_x) * (lf_x - rt_x)) AS length, sqrt(m_y * m_y + m_x * m_x) AS m, (SELECT max(sid) FROM t{i}) AS last FROM p{i}),
+        n{i} AS (SELECT *, last + row_number() OVER (ORDER BY imgid, a_sid, a_side, b_sid, b_side) AS sid FROM l{i} WHERE length > 1e-3),
+        t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} UNION ALL SELECT imgid, {i + 1}, sid, a_sid, b_sid, lf_y, lf_x, rt_y, rt_x, m_y / nullif(m, 0), m_x / nullif(m, 0),
+            ((rt_x - lf_x) * (lf_y - t_y) - (lf_x - t_x) * (rt_y - lf_y)) / (length * length), list_concat(a_family, b_family, [sid]), mark | (1::BIGINT << CAST(sid % 62 AS INTEGER)) FROM n{i})""")
+    return ", ".join(steps)
+
+
+@_registered(query(_STRINGS, _forest_sql((0.5, 1.0)), select="""
+    SELECT imgid, sid, CAST(round AS INTEGER) AS round, a_sid, b_sid, lf_y, lf_x, rt_y, rt_x, round(n_y, 8) + 0.0 AS n_y, round(n_x, 8) + 0.0 AS n_x, round(dev, 8) + 0.0 AS dev,
+        array_to_string(list_sort(list_distinct(list_filter(family, lambda f: f <> sid))), ',') AS ancestors FROM t2"""))
+def merge_forest_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string of the tree's first two rounds with all its ancestors."""
     found = strings.merge_forest(string_table(spark, sf_dir), radii=(0.5, 1.0))
-    return found.select("imgid", "sid", F.size("ancestors").alias("n_ancestors"))
+    listed = F.array_join(F.array_sort("ancestors").cast("array<string>"), ",")
+    return _rounded(found.withColumn("ancestors", listed), 8)
+
+
+@_registered(query(_STRINGS, _forest_sql((0.5, 1.0, 1.5)), select="""
+    SELECT imgid, CAST(round AS INTEGER) AS round, count(*) AS n_strings, CAST(sum(len(list_distinct(family)) - 1) AS BIGINT) AS n_ancestors, count(*) FILTER (dev > 0) AS bent_left, count(*) FILTER (dev < 0) AS bent_right,
+        sum(lf_y + 2 * lf_x + 3 * rt_y + 5 * rt_x) AS places FROM t3 GROUP BY 1, 2"""))
+def merge_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three rounds of the tree over all images; for each image and round its strings, their ancestors, bends and places."""
+    found = strings.merge_forest(string_table(spark, sf_dir))
+    places = F.col("lf_y") + 2 * F.col("lf_x") + 3 * F.col("rt_y") + 5 * F.col("rt_x")
+    return found.groupBy("imgid", "round").agg(
+        F.count("*").alias("n_strings"), F.sum(F.size("ancestors")).alias("n_ancestors"), F.count_if(F.col("dev") > 0).alias("bent_left"),
+        F.count_if(F.col("dev") < 0).alias("bent_right"), F.sum(places).alias("places"),
+    )
+
+
+@_registered(query(_STRINGS, _forest_sql((0.5,)), select=f"""
+    SELECT a.imgid, a.sid AS lf_sid, a.side AS lf_side, b.sid AS rt_sid, b.side AS rt_side FROM (SELECT *, 0 AS side, lf_y AS y, lf_x AS x FROM t1 UNION ALL SELECT *, 1, rt_y, rt_x FROM t1) a
+        JOIN (SELECT *, 0 AS side, lf_y AS y, lf_x AS x FROM t1 UNION ALL SELECT *, 1, rt_y, rt_x FROM t1) b ON a.imgid = b.imgid AND 2 * a.sid + a.side < 2 * b.sid + b.side
+    WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= {EIGHT * EIGHT!r} AND NOT list_has_any(a.family, b.family)"""))
+def frnn_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among ends of a tree's strings, without ends of one string or of related strings."""
+    tree = stored(strings.grown(strings.string_tree(string_table(spark, sf_dir)), 0.5), "string-tree")
+    ends = strings.string_ends(tree, ("family", "mark"))
+    found = neighbours(ends, EIGHT, keep=("sid", "side"), tree=True)
+    return found.select("imgid", *[F.col(f"{c}_{e}").alias(f"{e}_{c}") for e in ("lf", "rt") for c in ("sid", "side")])
 
 
 @_registered()
