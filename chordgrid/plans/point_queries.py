@@ -163,8 +163,10 @@ def supplier_forest(spark: SparkSession, sf_dir: str) -> UnionFind:
     return UnionFind.of(spark).add(suppliers.select("x", F.col("x").alias("order"))).union(pairs)
 
 
+# the first link of two single suppliers keeps the root of its first one, the second supplier; later ones join the larger set
 _FOREST = """su AS (SELECT s_suppkey AS x, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_nationkey AS nation FROM supplier),
-    fo AS (SELECT x, idx, nation, min(idx) OVER (PARTITION BY nation) AS root FROM su)"""
+    ro AS (SELECT nation, list_sort(list(idx)) AS l FROM su GROUP BY 1),
+    fo AS (SELECT x, idx, nation, l[least(len(l), 2)] AS root FROM su JOIN ro USING (nation))"""
 
 
 @registered(f"WITH {_FOREST} SELECT x, idx, root FROM fo")
@@ -172,6 +174,21 @@ def uf_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier_forest(spark, sf_dir).labelled().select("x", "idx", "root")
 
 
+@registered("""
+    WITH RECURSIVE li AS (SELECT o_custkey AS c, 2 * o_orderkey + 1 AS node FROM orders UNION SELECT o_custkey, 2 * o_custkey FROM orders)
+    SELECT node AS x, min(node) OVER (PARTITION BY c) AS least, count(*) OVER (PARTITION BY c) AS size FROM li""")
+def uf_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders linked to customers in two batches, each a version of the forest."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    pairs = orders.select((2 * F.col("o_orderkey") + 1).alias("x"), (2 * F.col("o_custkey")).alias("y"), F.col("o_orderkey").alias("order"), (F.col("o_orderkey") % 2).alias("batch"))
+    forest = UnionFind.of(spark)
+    for batch in range(2):
+        forest = forest.union(pairs.where(F.col("batch") == batch).drop("batch"))
+    of = forest.labelled()
+    sets = of.groupBy("root").agg(F.min("x").alias("least"), F.count("*").alias("size"))
+    return of.join(sets, "root").select("x", "least", "size")
+
+
 @registered(f"WITH {_FOREST} SELECT a.x, b.x AS y, a.root = b.root AS connected FROM fo a JOIN fo b ON b.x = a.x + 1")
 def uf_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = supplier_forest(spark, sf_dir)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chordgrid.operators import segnet, selection, strings
+from chordgrid.operators import segnet, strings, unionfind
 from chordgrid.operators.components import roots
 from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours
 from chordgrid.operators.unionfind import UnionFind
@@ -25,12 +25,12 @@ def test_union_find(spark):
     assert (forest.n_elts, forest.n_comps, forest.at(1)) == (3, 3, 7)
     joined = forest.union(spark.createDataFrame([(9, 5, 0), (11, 12, 1)], "x long, y long, order long"))
     assert (len(joined), joined.n_comps) == (5, 3)
-    assert joined.find(9) == joined.find(5) == 0
+    assert joined.find(9) == joined.find(5) == 2
     assert {r.x for r in joined.component(11).collect()} == {11, 12}
     assert {tuple(r.members) for r in joined.components().collect()} == {(5, 9), (7,), (11, 12)}
     asked = spark.createDataFrame([(5, 9), (5, 7), (5, 99)], "x long, y long")
     assert {(r.y, r.connected) for r in joined.connected(asked).collect()} == {(9, True), (7, False), (99, None)}
-    assert joined.relabel(0, 50).find(50) == 0
+    assert joined.relabel(0, 50).find(50) == 2
     with pytest.raises(ValueError):
         joined.find(99)
     with pytest.raises(IndexError):
@@ -38,6 +38,56 @@ def test_union_find(spark):
     assert repr(joined) == "UnionFind(n_elts=5, n_comps=3)"
 
 
+class Plain:
+    """The rule of roots one link at a time."""
+
+    def __init__(self):
+        self.index, self.parent, self.size = {}, [], []
+
+    def add(self, x):
+        if x not in self.index:
+            self.index[x] = len(self.parent)
+            self.parent.append(self.index[x])
+            self.size.append(1)
+
+    def find(self, x):
+        i = self.index[x]
+        while self.parent[i] != i:
+            i = self.parent[i]
+        return i
+
+    def union(self, x, y):
+        self.add(x)
+        self.add(y)
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            low, high = (a, b) if self.size[a] < self.size[b] else (b, a)
+            self.parent[low] = high
+            self.size[high] += self.size[low]
+
+
+@pytest.mark.parametrize("replay", [1_000_000, 3])
+def test_roots_follow_the_order_of_links_over_batches(spark, monkeypatch, replay):
+    monkeypatch.setattr(unionfind, "VERSIONS", 3)
+    rng = np.random.default_rng(6)
+    forest, plain = UnionFind.of(spark, [3, 1], replay=replay), Plain()
+    plain.add(3)
+    plain.add(1)
+    for batch in range(4):
+        links = [(int(a), int(b), i) for i, (a, b) in enumerate(rng.integers(0, 60, (12, 2)))]
+        forest = forest.union(spark.createDataFrame(links, "x long, y long, order long").repartition(3))
+        fresh = {}
+        for x, y, _ in links:
+            fresh |= {x: None, y: None}
+        for x in fresh:
+            plain.add(x)
+        for x, y, _ in links:
+            plain.union(x, y)
+        assert {(r.x, r.idx, r.root) for r in forest.labelled().collect()} == {(x, i, plain.find(x)) for x, i in plain.index.items()}
+    assert len(forest.versions) < 3 and forest.n_comps == len({plain.find(x) for x in plain.index})
+    assert forest.union(spark.createDataFrame([(3, 3, 0)], "x long, y long, order long")).versions == forest.versions
+
+
 def test_spline_meets_ends_and_deviation(spark):
     row = [(0, "a", 0.0, 0.0, 0.0, 4.0, 1.0, 0.0, 0.5)]
     table = spark.createDataFrame(row, "imgid long, sid string, lf_y double, lf_x double, rt_y double, rt_x double, n_y double, n_x double, dev double")
