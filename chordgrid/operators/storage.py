@@ -20,16 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written once as Parquet and read back, and the folder it is in."""
+def stored_at(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet and read back, and the folder it is in; ``by`` names a column whose values get folders of their own."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet and read back, which cuts its lineage and survives lost executors."""
-    return stored_at(df, name)[0]
+    return stored_at(df, name, by)[0]
 
 
 def discarded(spark: SparkSession, path: str) -> None:

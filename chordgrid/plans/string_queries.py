@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from chordgrid.operators import canny, pooling, pyramid, segnet, selection, strings, views
 from chordgrid.operators.components import components
 from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours, rescaled
-from chordgrid.plans.point_queries import _SOBEL, graph
+from chordgrid.plans.point_queries import _PACKED, _SOBEL, graph
 from chordgrid.operators.storage import stored
-from chordgrid.plans.sql import DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
+from chordgrid.plans.sql import COMPONENTS, DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
 from chordgrid.sources.images import embedding_pixels, points
 from chordgrid.sources.shapes import shape
 
@@ -342,6 +342,40 @@ def draw_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumn("degrees", F.round("degrees", 4) + 0.0)
 
 
+#: A narrow network for the twin, and its input: components' first two points.
+_NARROW = (6, 4, 5)
+
+
+def _network_sql(widths: tuple[int, ...], classes: int) -> str:
+    """Layers as inner products; norms as window aggregates over all rows."""
+    layers = segnet.weights(widths, classes=classes)
+    steps = ["""y0 AS (SELECT c.imgid, c.ccid AS id, list(CAST(coalesce(f.f, 0) AS DOUBLE) ORDER BY i) AS x
+        FROM (SELECT DISTINCT imgid, ccid FROM cc) c CROSS JOIN range(6) t(i) LEFT JOIN fl f ON f.ccid = c.ccid AND f.k = i GROUP BY 1, 2)"""]
+
+    def times(name: str, source: str, matrix) -> str:
+        rows = ", ".join(f"({i}, {row.tolist()})" for i, row in enumerate(matrix))
+        return f"""w{name}(i, w) AS (VALUES {rows}),
+            m{name} AS (SELECT imgid, id, i, list_inner_product(x, CAST(w AS DOUBLE[])) AS v FROM {source}, w{name})"""
+
+    normed = "(v - avg(v) OVER (PARTITION BY i)) / sqrt(var_pop(v) OVER (PARTITION BY i) + 1e-5)"
+    for n, matrix in enumerate(layers[:-1]):
+        steps.append(f"{times(n, f'y{n}', matrix)}, r{n} AS (SELECT imgid, id, i, greatest({normed}, 0) AS v FROM m{n}), y{n + 1} AS (SELECT imgid, id, list(v ORDER BY i) AS x FROM r{n} GROUP BY 1, 2)")
+    last, width = len(layers) - 1, layers[-1].shape[1]
+    steps.append(f"""po AS (SELECT e.imgid, e.i, coalesce(avg(r.v), 0) AS v FROM (SELECT vec_id AS imgid, i FROM embeddings, range({width}) t(i)) e LEFT JOIN r{last - 1} r ON r.imgid = e.imgid AND r.i = e.i GROUP BY 1, 2),
+        pn AS (SELECT imgid, imgid AS id, i, {normed} AS v FROM po), yp AS (SELECT imgid, id, list(v ORDER BY i) AS x FROM pn GROUP BY 1, 2), {times(last, "yp", layers[-1])}""")
+    return ", ".join(steps)
+
+
+@_registered(query(POINTS, edges(), DEGREES, COMPONENTS, _PACKED, _network_sql(_NARROW, 3), recursive=True,
+    select="SELECT imgid, CAST(i AS INTEGER) AS class, round(greatest(v, 0), 5) + 0.0 AS score FROM m2"))
+def seg_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of three classes through a narrow network."""
+    found, links = graph(spark, sf_dir)
+    packed = pooling.stack_bind(components(found.withColumn("v", F.round("v", 6)), links), ["y", "x", "v"], _NARROW[0]).select("imgid", F.col("packed").alias("x"))
+    scores = segnet.forward(packed, embedding_pixels(spark, sf_dir).select("imgid").distinct(), segnet.weights(_NARROW, classes=3))
+    return _rounded(scores.select("imgid", F.posexplode("x").alias("class", "score")), 5)
+
+
 @_registered()
 def seg_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class scores of each image, from components' packed (y, x, v) through the network at its full widths."""
