@@ -14,8 +14,8 @@ def area_resize(pixels: DataFrame, factor: int, values: tuple[str, ...] = ("v",)
     return pixels.groupBy("imgid", *block).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def bilinear_resize(pixels: DataFrame, side: int, target: int) -> DataFrame:
-    """(imgid, y, x, v) on a ``target`` grid whose corners are the source's, from each target's four nearest sources."""
+def bilinear_resize(pixels: DataFrame, side: int, target: int, limits: tuple[float, float] | None = None) -> DataFrame:
+    """(imgid, y, x, v) on a ``target`` grid whose corners are the source's, from each target's four nearest sources, cut at ``limits``."""
     spark = pixels.sparkSession
     scale = (side - 1) / max(1, target - 1)
     axis = spark.range(target).select(F.col("id").alias("t"), (F.col("id") * scale).alias("s"))
@@ -25,7 +25,9 @@ def bilinear_resize(pixels: DataFrame, side: int, target: int) -> DataFrame:
     ty = taps.select(F.col("t").alias("ny"), F.col("i").alias("y"), F.col("w").alias("wy"))
     tx = taps.select(F.col("t").alias("nx"), F.col("i").alias("x"), F.col("w").alias("wx"))
     joined = pixels.join(F.broadcast(ty), "y").join(F.broadcast(tx), "x")  # two rows for each target row or column
-    return joined.groupBy("imgid", F.col("ny").alias("y"), F.col("nx").alias("x")).agg(F.sum(F.col("v") * F.col("wy") * F.col("wx")).alias("v"))
+    value = F.sum(F.col("v") * F.col("wy") * F.col("wx"))
+    value = value if limits is None else F.least(F.greatest(value, F.lit(limits[0])), F.lit(limits[1]))
+    return joined.groupBy("imgid", F.col("ny").alias("y"), F.col("nx").alias("x")).agg(value.alias("v"))
 
 
 def nodes(levels: list[tuple[int, DataFrame]], images: int) -> DataFrame:

@@ -55,3 +55,22 @@ def string_segments(strings: DataFrame, scale: float = 25.0, shift: float = 0.0)
         "sid", F.col("lf_x").alias("x0"), F.col("lf_y").alias("y0"), F.col("rt_x").alias("x1"), F.col("rt_y").alias("y1"),
         midpoint(F.col("lf_x"), F.col("rt_x")).alias("mx"), midpoint(F.col("lf_y"), F.col("rt_y")).alias("my"), F.col("n_x").alias("nx"), F.col("n_y").alias("ny"),
     )
+
+
+def string_view(chords: DataFrame, parents: DataFrame | None = None, scale: float = 25.0) -> DataFrame:
+    """(row, x, y, nx, ny, x0, y0, x1, y1, to_x, to_y, r, g, b, pr, pg, pb): strings as a drawing shows them.
+
+    ``chords`` has (row, cy, cx, n_y, n_x, lf_y, ..., rt_x), rows counted from 0. Centres, normals and ends are scaled,
+    colours go by the row. With ``parents`` (row, parent), rows of the same table, an arrow goes to the parent's centre in
+    the parent's colour; without, these columns are null.
+    """
+    colours = lambda row, names: [c.alias(n) for c, n in zip(palette(row * 20), names)]
+    fields = {"x": "cx", "y": "cy", "nx": "n_x", "ny": "n_y", "x0": "lf_x", "y0": "lf_y", "x1": "rt_x", "y1": "rt_y"}
+    own = chords.select("row", *[(F.col(c) * scale).alias(name) for name, c in fields.items()])
+    none = F.lit(None).cast("double")
+    if parents is None:
+        return own.select("*", none.alias("to_x"), none.alias("to_y"), *colours(F.col("row"), "rgb"), *[none.alias(n) for n in ("pr", "pg", "pb")])
+    above = own.select(F.col("row").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"))
+    met = own.join(parents.select("row", "parent"), "row", "left").join(above, "parent", "left")
+    arrow = [(F.col("px") - F.col("x")).alias("to_x"), (F.col("py") - F.col("y")).alias("to_y")]
+    return met.select("row", *fields, *arrow, *colours(F.col("row"), "rgb"), *colours(F.col("parent"), ("pr", "pg", "pb")))

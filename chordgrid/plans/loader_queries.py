@@ -90,7 +90,23 @@ def resize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     ce AS (SELECT DISTINCT imgid, i // 8 AS y, i % 8 AS x FROM px, range(64) t(i))""",
     select="""SELECT c.imgid, c.y, c.x, round(p.v, 6) AS v FROM ce c JOIN px p ON p.imgid = c.imgid AND p.y = c.x AND p.x = 7 - c.y"""))
 def rotated_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loader.rotated(embedding_pixels(spark, sf_dir), 8, F.lit(90.0)).select("imgid", "y", "x", F.round("v", 6).alias("v"))
+    return loader.rotated(embedding_pixels(spark, sf_dir), 8, F.lit(90.0), "nearest").select("imgid", "y", "x", F.round("v", 6).alias("v"))
+
+
+_CUBIC = "CASE k WHEN 0 THEN -d * (1 - d) * (1 - d) WHEN 1 THEN 1 - d * d * (2 - d) WHEN 2 THEN d * (1 + d * (1 - d)) ELSE -d * d * (1 - d) END"
+
+
+@_registered(query(PIXELS, f"""
+    ce AS (SELECT imgid, i // 8 AS y, i % 8 AS x, radians(imgid % 360 + 0.5::DOUBLE) AS a FROM (SELECT DISTINCT imgid FROM px), range(64) t(i)),
+    so AS (SELECT imgid, y, x, cos(a) * (y - 3.5::DOUBLE) + sin(a) * (x - 3.5::DOUBLE) + 3.5::DOUBLE AS sy, cos(a) * (x - 3.5::DOUBLE) - sin(a) * (y - 3.5::DOUBLE) + 3.5::DOUBLE AS sx FROM ce),
+    ty AS (SELECT imgid, y, x, sy, sx, CAST(floor(sy) AS BIGINT) + k - 1 AS py, {_CUBIC} AS wy FROM (SELECT *, sy - floor(sy) AS d FROM so), range(4) t(k)),
+    tx AS (SELECT imgid, y, x, sy, sx, py, wy, CAST(floor(sx) AS BIGINT) + k - 1 AS px_, {_CUBIC} AS wx FROM (SELECT *, sx - floor(sx) AS d FROM ty), range(4) t(k))""", select="""
+    SELECT t.imgid, t.y, t.x, round(CASE WHEN min(sy) >= -0.5 AND min(sy) < 7.5 AND min(sx) >= -0.5 AND min(sx) < 7.5 THEN sum(t.wy * t.wx * p.v) ELSE 0 END, 5) + 0.0 AS v
+    FROM tx t JOIN px p ON p.imgid = t.imgid AND p.y = least(greatest(t.py, 0), 7) AND p.x = least(greatest(t.px_, 0), 7) GROUP BY 1, 2, 3"""))
+def rotated_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image turned by an angle of its own, by cubic convolution."""
+    found = loader.rotated(embedding_pixels(spark, sf_dir), 8, F.col("imgid") % 360 + 0.5)
+    return found.select("imgid", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
 
 
 @_registered(query(PIXELS, select="SELECT oid, round((v - 0.5) / 0.5, 6) AS v FROM px"))

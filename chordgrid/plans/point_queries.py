@@ -128,7 +128,7 @@ def endpoint_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints(*graph(spark, sf_dir)).select("imgid", "oid")
 
 
-@registered(query(PIXELS, """pt AS (SELECT imgid, oid, y * 0.7 AS y, x * 0.7 AS x FROM px WHERE v > 0.1)""", edges(radius=1.2),
+@registered(query(PIXELS, """pt AS MATERIALIZED (SELECT imgid, oid, y * 0.7::DOUBLE AS y, x * 0.7::DOUBLE AS x FROM px WHERE v > 0.1)""", edges(radius=1.2),
     select="SELECT p.imgid, p.oid FROM pt p LEFT JOIN (SELECT DISTINCT lf FROM ed WHERE d * d < 0.9) c ON c.lf = p.oid WHERE c.lf IS NULL"))
 def coincident_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = points(embedding_pixels(spark, sf_dir)).select("imgid", "oid", (F.col("y") * 0.7).alias("y"), (F.col("x") * 0.7).alias("x"))
@@ -268,8 +268,9 @@ def mean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.mean_neighbour_distance(graph(spark, sf_dir)[1]).select("oid", F.round("mean_d", 6).alias("mean_d"))
 
 
-_SOBEL = """pd AS (SELECT p.imgid, p.oid, p.y, p.x, q.y - p.y AS a, q.x - p.x AS b, q.v FROM px p JOIN px q ON p.imgid = q.imgid AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1),
-    so AS (SELECT imgid, oid, y, x, sum(a * (2 - abs(b)) * v) AS dy, sum(b * (2 - abs(a)) * v) AS dx FROM pd GROUP BY 1, 2, 3, 4)"""
+_SOBEL = """sh AS MATERIALIZED (SELECT imgid, y - sy AS y, x - sx AS x, sy AS a, sx AS b, v FROM px, (SELECT s // 3 - 1 AS sy, s % 3 - 1 AS sx FROM range(9) t(s))),
+    pd AS MATERIALIZED (SELECT p.imgid, p.oid, p.y, p.x, q.a, q.b, q.v FROM px p JOIN sh q ON p.imgid = q.imgid AND p.y = q.y AND p.x = q.x),
+    so AS MATERIALIZED (SELECT imgid, oid, y, x, sum(a * (2 - abs(b)) * v) AS dy, sum(b * (2 - abs(a)) * v) AS dx FROM pd GROUP BY 1, 2, 3, 4)"""
 
 
 @registered(query(PIXELS, _SOBEL, select="SELECT imgid, oid, round(dy, 6) AS dy, round(dx, 6) AS dx FROM so"))

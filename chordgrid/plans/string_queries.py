@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from chordgrid.operators import canny, pooling, pyramid, segnet, selection, strings, views
 from chordgrid.operators.components import components
+from chordgrid.operators.gather import gathered
 from chordgrid.operators.neighbours import EIGHT, endpoints, neighbours, rescaled
 from chordgrid.plans.point_queries import _PACKED, _SOBEL, graph
 from chordgrid.operators.storage import stored
 from chordgrid.plans.sql import COMPONENTS, DEGREES, ENDPOINTS, PIXELS, POINTS, edges, query
 from chordgrid.sources.images import embedding_pixels, points
+from chordgrid.sources.loader import numbered
 from chordgrid.sources.shapes import shape
 
 QUERIES: dict = {}
@@ -247,6 +249,63 @@ def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("imgid", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
 
 
+@_registered(query(PIXELS, """
+    ax AS (SELECT t, t * 7 / 11.0 AS s FROM range(12) r(t)), lo AS (SELECT t, s, least(floor(s), 6) AS i FROM ax),
+    tp AS (SELECT t, CAST(i AS BIGINT) AS i, 1 - (s - i) AS w FROM lo UNION ALL SELECT t, CAST(i AS BIGINT) + 1, s - i FROM lo)""",
+    select="SELECT imgid, a.t AS y, b.t AS x, round(least(greatest(sum(v * a.w * b.w), 0), 1), 5) + 0.0 AS v FROM px JOIN tp a ON a.i = px.y JOIN tp b ON b.i = px.x GROUP BY 1, 2, 3"))
+def bilinear_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pyramid's base: resized and cut to 0..1."""
+    found = pyramid.bilinear_resize(embedding_pixels(spark, sf_dir), 8, 12, limits=(0.0, 1.0))
+    return found.select("imgid", "y", "x", (F.round("v", 5) + 0.0).alias("v"))
+
+
+@_registered(query(PIXELS, _SOBEL, _LEVELS, """
+    ro AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY linid) - 1 AS row FROM no),
+    ch AS (SELECT a.row, b.row AS parent, a.cy, a.cx, a.ny, a.nx, b.cy AS py, b.cx AS px, cos(0) * a.size / 2 AS half FROM ro a LEFT JOIN ro b ON b.linid = a.parent_linid)""", select="""
+    SELECT row, cx * 25 AS x, cy * 25 AS y, round(nx * 25, 5) + 0.0 AS nx, round(ny * 25, 5) + 0.0 AS ny, round((cx - ny * half) * 25, 5) + 0.0 AS x0, round((cy + nx * half) * 25, 5) + 0.0 AS y0,
+        round((cx + ny * half) * 25, 5) + 0.0 AS x1, round((cy - nx * half) * 25, 5) + 0.0 AS y1, (px - cx) * 25 AS to_x, (py - cy) * 25 AS to_y,
+        round(row * 20 * 33554431 % 255 / 255.0, 5) AS r, round(row * 20 * 32767 % 255 / 255.0, 5) AS g, round(row * 20 * 2097151 % 255 / 255.0, 5) AS b,
+        round(parent * 20 * 33554431 % 255 / 255.0, 5) AS pr, round(parent * 20 * 32767 % 255 / 255.0, 5) AS pg, round(parent * 20 * 2097151 % 255 / 255.0, 5) AS pb FROM ch"""))
+def draw_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords of all levels with their normals, and arrows to their parents."""
+    table = numbered(_nodes(spark, sf_dir), "linid").withColumnRenamed("idx", "row")
+    chord = pyramid.chords(table).join(table.select("linid", "row", "cy", "cx"), "linid")
+    above = table.select(F.col("linid").alias("parent_linid"), F.col("row").alias("parent"))
+    parents = table.select("row", "parent_linid").join(above, "parent_linid", "left")
+    return _rounded(views.string_view(chord, parents), 5)
+
+
+#: Curves of the strings that a first round scores, sampled as sm, as in spline_samples.
+_CURVES = (_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1), """
+    ch AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, -n_x * lf_y + n_y * lf_x <= -n_x * rt_y + n_y * rt_x AS first FROM mg WHERE dev <> 0 AND score > 1),
+    sm AS (SELECT imgid, a_sid || a_side || b_sid || b_side AS sid, k, CASE WHEN first THEN lf_y ELSE rt_y END - k / 9.0 * length * n_x + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_y AS y,
+               CASE WHEN first THEN lf_x ELSE rt_x END + k / 9.0 * length * n_y + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_x AS x FROM ch, range(10) t(k))""")
+
+
+@_registered(query(*_CURVES, """
+    ta AS (SELECT imgid, sid, k, CAST(floor(y) AS BIGINT) + j AS ty, CAST(floor(x) AS BIGINT) + i AS tx,
+        (CASE j WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE i WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w FROM sm, range(2) a(j), range(2) b(i))""",
+    select="""SELECT t.sid, CAST(t.k AS INTEGER) AS k, round(sum(t.w * coalesce(p.v, 0)), 4) + 0.0 AS v FROM ta t LEFT JOIN px p ON p.imgid = t.imgid AND p.y = t.ty AND p.x = t.tx GROUP BY 1, 2"""))
+def curve_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster's values along the curves of strings, between pixels; 0 beyond the image."""
+    found = strings.merged(strings.meetings(string_table(spark, sf_dir), 1.0)).withColumn("score", strings.similarity())
+    chosen = found.where("dev <> 0 AND score > 1").withColumn("sid", F.concat("a_sid", "a_side", "b_sid", "b_side"))
+    values = gathered(embedding_pixels(spark, sf_dir), strings.spline_samples(chosen), ("sid", "k"), "bilinear")
+    return values.select("sid", "k", (F.round("v", 4) + 0.0).alias("v"))
+
+
+@_registered(query(POINTS, edges(), "pl AS (SELECT ed.imgid, lf, rt, k, (a.y * (3 - k) + b.y * k) / 3.0::DOUBLE AS y, (a.x * (3 - k) + b.x * k) / 3.0::DOUBLE AS x FROM ed JOIN pt a ON a.oid = lf JOIN pt b ON b.oid = rt, range(4) t(k))",
+    select="SELECT t.lf, t.rt, CAST(t.k AS INTEGER) AS k, round(coalesce(p.v, 0), 6) AS v FROM pl t LEFT JOIN px p ON p.imgid = t.imgid AND p.y = round_even(t.y, 0) AND p.x = round_even(t.x, 0)"))
+def edge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster at four places along each edge, from the nearest pixel."""
+    found, links = graph(spark, sf_dir)
+    at = [found.select("imgid", F.col("oid").alias(e), F.col("y").alias(f"{e}_y"), F.col("x").alias(f"{e}_x")) for e in ("lf", "rt")]
+    step = links.join(at[0], ["imgid", "lf"]).join(at[1], ["imgid", "rt"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    places = step.select("imgid", "lf", "rt", "k", *[((F.col(f"lf_{c}") * (3 - F.col("k")) + F.col(f"rt_{c}") * F.col("k")) / 3.0).alias(c) for c in "yx"])
+    values = gathered(embedding_pixels(spark, sf_dir), places, ("lf", "rt", "k"))
+    return values.select("lf", "rt", "k", F.round("v", 6).alias("v"))
+
+
 @_registered(query(POINTS, select=f"SELECT imgid, oid FROM pt WHERE {selection.chance_sql(5, 0, 'oid', 0.05)}"))
 def equidistant_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir)[0].where(selection.chance(5, 0, F.col("oid"), 0.05)).select("imgid", "oid")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chordgrid.operators.gather import gathered
 from chordgrid.operators.storage import stored
 
 # The images that debugging shows again and again, and the one image of the one-image set.
@@ -163,18 +164,19 @@ def resized(pixels: DataFrame, side: int, low: float) -> DataFrame:
     return met.select("imgid", "size", "y", "x", F.when(F.col("inside"), F.col("v")).otherwise(-1.0).alias("v"))
 
 
-def rotated(pixels: DataFrame, side: int, degrees: Column) -> DataFrame:
-    """(imgid, y, x, v): images turned about their centre by an angle of each image, from the nearest source pixel, -1 outside."""
+def rotated(pixels: DataFrame, side: int, degrees: Column, mode: str = "bicubic", limits: tuple[float, float] | None = None) -> DataFrame:
+    """(imgid, y, x, v): images turned counter-clockwise about their centre by an angle of each image; 0 where they don't reach.
+
+    A target pixel takes the source's value at the place it comes from; what bicubic sums overshoot is cut at ``limits``.
+    """
     c = (side - 1) / 2
     images = pixels.select("imgid", degrees.alias("angle")).distinct()
     cells = images.select("imgid", "angle", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("i"))
     y, x, a = F.floor(F.col("i") / side) - c, F.col("i") % side - c, F.radians("angle")
-    cells = cells.select(
-        "imgid", F.floor(F.col("i") / side).cast("long").alias("y"), (F.col("i") % side).cast("long").alias("x"),
-        F.rint(F.cos(a) * y + F.sin(a) * x + c).cast("long").alias("sy"), F.rint(F.cos(a) * x - F.sin(a) * y + c).cast("long").alias("sx"),
-    )
-    values = pixels.select("imgid", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return cells.join(values, ["imgid", "sy", "sx"], "left").select("imgid", "y", "x", F.coalesce("v", F.lit(-1.0)).alias("v"))
+    places = cells.select("imgid", F.col("i").cast("long").alias("i"), (F.cos(a) * y + F.sin(a) * x + c).alias("y"), (F.cos(a) * x - F.sin(a) * y + c).alias("x"))
+    found = gathered(pixels, places, ("i",), mode, side=side)
+    v = F.col("v") if limits is None else F.least(F.greatest("v", F.lit(limits[0])), F.lit(limits[1]))
+    return found.select("imgid", F.expr(f"i div {side}").alias("y"), (F.col("i") % side).alias("x"), v.alias("v"))
 
 
 def transformed(pixels: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def load_pixels(pixels: DataFrame, options: EngineOptions, train: bool = True, s
         pixels, side = resized_to(pixels, side, options.img_resize), options.img_resize
     if getattr(options, f"{mode}_rotate"):
         part = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("angle"), F.col("imgid").cast("string"))), 1, 8), 16, 10).cast("long")
-        pixels = rotated(pixels, side, part / 4294967296.0 * 360.0 - 180.0)
+        pixels = rotated(pixels, side, part / 4294967296.0 * 360.0 - 180.0, limits=(0.0, 1.0))
     if getattr(options, f"{mode}_normalize"):
         pixels = transformed(pixels)
     scale = getattr(options, f"{mode}_scale")
