@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chordgrid.operators.storage import stored
+
 #: The radius that joins the eight neighbours of a lattice point.
 EIGHT = math.sqrt(2) + 0.01
 _HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -54,6 +56,47 @@ def neighbours(points: DataFrame, radius: float, *, inclusive: bool = True, keep
     return pairs.select("imgid", side("oid", True).alias("lf"), side("oid", False).alias("rt"), F.sqrt(squared.cast("double")).alias("d"), *extra)
 
 
+def dense_neighbours(points: DataFrame, radius: float, *, inclusive: bool = True, most: int = 4096) -> DataFrame:
+    """``neighbours`` where many points share a cell: no task compares more than about ``most`` points with as many others.
+
+    Cells of more points, counted first, are dealt into blocks by a hash of oid, so it doesn't matter how close their
+    points are. A point meets the blocks of the cells that it looks into one by one, and theirs meet its own block; where
+    no crowded cell is near, points go as in ``neighbours``.
+    """
+    where = ("imgid", "cy", "cx")
+    cell = points.select("imgid", "oid", "y", "x", F.floor(F.col("y") / radius).alias("cy"), F.floor(F.col("x") / radius).alias("cx"))
+    crowded = cell.groupBy(*where).count().where(F.col("count") > most)
+    crowded = stored(crowded.select(*where, F.ceil(F.col("count") / most).cast("int").alias("blocks")), "crowded-cells")
+    if crowded.isEmpty():
+        return neighbours(points, radius, inclusive=inclusive)
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(_HALF)])
+    block = F.pmod(F.xxhash64("oid"), F.col("blocks")).cast("int")
+    one = F.coalesce("blocks", F.lit(1))
+
+    def moved(table: DataFrame) -> DataFrame:
+        out = table.withColumn("s", F.explode(steps))
+        return out.select(*[c for c in table.columns if c not in where], "imgid", (F.col("cy") + F.col("s.a")).alias("cy"), (F.col("cx") + F.col("s.b")).alias("cx"), F.col("s.step").alias("step"))
+
+    # a looking point names the cell it looks into, that cell's block, and itself: step -1, or its step and block if its own cell is crowded
+    looking = moved(cell.join(crowded, [*where], "left").withColumn("own", F.coalesce(block, F.lit(0))).withColumn("crowd", F.col("blocks").isNotNull()).drop("blocks"))
+    looking = looking.join(crowded, [*where], "left").select(
+        *where, F.explode(F.sequence(F.lit(0), one - 1)).alias("block"), F.when(F.col("crowd"), F.col("step")).otherwise(-1).alias("by"), F.when(F.col("crowd"), F.col("own")).otherwise(0).alias("of"),
+        F.col("oid").alias("p_oid"), F.col("y").alias("p_y"), F.col("x").alias("p_x"), (F.col("step") == 0).alias("same"),
+    )
+    # a point that is looked at waits for points of cells that aren't crowded, and for each block of those that are
+    lookers = moved(crowded).groupBy(*where).agg(F.collect_list(F.struct("step", "blocks")).alias("lookers"))  # at most one for each step
+    sources = F.flatten(F.transform("lookers", lambda l: F.transform(F.sequence(F.lit(0), l["blocks"] - 1), lambda b: F.struct(l["step"].alias("by"), b.alias("of")))))
+    alone = F.array(F.struct(F.lit(-1).alias("by"), F.lit(0).alias("of")))
+    seen = cell.join(crowded, [*where], "left").withColumn("block", F.coalesce(block, F.lit(0))).drop("blocks").join(lookers, [*where], "left")
+    seen = seen.select(*where, "block", F.explode(F.when(F.col("lookers").isNull(), alone).otherwise(F.concat(alone, sources))).alias("s"), "oid", "y", "x")
+    seen = seen.select(*where, "block", "s.by", "s.of", "oid", "y", "x")
+    pairs = looking.join(seen, [*where, "block", "by", "of"]).where(~F.col("same") | (F.col("p_oid") < F.col("oid")))
+    dy, dx = F.col("p_y") - F.col("y"), F.col("p_x") - F.col("x")
+    squared, limit = dy * dy + dx * dx, F.lit(float(radius * radius))
+    near = pairs.where(squared <= limit if inclusive else squared < limit)
+    return near.select("imgid", F.least("p_oid", "oid").alias("lf"), F.greatest("p_oid", "oid").alias("rt"), F.sqrt(squared).alias("d"))
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     """Each edge in both directions."""
     columns = [c for c in edges.columns if c not in ("lf", "rt")]

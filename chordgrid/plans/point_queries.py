@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from chordgrid.operators import canny, pooling
 from chordgrid.operators.components import components, image_components, roots
-from chordgrid.operators.neighbours import EIGHT, bipartite_neighbours, degrees, drop_coincident, endpoints, neighbours
+from chordgrid.operators.neighbours import EIGHT, bipartite_neighbours, degrees, dense_neighbours, drop_coincident, endpoints, neighbours
 from chordgrid.operators.unionfind import UnionFind
 from chordgrid.plans.sql import COMPONENTS, DEGREES, ENDPOINTS, PIXELS, POINTS, STEPS, cells, edges, query
 from chordgrid.sources.images import embedding_pixels, event_points, points
@@ -97,6 +97,14 @@ def frnn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(event_points(spark, sf_dir), 2.0).select("imgid", "lf", "rt")
 
 
+@registered(query(
+    "pt AS MATERIALIZED (SELECT datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS imgid, event_id AS oid, CAST(user_id AS DOUBLE) AS y, value AS x FROM events)",
+    edges(radius=25.0), select="SELECT CAST(imgid AS BIGINT) AS imgid, lf, rt, round(d, 6) AS d FROM ed"))
+def frnn_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of events in wide cells, those with over eight points dealt into blocks."""
+    return dense_neighbours(event_points(spark, sf_dir), 25.0, most=8).withColumn("d", F.round("d", 6))
+
+
 @registered(query(POINTS, """lo AS (SELECT * FROM pt WHERE v <= 0.2), hi AS (SELECT * FROM pt WHERE v > 0.2)""", f"""
     lc AS MATERIALIZED (SELECT imgid, oid, y, x, cy + sy AS cy, cx + sx AS cx FROM ({cells("lo", EIGHT)}), {STEPS}), hc AS MATERIALIZED ({cells("hi", EIGHT)})""", select=f"""
     SELECT a.imgid, a.oid AS lf, b.oid AS rt, round(sqrt(CAST((a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS DOUBLE)), 6) AS d FROM lc a JOIN hc b ON a.imgid = b.imgid AND a.cy = b.cy AND a.cx = b.cx

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chordgrid.operators.components import components
-from chordgrid.operators.neighbours import EIGHT, bipartite_neighbours, endpoints, neighbours
+from chordgrid.operators.neighbours import EIGHT, bipartite_neighbours, dense_neighbours, endpoints, neighbours
 from chordgrid.operators.strings import initial_strings, meetings, merged
 from chordgrid.sources.shapes import shape_points
 
@@ -42,3 +42,25 @@ def test_neighbours_equal_all_pairs(spark):
         assert {(r.lf, r.rt) for r in neighbours(points, radius).collect()} == near
         left, right = points.where("oid < 100"), points.where("oid >= 100")
         assert {(r.lf, r.rt) for r in bipartite_neighbours(left, right, radius).collect()} == {(a, b) for a, b in near if a < 100 <= b}
+
+
+def test_crowded_cells_are_dealt_into_blocks(spark):
+    # one cell's area holds 3,000 points, all but a few at one place; others are spread out
+    rows = [(i % 2, i, 0.5, 0.5) if i < 2500 else (i % 2, i, (i * 37 % 101) / 100, (i * 53 % 97) / 97) if i < 3000 else (i % 2, i, (i * 37 % 501) / 7 - 9, (i * 53 % 497) / 9 - 9) for i in range(3600)]
+    points = spark.createDataFrame(rows, "imgid long, oid long, y double, x double")
+    plain = neighbours(points, 1.0)
+    dealt = dense_neighbours(points, 1.0, most=200)
+    total = plain.count()
+    assert total > 1_500_000 and dealt.count() == total and dealt.select("lf", "rt").distinct().count() == total
+    assert plain.join(dealt, ["imgid", "lf", "rt"], "left_anti").isEmpty() and dealt.where("lf >= rt").isEmpty()
+    assert dense_neighbours(points, 1.0, most=200, inclusive=False).count() == neighbours(points, 1.0, inclusive=False).count()
+    assert dense_neighbours(points.where("oid >= 3000"), 1.0).count() == neighbours(points.where("oid >= 3000"), 1.0).count()
+
+
+def test_a_point_outside_finds_all_that_are_near_in_a_crowded_cell(spark):
+    points = spark.range(1_000_000).select(F.lit(0).cast("long").alias("imgid"), F.col("id").alias("oid"), (F.col("id") % 1000 / 2000).alias("y"), F.lit(0.25).alias("x"))
+    # a point 0.74 away from the middle of the cell looks into it: its neighbours are those within the radius
+    looker = spark.createDataFrame([(0, -1, 0.25, -0.2)], "imgid long, oid long, y double, x double")
+    met = dense_neighbours(points.where("oid % 1000 = 0 OR oid < 20000").unionByName(looker), 0.5, most=1000).where("lf = -1")
+    near = [o for o in range(1_000_000) if (o % 1000 == 0 or o < 20000) and (o % 1000 / 2000 - 0.25) ** 2 + 0.45**2 <= 0.25]
+    assert met.count() == len(near)
