@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from chordgrid.sources import png
+from chordgrid.sources.loader import numbered
 
 IMAGES = "imgid long, label int, h int, w int, c int, data array<float>"
 
@@ -57,9 +62,11 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 
 def decoded(data: bytes) -> np.ndarray:
-    """(h, w, c) of an image file. Netpbm is read here, other formats by PIL where it is installed."""
+    """(h, w, c) of an image file. Netpbm and PNG are read here, other formats by PIL where it is installed."""
     if data[:2] in (b"P5", b"P6"):
         return _netpbm(data)
+    if data[:8] == png.SIGNATURE:
+        return png.decoded(data)
     import io
 
     from PIL import Image
@@ -68,67 +75,112 @@ def decoded(data: bytes) -> np.ndarray:
     return image if image.ndim == 3 else image[:, :, None]
 
 
-def image_folder(spark: SparkSession, path: str) -> DataFrame:
+def _coloured(image: np.ndarray, channels: int | None) -> np.ndarray:
+    """An image with as many channels as wanted: grey is repeated, colours become their mean, transparency goes."""
+    if channels is None or image.shape[2] == channels:
+        return image
+    solid = image[:, :, : 3 if image.shape[2] > 2 else 1]
+    if channels == 1:
+        return np.rint(solid.mean(2, keepdims=True)).astype(np.uint8)
+    return np.repeat(solid, 3, 2) if solid.shape[2] == 1 else solid
+
+
+def _folder(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, content) of the files under a folder; name is the subfolder of the folder itself that a file is in, however deep."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    inner = F.expr(f"substring(path, {len(root) + 2})")
+    return files.withColumn("name", F.substring_index(inner, "/", 1)).where(F.contains(inner, F.lit("/")))
+
+
+def class_list(spark: SparkSession, path: str) -> DataFrame:
+    """(label, name) of an image folder's classes in sorted order."""
+    names = numbered(_folder(spark, path).select("name").distinct(), "name")
+    return names.select(F.col("idx").cast("int").alias("label"), "name")
+
+
+def image_folder(spark: SparkSession, path: str, channels: int | None = None) -> DataFrame:
     """Images of a folder with one subfolder for each class; labels are the classes' places in sorted order.
 
-    A path that doesn't exist raises Spark's AnalysisException. imgid is the place in the order of paths.
+    A path that doesn't exist raises Spark's AnalysisException. imgid is the place in the order of paths. ``channels``, 1 or
+    3, makes all images alike; by default they keep their own.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("name", F.element_at(F.split("path", "/"), -2))
-    classes = files.select("name").distinct().collect()  # a few class names
-    label = F.create_map(*[F.lit(x) for i, name in enumerate(sorted(r.name for r in classes)) for x in (name, i)])
-    order = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("imgid"))  # of paths alone
+    files = _folder(spark, path)
+    order = numbered(files.select("path"), "path").withColumnRenamed("idx", "imgid")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            arrays = [decoded(content) for content in batch.content]
+            arrays = [_coloured(decoded(content), channels) for content in batch.content]
             yield pd.DataFrame({
                 "imgid": batch.imgid, "label": batch.label, "h": [a.shape[0] for a in arrays], "w": [a.shape[1] for a in arrays],
                 "c": [a.shape[2] for a in arrays], "data": [(a.transpose(2, 0, 1).ravel() / np.float32(255)) for a in arrays],
             })
 
-    labelled = files.join(order, "path").select("imgid", label[F.col("name")].cast("int").alias("label"), "content")
+    labelled = files.join(order, "path").join(class_list(spark, path), "name").select("imgid", "label", "content")
     return labelled.mapInPandas(decode, IMAGES)
 
 
-def class_list(spark: SparkSession, path: str) -> DataFrame:
-    """(label, name) of an image folder's classes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -2).alias("name"))
-    names = sorted(r.name for r in files.distinct().collect())
-    return spark.createDataFrame(list(enumerate(names)), "label int, name string")
+def tiny_imagenet(spark: SparkSession, data_dir: str, train: bool = True) -> DataFrame:
+    """Images of one half of the tiny-imagenet folder, three channels each."""
+    return image_folder(spark, f"{data_dir}/tiny-imagenet-200/{'train' if train else 'test'}", channels=3)
+
+
+def fixed_records(spark: SparkSession, path: str, length: int, split_bytes: int = 64 << 20) -> DataFrame:
+    """(at, data): the records of one file of records of ``length`` bytes with their offset, dealt to tasks by ranges of the file.
+
+    A file whose size isn't a multiple of ``length`` raises an error.
+    """
+    settings = {"fixedlengthinputformat.record.length": str(length), "mapreduce.input.fileinputformat.split.maxsize": str(max(split_bytes, length))}
+    pairs = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=settings
+    )
+    return spark.createDataFrame(pairs, "at long, data binary")
 
 
-def cifar10(spark: SparkSession, path: str) -> DataFrame:
+def cifar10(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     """Images of the binary CIFAR-10 files: records of one label byte and 3 * 32 * 32 samples."""
+    size = 3 * 32 * 32
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content, file in zip(batch.content, batch.file):
-                records = np.frombuffer(content, np.uint8).reshape(-1, 3073)
-                yield pd.DataFrame({
-                    "imgid": file * 10_000 + np.arange(len(records)), "label": records[:, 0].astype(np.int32), "h": 32, "w": 32, "c": 3,
-                    "data": list(records[:, 1:] / np.float32(255)),
-                })
+            records = np.frombuffer(b"".join(batch.data), np.uint8).reshape(-1, size + 1)
+            yield pd.DataFrame({"imgid": batch["first"] + batch["at"] // (size + 1), "label": records[:, 0].astype(np.int32), "h": 32, "w": 32, "c": 3, "data": list(records[:, 1:] / np.float32(255))})
 
-    files = spark.read.format("binaryFile").load(path)
-    number = F.coalesce(F.try_to_number(F.regexp_extract("path", r"(\d+)\.bin$", 1), F.lit("99999")).cast("long"), F.lit(0).cast("long"))
-    return files.select("content", number.alias("file")).mapInPandas(decode, IMAGES)
+    files = [row.path for row in spark.read.format("binaryFile").load(path).select("path").collect()]  # a few files
+    tables = []
+    for file in files:
+        number = re.search(r"(\d+)\.bin$", file)
+        tables.append(fixed_records(spark, file, size + 1, split_bytes).withColumn("first", F.lit(10_000 * int(number[1]) if number else 0).cast("long")))
+    return reduce(DataFrame.unionByName, tables).mapInPandas(decode, IMAGES)
 
 
-def mnist(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Images of a pair of IDX files."""
+def mnist(spark: SparkSession, images: str, labels: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """Images of a pair of IDX files.
+
+    The images' file is read in pieces that its head and an image both are a number of; pieces of an image meet by its number.
+    """
+    head = spark.read.format("binaryFile").load(images).select("length", F.substring("content", 1, 16).alias("head")).first()
+    n, h, w = np.frombuffer(bytes(head.head), ">u4", 3, 4).tolist()
+    size = math.gcd(16, h * w)
+    piece = fixed_records(spark, images, size, split_bytes).where(F.col("at") >= 16)
+    piece = piece.select(F.expr(f"(at - 16) div {h * w}").alias("imgid"), "at", "data").where(F.col("imgid") < n)
+    whole = piece.groupBy("imgid").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("p"))  # the pieces of one image
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch.content:
+                label = np.frombuffer(content, np.uint8, offset=8)
+                yield pd.DataFrame({"imgid": np.arange(len(label)), "label": label.astype(np.int32)})
+
+    names = spark.read.format("binaryFile").load(labels).select("content").mapInPandas(named, "imgid long, label int")  # a byte for each image
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content, names in zip(batch.content, batch.names):
-                n, h, w = np.frombuffer(content, ">u4", 3, 4).tolist()
-                samples = np.frombuffer(content, np.uint8, offset=16).reshape(n, h * w)
-                label = np.frombuffer(names, np.uint8, offset=8).astype(np.int32)
-                yield pd.DataFrame({"imgid": np.arange(n), "label": label, "h": h, "w": w, "c": 1, "data": list(samples / np.float32(255))})
-
-    read = spark.read.format("binaryFile")
-    pair = read.load(images).select("content").crossJoin(read.load(labels).select(F.col("content").alias("names")))  # one file each
-    return pair.mapInPandas(decode, IMAGES)
+            samples = [np.frombuffer(b"".join(parts), np.uint8) / np.float32(255) for parts in batch.parts]
+            yield pd.DataFrame({"imgid": batch.imgid, "label": batch.label, "h": h, "w": w, "c": 1, "data": samples})
+
+    return whole.join(names, "imgid").select("imgid", "label", F.col("p.data").alias("parts")).mapInPandas(decode, IMAGES)
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
