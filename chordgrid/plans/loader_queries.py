@@ -114,6 +114,21 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loader.transformed(embedding_pixels(spark, sf_dir)).select("oid", F.round("v", 6).alias("v"))
 
 
+@_registered(query(PIXELS, """
+    nu AS (SELECT vec_id AS imgid, label, row_number() OVER (ORDER BY md5('1|' || vec_id), vec_id) - 1 AS idx, count(*) OVER () AS n FROM embeddings),
+    ca AS (SELECT imgid, label, idx, idx // 6 AS batch, [4, 4, 6, 8][idx % 4 + 1] AS size FROM nu WHERE idx < n // 6 * 6),
+    ce AS (SELECT *, i // 8 AS y, i % 8 AS x, (size + 2) // 2 - 5 AS sh FROM ca, range(64) t(i)),
+    so AS (SELECT *, y + sh >= 0 AND y + sh < size AND x + sh >= 0 AND x + sh < size AS inside,
+        CAST(floor((2 * (y + sh) + 1) * 8 / (2.0 * size)) AS BIGINT) AS sy, CAST(floor((2 * (x + sh) + 1) * 8 / (2.0 * size)) AS BIGINT) AS sx FROM ce)""",
+    select="""SELECT s.batch, s.idx, s.imgid, s.label, s.y, s.x, CASE WHEN s.inside THEN round((p.v - 0.5) / 0.5, 6) ELSE -1 END AS v
+    FROM so s LEFT JOIN px p ON p.imgid = s.imgid AND p.y = s.sy AND p.x = s.sx"""))
+def loaded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split by its options: shuffled, in batches of six, normalised, each place in a size of its own."""
+    options = loader.EngineOptions(img_size=8, train_shuffle=True, train_normalize=True, train_scale=(0.5, 1.0))
+    pixels = embedding_pixels(spark, sf_dir)
+    return loader.load(pixels.select("imgid", "label").distinct(), pixels, options).withColumn("v", F.round("v", 6))
+
+
 @_registered(query(POINTS, edges(), DEGREES, COMPONENTS, recursive=True, select="""
     SELECT imgid, CAST(sum(size) AS BIGINT) AS count_avg, count(*) AS n_ccpts, max(size) AS maxes, round(stddev_pop(size), 6) AS devs
     FROM (SELECT imgid, ccid, count(*) AS size FROM cc GROUP BY 1, 2) GROUP BY 1"""))

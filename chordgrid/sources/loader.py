@@ -229,6 +229,19 @@ def load_pixels(pixels: DataFrame, options: EngineOptions, train: bool = True, s
     return pixels
 
 
+def load(images: DataFrame, pixels: DataFrame, options: EngineOptions, train: bool = True, seed: int = 1) -> DataFrame:
+    """(batch, idx, imgid, label, y, x, v): what one split's options make of ``images`` (imgid, label) and their ``pixels``.
+
+    The images are numbered, cut to the wanted part, replaced by one image, shuffled and batched, then each place's pixels are
+    resized, turned, normalised and scaled. Angles and sizes go by the place, so an image that comes twice comes in two ways.
+    """
+    table = load_images(images.sparkSession, images.select("imgid", "label"), options, train)
+    calls = table.select(F.col("idx").alias("call"), "imgid")
+    placed = pixels.select("imgid", "y", "x", "v").join(calls, "imgid").select(F.col("call").alias("imgid"), "y", "x", "v")
+    done = load_pixels(placed, options, train, seed).withColumnRenamed("imgid", "idx")
+    return done.join(table.select("idx", "batch", "imgid", "label"), "idx").select("batch", "idx", "imgid", "label", "y", "x", "v")
+
+
 def save_checkpoint(weights: DataFrame, folder: str, epoch: int, batch: int) -> str:
     """Weights (name, values) without samplers and edge detectors, under the epoch's and batch's name."""
     path = f"{folder}/epoch_{epoch}_batch_{batch}"

@@ -79,3 +79,18 @@ def test_arrows_to_parents(spark):
     assert all((got[r].pr, got[r].pg, got[r].pb) == (got[p].r, got[p].g, got[p].b) for r, p in ((0, 0), (1, 0), (2, 1)))
     alone = views.string_view(chords).collect()
     assert all(r.to_x is None and r.pr is None and r.ny == 25.0 for r in alone)
+
+
+def test_one_loader(spark, raster):
+    pictures = spark.createDataFrame([(i, i % 2) for i in range(3)], "imgid long, label int")
+    plain = loader.EngineOptions(img_size=6, batch_size=2)
+    got = loader.load(pictures, raster, plain).collect()
+    assert {(r.batch, r.idx, r.imgid, r.label) for r in got} == {(0, 0, 0, 0), (0, 1, 1, 1)} and all(r.v == IMAGES[r.imgid, r.y, r.x] for r in got) and len(got) == 72
+    # the second image again and again, in the sizes that debugging goes through
+    only = loader.EngineOptions(img_size=6, batch_size=1, oneim_dataset=True, train_scale=(0.4, 1.0))
+    many = spark.range(18).select(F.col("id").alias("imgid"), F.lit(3).alias("label"))
+    pixels = many.select("imgid", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("i")).select("imgid", F.expr("i div 6").alias("y"), (F.col("i") % 6).cast("long").alias("x"), F.lit(0.5).alias("v"))
+    shown = loader.load(many, pixels, only)
+    assert {(r.imgid, r.label) for r in shown.select("imgid", "label").distinct().collect()} == {(17, 0)} and shown.count() == 18 * 36
+    lit = {r.idx: r.n for r in shown.where("v = 0.5").groupBy("idx").agg(F.count("*").alias("n")).collect()}
+    assert [lit.get(i, 0) for i in range(4)] == [4, 4, 16, 36] and lit[7] == 36
