@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,44 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components have not settled")
 
 
-def components(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """``points`` with ccid, the least oid of the component; for graphs of any size."""
-    found = roots(edges.select("lf", "rt"))
-    return points.join(found.select(F.col("node").alias("oid"), F.col("root").alias("ccid")), "oid", "left").withColumn("ccid", F.coalesce("ccid", "oid"))
+def _least_members(_key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """(imgid, oid, ccid) of whole images: each point takes the least label that its links lead to, until none changes."""
+    own = own.sort_values("oid", ignore_index=True)
+    oids = own["oid"].to_numpy()
+    a, b = (np.searchsorted(oids, links[c].to_numpy()) for c in ("lf", "rt"))
+    label = np.arange(len(oids))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            return pd.DataFrame({"imgid": own["imgid"], "oid": oids, "ccid": oids[label]})
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def components(points: DataFrame, edges: DataFrame, *, whole: int = 1_000_000, block: int = 100_000) -> DataFrame:
+    """``points`` (imgid, oid, ...) with ccid, the least oid of the component; edges (imgid, lf, rt) stay within an image.
+
+    Images of at most ``whole`` points are labelled in one pass, some of them, about ``block`` points, in a task; larger ones
+    by rounds over their edge table.
+    """
+    sizes = stored(points.groupBy("imgid").count(), "image-sizes")
+    total = sizes.agg(F.sum("count"), F.max("count")).first()
+    if total[0] is None:
+        return points.withColumn("ccid", F.col("oid"))
+    # fresh column ids: both sides may come from one frame
+    own, links = points.select("imgid", "oid"), edges.select(F.col("imgid").alias("image"), "lf", "rt").withColumnRenamed("image", "imgid")
+    large = None
+    if total[1] > whole:
+        names = sizes.where(F.col("count") > whole).select("imgid")
+        large = roots(links.join(names, "imgid", "left_semi").select("lf", "rt")).select(F.col("node").alias("oid"), F.col("root").alias("ccid"))
+        own, links = own.join(names, "imgid", "left_anti"), links.join(names, "imgid", "left_anti")
+    key = F.pmod(F.xxhash64("imgid"), F.lit(-(-total[0] // block))).alias("block")
+    grouped = own.select(key, "imgid", "oid").groupBy("block").cogroup(links.select(key, "lf", "rt").groupBy("block"))
+    found = grouped.applyInPandas(_least_members, "imgid long, oid long, ccid long").select("oid", "ccid")
+    found = found if large is None else found.unionByName(large)
+    return points.join(found, "oid", "left").withColumn("ccid", F.coalesce("ccid", "oid"))
 
 
 def image_components(points: DataFrame, edges: DataFrame) -> DataFrame:

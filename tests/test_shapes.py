@@ -64,3 +64,15 @@ def test_a_point_outside_finds_all_that_are_near_in_a_crowded_cell(spark):
     met = dense_neighbours(points.where("oid % 1000 = 0 OR oid < 20000").unionByName(looker), 0.5, most=1000).where("lf = -1")
     near = [o for o in range(1_000_000) if (o % 1000 == 0 or o < 20000) and (o % 1000 / 2000 - 0.25) ** 2 + 0.45**2 <= 0.25]
     assert met.count() == len(near)
+
+
+def test_large_images_have_the_same_components(spark):
+    rows = [(i % 3, i, float(i * 37 % 101), float(i * 53 % 97)) for i in range(900) if i % 3 < 2 or i < 90]
+    points = spark.createDataFrame(rows, "imgid long, oid long, y double, x double")
+    edges = neighbours(points, 4.0)
+    small = sorted(components(points, edges, block=100).collect())
+    for whole in (100, 1):
+        assert sorted(components(points, edges, whole=whole).collect()) == small
+    label = {r.oid: r.ccid for r in small}
+    assert all(label[r.lf] == label[r.rt] for r in edges.collect()) and all(c <= o for o, c in label.items())
+    assert len(set(label.values())) > 3 and components(points.limit(0), edges).count() == 0
