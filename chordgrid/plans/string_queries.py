@@ -65,7 +65,7 @@ _ENDS = """ends AS (SELECT *, sid || '/0' AS oid, 0 AS side, lf_y AS y, lf_x AS
 def _pairs(radius: float) -> str:
     columns = ("sid", "side", "lf_y", "lf_x", "rt_y", "rt_x", "n_y", "n_x", "dev", "y", "x")
     names = ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in columns)
-    return f"""pairs AS (SELECT a.imgid, {names} FROM ends a JOIN ends b ON a.imgid = b.imgid AND a.oid < b.oid
+    return f"""pairs AS MATERIALIZED (SELECT a.imgid, {names} FROM ends a JOIN ends b ON a.imgid = b.imgid AND a.oid < b.oid
         WHERE (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= {radius * radius!r})"""
 
 
@@ -77,9 +77,9 @@ def _merged(variant: str, coincident: float, far: tuple[str, str] = ("b_side", "
         fa AS (SELECT *, {pick("a", far[0], "y")} AS lf_y, {pick("a", far[0], "x")} AS lf_x, {pick("b", far[1], "y")} AS rt_y, {pick("b", far[1], "x")} AS rt_x,
                    (a_y + b_y) / 2 AS t_y, (a_x + b_x) / 2 AS t_x, (a_n_y + b_n_y) / 2 AS m_y, (a_n_x + b_n_x) / 2 AS m_x FROM pairs),
         le AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, sqrt(m_y ** 2 + m_x ** 2) AS m FROM fa),
-        no AS (SELECT *, (rt_x - lf_x) / length AS c_y, -(rt_y - lf_y) / length AS c_x FROM le WHERE length > {coincident!r}),
+        no AS MATERIALIZED (SELECT *, (rt_x - lf_x) / length AS c_y, -(rt_y - lf_y) / length AS c_x FROM le WHERE length > {coincident!r}),
         ne AS (SELECT *, CASE WHEN m > 0 AND sqrt((m_y / m - c_y) ** 2 + (m_x / m - c_x) ** 2) < sqrt(2) THEN 1 ELSE -1 END AS keep FROM no WHERE m > 0 OR m = 0),
-        mg AS (SELECT imgid, a_sid, a_side, b_sid, b_side, lf_y, lf_x, rt_y, rt_x, {normal[0]} AS n_y, {normal[1]} AS n_x,
+        mg AS MATERIALIZED (SELECT imgid, a_sid, a_side, b_sid, b_side, lf_y, lf_x, rt_y, rt_x, {normal[0]} AS n_y, {normal[1]} AS n_x,
                    ((rt_x - lf_x) * (lf_y - t_y) - (lf_x - t_x) * (rt_y - lf_y)) / length ** {power} AS dev,
                    a_dev / (b_dev + 1e-3) + sqrt((a_lf_y - a_rt_y) ** 2 + (a_lf_x - a_rt_x) ** 2) / (sqrt((b_lf_y - b_rt_y) ** 2 + (b_lf_x - b_rt_x) ** 2) + 1e-3)
                        + sqrt((a_n_y - b_n_y) ** 2 + (a_n_x - b_n_x) ** 2) AS score FROM ne)"""
@@ -126,7 +126,7 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered(query(_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1), """
-    ch AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, -n_x * lf_y + n_y * lf_x <= -n_x * rt_y + n_y * rt_x AS first FROM mg WHERE dev <> 0 AND score > 1),
+    ch AS MATERIALIZED (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, -n_x * lf_y + n_y * lf_x <= -n_x * rt_y + n_y * rt_x AS first FROM mg WHERE dev <> 0 AND score > 1),
     sm AS (SELECT a_sid || a_side || b_sid || b_side AS sid, k, CASE WHEN first THEN lf_y ELSE rt_y END - k / 9.0 * length * n_x + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_y AS y,
                CASE WHEN first THEN lf_x ELSE rt_x END + k / 9.0 * length * n_y + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_x AS x FROM ch, range(10) t(k))""",
     select="SELECT sid, CAST(k AS INTEGER) AS k, round(y, 4) + 0.0 AS y, round(x, 4) + 0.0 AS x FROM sm"))
@@ -277,7 +277,7 @@ def draw_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Curves of the strings that a first round scores, sampled as sm, as in spline_samples.
 _CURVES = (_STRINGS, _ENDS, _pairs(1.0), _merged("sf", 0.1), """
-    ch AS (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, -n_x * lf_y + n_y * lf_x <= -n_x * rt_y + n_y * rt_x AS first FROM mg WHERE dev <> 0 AND score > 1),
+    ch AS MATERIALIZED (SELECT *, sqrt((lf_y - rt_y) ** 2 + (lf_x - rt_x) ** 2) AS length, -n_x * lf_y + n_y * lf_x <= -n_x * rt_y + n_y * rt_x AS first FROM mg WHERE dev <> 0 AND score > 1),
     sm AS (SELECT imgid, a_sid || a_side || b_sid || b_side AS sid, k, CASE WHEN first THEN lf_y ELSE rt_y END - k / 9.0 * length * n_x + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_y AS y,
                CASE WHEN first THEN lf_x ELSE rt_x END + k / 9.0 * length * n_y + 4 * length * dev * (k / 9.0) * (1 - k / 9.0) * n_x AS x FROM ch, range(10) t(k))""")
 

@@ -15,7 +15,7 @@ from chordgrid.plans import registry
 TABLES = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
     con = duckdb.connect()
     for path in glob(f"{TABLES}/*.parquet"):
