@@ -3,8 +3,8 @@
 Pass one scatters records into memory-sized buckets by a seeded hash of their number. Pass two brings each bucket
 together, puts it in record order, shuffles it (Spark's ``shuffle`` is a Fisher-Yates shuffle), and writes it at the
 bucket's place. Buckets are filled by record number, so equal texts or equal ids never gather in one of them. Their number
-follows the bytes alone and each has its own place among as many partitions, so neither the session's number of
-partitions nor a run after a lost executor changes the order.
+follows the bytes alone, and so does the number of partitions that they are brought together in, so neither the session's
+number of partitions nor a run after a lost executor changes the order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 
 from chordgrid.llm.common import RID, numbered
 
+#: Buckets that a task brings together at most, one range of them, once there are over RANGES tasks for them.
+RANGE_BUCKETS, RANGES = 32, 1024
+
 
 def offsets(dealt: DataFrame) -> DataFrame:
     """(bucket, offset): the number of records in the buckets before it, summed in two levels."""
@@ -38,8 +41,10 @@ def shard(df: DataFrame, size: Column, *, shards: int = 16, seed: int = 7, bucke
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
     dealt = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(buckets)))
-    # as many partitions as buckets: a task holds few of them; in bucket order, so that the shuffle draws the same again
-    met = dealt.repartition(buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rid", "size", "row"))).alias("records"))
+    # two levels: ranges of buckets, one for each task, and buckets inside; in bucket order, so that the shuffle draws the same again
+    ranges = min(buckets, max(RANGES, -(-buckets // RANGE_BUCKETS)))
+    dealt = dealt.withColumn("range", F.expr(f"int(bucket * {ranges}L div {buckets}L)"))
+    met = dealt.repartitionById(ranges, "range").groupBy("range", "bucket").agg(F.sort_array(F.collect_list(F.struct("rid", "size", "row"))).alias("records"))
     mixed = met.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("records", seed)).alias("pos", "record"))
     placed = mixed.join(offsets(dealt), "bucket").withColumn("place", F.col("offset") + F.col("pos"))
     least, longer = n // shards, n % shards
