@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -12,8 +14,18 @@ from chordgrid.operators.storage import stored
 #: White space as every contract here means it: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Names that this process makes up, so that none is a name of the caller's columns.
+_TAG = uuid.uuid4().hex
+
+
+def own_name(name: str) -> str:
+    return f"__{name}_{_TAG}"
+
+
 #: The column of row numbers.
-RID = "__rid"
+RID = own_name("rid")
+#: Files up to which their numbers, one short row each, are broadcast; more are joined.
+BROADCAST_FILES = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +42,7 @@ def is_table(df: DataFrame) -> bool:
     if plan.nodeName() != "LogicalRelation":
         return False
     try:
-        df.select("_metadata.file_path", "_metadata.row_index")
+        df.select(df.metadataColumn("_metadata").file_path, df.metadataColumn("_metadata").row_index)
     except AnalysisException:
         return False
     files = list(plan.relation().location().inputFiles())
@@ -41,17 +53,21 @@ def numbered(df: DataFrame) -> DataFrame:
     """``df`` with the column RID: the number of each row's file in order of paths, and the row's place in that file.
 
     However later scans cut the files into partitions, each row keeps its number, so scans can be joined by it. What is
-    not a plain table is stored first. One row for each file is broadcast.
+    not a plain table is stored first. One row for each file is broadcast, or joined where there are over BROADCAST_FILES.
+    Columns of any name may be there, ``_metadata`` too; none of the caller's is taken for a number.
     """
     if RID in df.columns:
         return df
     if not is_table(df):
         df = stored(df, "numbered")
-    path = F.col("_metadata.file_path").alias("__file")
-    number = (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__number")
-    files = stored(df.select(path).distinct().select("__file", number), "files")
-    own = df.select("*", path, F.col("_metadata.row_index").alias("__row")).join(F.broadcast(files), "__file")
-    return own.withColumn(RID, F.shiftleft("__number", 40) + F.col("__row")).drop("__file", "__number", "__row")
+    file, number, place = own_name("file"), own_name("number"), own_name("place")
+    path = df.metadataColumn("_metadata").file_path.alias(file)
+    order = (F.row_number().over(Window.orderBy(file)) - 1).cast("long").alias(number)
+    files = stored(df.select(path).distinct().select(file, order), "files")
+    if len(df.inputFiles()) <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    own = df.select("*", path, df.metadataColumn("_metadata").row_index.alias(place)).join(files, file)
+    return own.withColumn(RID, F.shiftleft(number, 40) + F.col(place)).drop(file, number, place)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chordgrid.llm.common import BLANKS, RID, is_table, numbered, shuffle_partitions, stored
+from chordgrid.llm.common import BLANKS, RID, is_table, numbered, own_name, shuffle_partitions, stored
 
 #: Rows of a part in which a source's line, and the schedule, are summed; there are at least PARTS parts.
 PART_ROWS, PARTS = 50_000, 1024
@@ -144,17 +144,18 @@ def mixed_rows(df: DataFrame, documents: DataFrame, taken: DataFrame, text: str
     if RID not in df.columns and not is_table(df):
         raise ValueError("rows that are not a table must be numbered before they are mixed")
     pieces = taken.join(documents.select("rid", "size"), "rid")
-    pieces = pieces.select(F.col("rid").alias(RID), F.col("slot").alias("__slot"), F.col("from").alias("__from"), F.col("to").alias("__to"), F.col("size").alias("__size"))
+    slot, first, end, size, piece = (own_name(name) for name in ("slot", "from", "to", "size", "piece"))
+    pieces = pieces.select(F.col("rid").alias(RID), F.col("slot").alias(slot), F.col("from").alias(first), F.col("to").alias(end), F.col("size").alias(size))
     met = numbered(df).join(pieces, RID)
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    part = F.array_join(F.slice(words, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int")), " ")
-    whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
-    met = met.withColumn("__piece", F.when(whole, F.col(text)).otherwise(part))
+    words = F.filter(F.split(f"`{text}`", BLANKS), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col(first) + 1).cast("int"), (F.col(end) - F.col(first)).cast("int")), " ")
+    whole = (F.col(first) == 0) & (F.col(end) == F.col(size))
+    met = met.withColumn(piece, F.when(whole, F.col(f"`{text}`")).otherwise(part))
     columns = {name: F.col(f"`{name}`") for name in df.columns if name != RID}
-    columns[text] = F.col("__piece")
+    columns[text] = F.col(piece)
     if n_chars in columns:
-        columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length("__piece").cast("long"))
+        columns[n_chars] = F.when(whole, columns[n_chars]).otherwise(F.length(piece).cast("long"))
     parts, last = shuffle_partitions(df.sparkSession), taken.agg(F.max("slot")).first()[0] or 0
-    ordered = met.select(*[column.alias(name) for name, column in columns.items()], "__slot")
-    part = F.floor(F.col("__slot") * parts / (last + 1)).cast("int")
-    return ordered.repartitionById(parts, part).sortWithinPartitions("__slot").drop("__slot")
+    ordered = met.select(*[column.alias(name) for name, column in columns.items()], slot)
+    part = F.floor(F.col(slot) * parts / (last + 1)).cast("int")
+    return ordered.repartitionById(parts, part).sortWithinPartitions(slot).drop(slot)

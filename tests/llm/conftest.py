@@ -22,6 +22,20 @@ def docs(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+CLASHES = ["__rid", "__file", "__number", "__row", "__place", "__slot", "__from", "__to", "__size", "__piece", "rid", "id", "norm", "h", "pass", "slot", "_metadata"]
+
+
+@pytest.fixture(scope="session")
+def corpus(spark, docs, tmp_path_factory):
+    """A folder with documents as in ``docs``, more columns named like inner ones, and labels."""
+    folder = tmp_path_factory.mktemp("corpus")
+    rows = docs.selectExpr("*", "'en' AS lang", "length(text) AS n_chars", *[f"1 AS `{name}`" for name in CLASHES])
+    rows.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    labels = spark.range(1, 16).selectExpr("id AS doc_id", "1 AS quality", "int(id = 8) AS toxic")
+    labels.write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.limit(0)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chordgrid.llm.common import stored
+from chordgrid.llm import exact_dedup, mixing, ngram_join, queries, repeated_spans, sharding
+from chordgrid.llm.common import RID, WORD, numbered, stored, text_of
+from chordgrid.llm.tokenizing import encoder, tokenizer_path
+from tests.llm.conftest import CLASHES
 
 
 def test_stages(spark):
@@ -48,3 +55,84 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.drop_near_copies(spark, table, "")
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+
+
+def kept_plainly(rows):
+    """The rows that stay of (doc_id, text): first of equal texts, then first of each group of near copies."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    firsts, seen = [], set()
+    for key, text in order:
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+        if norm not in seen:
+            seen.add(norm)
+            firsts.append((key, text))
+    words = [re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in firsts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(firsts)))
+    for i in range(len(firsts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return [firsts[i] for i in sorted(set(group))]
+
+
+def test_run_over_edge_rows_is_what_plain_stages_give(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    stayed = [(r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, docs, corpus).collect()]
+    kept = kept_plainly(stayed)
+    size = {key: len(re.findall(WORD, text or "")) for key, text in kept}
+    pieces = corpus_pipeline.run(spark, corpus).collect()
+    assert {r.doc_id for r in pieces} <= {key for key, n in size.items() if n}
+    windows = defaultdict(list)
+    for r in pieces:
+        windows[r.sequence_id].append((r.offset, r.length))
+    for window in windows.values():
+        window.sort()
+        assert [at for at, _ in window] == [sum(n for _, n in window[:i]) for i in range(len(window))] and sum(n for _, n in window) <= 2048
+    ids, taken = defaultdict(int), spark.read.parquet(f"{corpus}/documents.parquet")
+    for r in pieces:
+        ids[r.doc_id] += r.length
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        taken = stored(stage(spark, taken, corpus), "plain")
+        assert taken.columns == docs.columns and all(r[name] == 1 for r in taken.select(*[f"`{c}`" for c in CLASHES]).collect() for name in CLASHES)
+        if stage is corpus_pipeline.drop_near_copies:
+            assert sorted(map(str, taken.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={k!r}, text={t!r})" for k, t in kept)
+    encode, want, words = encoder(tokenizer_path()), defaultdict(int), defaultdict(int)
+    for r in taken.collect():
+        want[r.doc_id] += len(encode.encode((r.text or "").encode())) // 4 + 1
+        words[r.doc_id] += len(re.findall(WORD, r.text))
+    assert ids == want and all(words[key] <= 2 * size[key] for key in words)
+
+
+def test_run_over_no_rows(spark, corpus, tmp_path):
+    for name, n in (("documents", 0), ("labels", 20)):
+        spark.read.parquet(f"{corpus}/{name}.parquet").limit(n).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_inner_ones_are_the_callers(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    rows = docs.count()
+    own = numbered(docs)
+    assert own.select(RID).distinct().count() == rows and numbered(own) is own
+    assert all(own.columns.count(name) == 1 for name in CLASHES) and own.where("`__rid` = 1 AND `_metadata` = 1").count() == rows
+    assert sharding.shard(docs, F.octet_length(text_of("text")), bucket_bytes=5000).where("row.`__rid` = 1").count() == rows
+    assert exact_dedup.mark_copies(docs).where("row.`__rid` = 1").count() == rows
+    assert repeated_spans.remove_repeats(docs).count() == ngram_join.near_duplicates(docs).count() == rows
+    mixed = mixing.mixed_rows(docs, *mixing.mix(docs, size=F.regexp_count(text_of("text"), F.lit(WORD)), carry=docs.columns))
+    assert mixed.columns == docs.columns and mixed.where("`__rid` <> 1 OR `__slot` <> 1 OR `__size` <> 1").count() == 0
+    for name in ("op3_packing", "op4_ngram_join", "op5_sharding", "op6_repeated_spans", "op7_exact_dedup", "op8_token_counts", "op9_mixing"):
+        assert queries.QUERIES[name](spark, corpus).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_several_buckets_in_a_task(spark, docs, monkeypatch):
+    """Several buckets in a task hold the same rows, none lost, and a rerun gives the same order."""
+    monkeypatch.setattr(sharding, "RANGES", 2)
+    monkeypatch.setattr(sharding, "RANGE_BUCKETS", 4)
+    size = F.octet_length(text_of("text"))
+    made = sharding.shard(docs, size, bucket_bytes=3000).select("row.doc_id", "row.text", "shard", "slot")
+    once, again = made.collect(), made.collect()
+    assert sorted(map(str, once)) == sorted(map(str, again)) and len(once) == docs.count()
+    assert sorted(map(str, made.select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
+    assert max(r.shard for r in once) == 15 and {r.slot for r in once} == {0, 1}
