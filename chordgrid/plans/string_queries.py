@@ -200,7 +200,16 @@ def merge_forest_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("imgid", "sid", F.size("ancestors").alias("n_ancestors"))
 
 
-@_registered()
+def _round_sql(before: str, radius: float) -> str:
+    """The strings that one round of merging keeps of those in ``before``."""
+    columns = "lf_y, lf_x, rt_y, rt_x, n_y, n_x, dev"
+    steps = query(f"st AS (SELECT * FROM {before})", _ENDS, _pairs(radius), _merged("sf", 0.1), select=f"""
+        SELECT imgid, md5(concat_ws('|', a_sid, a_side, b_sid, b_side)) AS sid, {columns} FROM mg WHERE score > 1 AND NOT isnan(score)""")
+    return f"AS MATERIALIZED ({steps})"
+
+
+@_registered(query(_STRINGS, f"s1 {_round_sql('st', 1.0)}", f"s2 {_round_sql('s1', 2.0)}", select=f"""
+    SELECT imgid, sid, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in strings.STRING)} FROM s2"""))
 def merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rounds of merging."""
     return _rounded(strings.merge_rounds(string_table(spark, sf_dir)))
