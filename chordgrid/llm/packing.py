@@ -1,4 +1,4 @@
-"""Packing by multiway differencing (Karmarkar and Karp): near-equal windows, more of them when one overflows, cuts last."""
+"""Packing by multiway differencing (Karmarkar and Karp): near-equal windows, more of them while one overflows, cuts last."""
 
 from __future__ import annotations
 
@@ -64,18 +64,22 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def fitted(sizes: list[int], capacity: int, padding: float = 0.01) -> list[list[tuple[int, int, int]]]:
+def fitted(sizes: list[int], capacity: int, loose: set[int] = frozenset(), padding: float = 0.1) -> list[list[tuple[int, int, int]]]:
     """Windows of (position, start, length) with sums of at most ``capacity``; sizes are at most that.
 
-    Whole pieces are differenced into the least number of windows. If one overflows, the number rises as far as
-    ``padding`` allows; what overflows then is cut off and fills the gaps of other windows.
+    Pieces are differenced whole into the least number of windows, and as long as one overflows, into a fiftieth more.
+    Positions in ``loose`` may be cut: they fill the gaps that this leaves, then windows of their own. Where sizes can't go
+    together (all a little over half a window), the number stops ``padding`` over the least, and what overflows is cut off too.
     """
-    least = max(1, -(-sum(sizes) // capacity))
-    for k in dict.fromkeys((least, math.ceil(least * (1 + padding)))):
-        groups = differencing(sizes, k) if sizes else []
-        if all(sum(sizes[i] for i in g) <= capacity for g in groups):
-            return [[(i, 0, sizes[i]) for i in g] for g in groups if g]
-    out, over = [], []
+    whole = [i for i in range(len(sizes)) if i not in loose]
+    k = max(1, -(-sum(sizes[i] for i in whole) // capacity))
+    most = k + math.ceil(k * padding)
+    while True:
+        groups = [[whole[j] for j in g] for g in differencing([sizes[i] for i in whole], k)]
+        if k == most or all(sum(sizes[i] for i in g) <= capacity for g in groups):
+            break
+        k = min(most, k + max(1, k // 50))
+    out, over = [], [(i, 0, sizes[i]) for i in sorted(loose)]
     for g in groups:
         window, room = [], capacity
         for i in sorted(g, key=lambda i: sizes[i]):  # the largest is the one that is cut
@@ -88,6 +92,7 @@ def fitted(sizes: list[int], capacity: int, padding: float = 0.01) -> list[list[
         out.append((room, window))
     out.sort(key=lambda w: -w[0])
     over.sort(key=lambda piece: piece[2])
+    out += [(capacity, []) for _ in range(-(-sum(length for _, _, length in over) // capacity))]
     for room, window in out:
         while room and over:
             i, start, length = over.pop()
@@ -105,8 +110,8 @@ def pack(
     """One row for each piece of each row's ids (with ``end_id`` appended): where it starts and where it lies.
 
     Every input partition packs its own rows, so nothing is shuffled: each full piece of ``capacity`` ids is a
-    sequence, and the rests of rows, ``block_pieces`` at a time, are differenced whole into near-equal windows; only what
-    overflows a window is cut (``fitted``). sequence_id is the partition's number times 2**40 plus a count. A null or empty
+    sequence, and rows that fit one, ``block_pieces`` at a time, are differenced whole into near-equal windows, whose number
+    rises while one overflows; rests of longer rows fill the gaps (``fitted``). sequence_id is the partition's number times 2**40 plus a count. A null or empty
     text is the lone end id; a very long text is encoded whole, segment by segment; repeated rows are documents of their
     own; a null doc_id stays null; other columns are not read; an empty table gives an empty result. Ties in size keep
     input order, so a rerun over the same partitions gives the same rows.
@@ -124,7 +129,8 @@ def pack(
 
         def close() -> None:
             nonlocal next_id
-            for window in fitted([len(ids) // 4 for _, _, ids, _ in rest], capacity):
+            loose = {i for i, (_, start, _, _) in enumerate(rest) if start}
+            for window in fitted([len(ids) // 4 for _, _, ids, _ in rest], capacity, loose):
                 offset = 0
                 for i, at, length in window:
                     key, start, ids, n = rest[i]
