@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from chordgrid.llm.common import BLANKS, RID, numbered, shuffle_partitions, stored, text_of
 
 
+#: Bits up to which the directory, one short row for each cell, is broadcast; a larger one is joined.
+BROADCAST_BITS = 19
+
+
 def normalised(text: str) -> Column:
     return F.regexp_replace(text_of(text), BLANKS, " ")
 
@@ -24,10 +28,8 @@ def directory(records: DataFrame, n_rows: int, bucket_rows: int) -> tuple[DataFr
     """(cell, bucket, depth, pages) for each cell of the leading bits of ``h``, and the number of bits.
 
     Depths 0 to the full depth are the successive doublings; a cell belongs to the first whose bucket holds at most
-    ``bucket_rows`` records. Buckets are at least so large that there are at most 2**19 cells, which bounds what is
-    broadcast; a bucket that is overfull at the full depth has several pages.
+    ``bucket_rows`` records, however many rows there are; a bucket that is overfull at the full depth has several pages.
     """
-    bucket_rows = max(bucket_rows, n_rows >> 15)
     bits = max(1, (n_rows // bucket_rows).bit_length() + 3)
     cells = records.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("cell")).agg(F.count("*").alias("n"))
     tries = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
@@ -42,7 +44,9 @@ def index(texts: DataFrame, records: DataFrame, bucket_rows: int) -> DataFrame:
     """The stored index: one entry (bucket, depth, h, sha, keep_id, group_size) for each distinct text, made by its owner."""
     cells, bits = directory(records, records.count(), bucket_rows)
     cells = stored(cells, "hash-directory")
-    keyed = texts.select("rid", F.shiftrightunsigned("h", 64 - bits).alias("cell"), "h", "norm", "id").join(F.broadcast(cells), "cell")
+    if bits <= BROADCAST_BITS:
+        cells = F.broadcast(cells)
+    keyed = texts.select("rid", F.shiftrightunsigned("h", 64 - bits).alias("cell"), "h", "norm", "id").join(cells, "cell")
     keyed = keyed.withColumn("page", F.pmod(F.xxhash64("rid"), "pages"))
     owned = keyed.repartition(shuffle_partitions(records.sparkSession), "bucket", "page")
     chains = owned.groupBy("bucket", "page", "depth", "pages", "h", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))

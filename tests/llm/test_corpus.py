@@ -22,7 +22,7 @@ def key(r):
     return (r.doc_id is None, r.doc_id or 0)
 
 
-def test_exact_dedup(spark, docs, empty):
+def test_exact_dedup(spark, docs, empty, monkeypatch):
     got = exact_dedup.mark_copies(docs, bucket_rows=4).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     groups = defaultdict(list)
     for r in docs.collect():
@@ -36,6 +36,9 @@ def test_exact_dedup(spark, docs, empty):
     assert sorted(map(key, exact_dedup.drop_copies(docs).collect())) == sorted(key(r) for r in got if r.kept)
     paged = exact_dedup.mark_copies(docs, bucket_rows=1).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(str, paged)) == sorted(map(str, got))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BITS", 0)
+    joined = exact_dedup.mark_copies(docs, bucket_rows=1).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(str, joined)) == sorted(map(str, got))
     assert exact_dedup.drop_copies(docs).columns == docs.columns and exact_dedup.drop_copies(empty).count() == 0
 
 
