@@ -28,6 +28,7 @@ from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text
 from chordgrid.llm.count_tree import FAN, STEP, CountTree, enough, overlaps
 from chordgrid.llm.shingles import WordHashes, mixed
 from chordgrid.operators.components import roots as least_members
+from chordgrid.operators.storage import discarded, shuffles_dropped, stored_at
 
 #: Sets at one place that one task searches; a larger place is dealt into blocks.
 PLACE = 4096
@@ -324,12 +325,16 @@ def candidates(members: DataFrame, failed: DataFrame, nodes: DataFrame, similari
     """(place, a, b): what the trees of places give; at most ``most`` partners for each set at a place.
 
     A place of more than PLACE sets is dealt into blocks; each is searched by itself, or with ``whole_places`` each pair of
-    them. With ``whole_places`` a pair is given only at the first of the places it shares.
+    them. With ``whole_places`` a pair is given only at the first of the places of ``members`` that it shares.
     """
+    own = ["n_shingles", "point"]
+    if whole_places:  # each set's places, and at each of them those of smaller names
+        own.append("places")
+        members = members.join(members.groupBy("node").agg(F.collect_list("place").alias("places")), "node")
+        members = members.withColumn("places", F.filter("places", lambda other: other < F.col("place")))
     members = members.withColumn("blocks", F.ceil(F.col("n") / PLACE).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    own = ["n_shingles", "point", *(["places"] if whole_places else [])]
-    members = members.join(nodes.select("node", *own), "node")
+    members = members.join(nodes.select("node", "n_shingles", "point"), "node")
     members = members.join(failed.groupBy("node").agg(F.collect_list("other").alias("failed")), "node", "left")
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1) if whole_places else F.array("block")))
     members = members.select(
@@ -380,12 +385,21 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, text: str, width: int) -> Dat
     return stored(texts.join(chosen, "rid").select("node", "text").mapInArrow(run, "node long, shingles binary"), "ngram-sets")
 
 
-def joined(df: DataFrame, rows: DataFrame, text: str, width: int, similarity: int) -> DataFrame:
+def indexed(df: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (rid, doc_id, n_shingles, node), what ``meetings`` gives, and the sets that meet (node, rid, n_shingles, point); stored, and without the signatures."""
+    wide, path = stored_at(shingled(df, doc_id, text, width, similarity), "ngram-shingled")
+    wide = told_apart(wide)
+    met = stored(meetings(wide), "ngram-meetings")
+    nodes = wide.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
+    nodes = stored(nodes.join(met.select("node"), "node", "left_semi"), "ngram-nodes")
+    rows = stored(wide.select("rid", "doc_id", "n_shingles", "node"), "ngram-rows")
+    discarded(df.sparkSession, path)
+    return rows, met, nodes
+
+
+def joined(df: DataFrame, met: DataFrame, nodes: DataFrame, text: str, width: int, similarity: int) -> DataFrame:
     """(node, root) of the nodes that links join to a smaller one."""
     spark = df.sparkSession
-    met = stored(meetings(rows), "ngram-meetings")
-    nodes = rows.where("point is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point"))
-    nodes = stored(nodes.join(met.groupBy("node").agg(F.collect_list("place").alias("places")), "node"), "ngram-nodes")
     sets, tried = spark.createDataFrame([], "node long, shingles binary"), spark.createDataFrame([], "a long, b long, linked boolean")
     met, roots, whole_places, most = still_apart(met, None), spark.createDataFrame([], "node long, root long"), False, 1
     for search in itertools.count(1):
@@ -423,8 +437,9 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     not read; an empty table gives an empty result. Sets are identified by a 128-bit hash of all their shingles.
     """
     df = numbered(df)
-    rows = told_apart(stored(shingled(df, doc_id, text, width, similarity), "ngram-rows"))
-    roots = joined(df, rows, text, width, similarity)
+    with shuffles_dropped(df.sparkSession):
+        rows, met, nodes = indexed(df, doc_id, text, width, similarity)
+        roots = joined(df, met, nodes, text, width, similarity)
     own = rows.select("rid", "doc_id", "n_shingles", "node").join(roots, "node", "left")
     own = own.withColumn("root", F.coalesce("root", "node"))
     least = own.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))

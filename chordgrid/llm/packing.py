@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chordgrid.llm.common import text_of
-from chordgrid.llm.tokenizing import encoder
+from chordgrid.llm.tokenizing import WordEncoder, task_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -118,7 +118,10 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer)
+        with task_encoder(tokenizer) as ids_of:
+            yield from packed(batches, ids_of)
+
+    def packed(batches: Iterator[pa.RecordBatch], ids_of: WordEncoder) -> Iterator[pa.RecordBatch]:
         tail = np.uint32(end_id).tobytes()
         next_id = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []  # finished pieces

@@ -12,6 +12,7 @@ import re
 import string
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: The end of letters (ASCII, or a Han character) before white space or a mark that no special string has.
@@ -143,6 +144,16 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+@contextmanager
+def task_encoder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for the length of a task. Its words go with the task, as Spark keeps idle workers and their memory."""
+    found = encoder(path)
+    try:
+        yield found
+    finally:
+        found.ids.clear()
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

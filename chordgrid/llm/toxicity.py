@@ -46,6 +46,7 @@ class Settings:
     least_ratio: float = 6.0  # of its rates in toxic and other rows
     rounds: int = 6
     words_kept: int = 300_000  # word table of a worker
+    names_kept: int = 200_000  # features that mining counts in a task before it hands its counts on
 
 
 def present(count: int, words: int, level: int) -> bool:
@@ -132,6 +133,17 @@ def mine(sample: DataFrame, settings: Settings) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: tuple[Counter, Counter] = Counter(), Counter()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(rows[0] | rows[1])
+            for start in range(0, len(names), 50_000):
+                part = names[start : start + 50_000]
+                columns = [[n for n, _ in part], [k for _, k in part], [rows[1][n] for n in part], [rows[0][n] for n in part]]
+                kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["feature", "level", "toxic_rows", "other_rows"])
+            for kind in rows:
+                kind.clear()
+
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found: Counter = Counter()
@@ -144,12 +156,9 @@ def mine(sample: DataFrame, settings: Settings) -> Model:
                             found[name] += n
                 for level in range(len(LEVELS)):
                     rows[toxic == 1].update((name, level) for name, n in found.items() if present(n, n_words, level))
-        names = list(rows[0] | rows[1])
-        for start in range(0, len(names), 50_000):
-            part = names[start : start + 50_000]
-            columns = [[n for n, _ in part], [k for _, k in part], [rows[1][n] for n in part], [rows[0][n] for n in part]]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["feature", "level", "toxic_rows", "other_rows"])
+                if len(rows[0]) + len(rows[1]) > settings.names_kept:
+                    yield from counted()
+        yield from counted()
 
     total = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
     counted = sample.select("toxic", "text").mapInArrow(count, "feature string, level int, toxic_rows long, other_rows long")

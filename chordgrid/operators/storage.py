@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,21 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return stored_at(df, name, by)[0]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, for those whose results are stored and read from there."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def discarded(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ``stored_at`` that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
