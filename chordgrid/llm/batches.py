@@ -1,8 +1,9 @@
-"""Streams of sorted Arrow batches, cut where their keys change."""
+"""Streams of Arrow batches: sorted ones cut where their keys change, and tasks that leave no memory behind."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -34,3 +35,17 @@ def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int, m
             waiting, n = [], 0
     if waiting:
         yield pa.Table.from_batches(waiting).combine_chunks(), True
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; what a task has freed goes back to the machine, as Spark keeps its worker, and an executor's memory holds both."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()  # what numpy and Python have freed, too
+
+    return task

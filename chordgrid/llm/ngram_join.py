@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chordgrid.llm.batches import whole
+from chordgrid.llm.batches import lean, whole
 from chordgrid.llm.common import RID, numbered, shuffle_partitions, stored, text_of
 from chordgrid.llm.count_tree import FAN, STEP, CountTree, enough, overlaps
 from chordgrid.llm.shingles import WordHashes, mixed
@@ -104,6 +104,7 @@ ROWS = "rid long, doc_id long, n_shingles long, node long, check long, point bin
 def shingled(df: DataFrame, doc_id: str, text: str, width: int, similarity: int) -> DataFrame:
     """Each row's set: its size, two hashes of the whole set (null for none), and, once a task, point and signatures."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         names = [field.split()[0] for field in ROWS.split(", ")]
@@ -141,6 +142,7 @@ def told_apart(rows: DataFrame) -> DataFrame:
 def meetings(rows: DataFrame) -> DataFrame:
     """(place, node): where at least two different sets share a signature. Places with the same sets have the same name."""
 
+    @lean
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         goes_on = None
         for table, ended in whole(batches, ("signature",), ROWS_AT_A_TIME, NAMED_ROWS):
@@ -341,6 +343,7 @@ def candidates(members: DataFrame, failed: DataFrame, nodes: DataFrame, similari
         "place", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "node", "root", *own, "failed"
     )
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in whole(batches, ("place", "x", "y"), ROWS_AT_A_TIME):
             found = best_partners(table.combine_chunks(), similarity, most)
@@ -353,6 +356,7 @@ def candidates(members: DataFrame, failed: DataFrame, nodes: DataFrame, similari
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b, linked) of each pair: whether its sets are linked."""
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -370,6 +374,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def shingle_sets(df: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame | None:
     """(node, shingles) of ``wanted`` (node, rid), read again from one text of each; None if none are wanted."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:

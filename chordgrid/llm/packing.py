@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chordgrid.llm.batches import lean
 from chordgrid.llm.common import text_of
 from chordgrid.llm.tokenizing import WordEncoder, task_encoder
 
@@ -117,6 +118,7 @@ def pack(
     input order, so a rerun over the same partitions gives the same rows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_encoder(tokenizer) as ids_of:
             yield from packed(batches, ids_of)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chordgrid.llm.batches import lean
 from chordgrid.llm.common import RID, numbered, stored, text_of
 from chordgrid.llm.tokenizing import segments
 
@@ -131,6 +132,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataF
 def mine(sample: DataFrame, settings: Settings) -> Model:
     """The features whose rate in toxic rows is much above that in others, by their weight of evidence."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: tuple[Counter, Counter] = Counter(), Counter()
 
@@ -193,6 +195,7 @@ def hits(documents: DataFrame, model: Model, settings: Settings) -> DataFrame:
     """Each document's features with counts, and the set of its voters as bits."""
     names, levels, n_voters, kept = model.features, model.levels, model.n_voters, settings.words_kept
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(names, kept)
         for batch in batches:
@@ -341,6 +344,7 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     """
     model, found = fit(documents, labels, settings)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = _scores(model, batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
@@ -359,6 +363,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, settings: Settings = Set
     own = numbered(documents)
     model, found = fit(own, labels, settings)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = _scores(model, *(batch.column(i).to_pylist() for i in (1, 2, 3)))

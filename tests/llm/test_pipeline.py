@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chordgrid.llm import exact_dedup, mixing, ngram_join, packing, queries, repeated_spans, sharding, tokenizing, toxicity
+from chordgrid.llm.batches import lean
 from chordgrid.llm.common import RID, WORD, numbered, stored, text_of
 from chordgrid.llm.tokenizing import encoder, tokenizer_path
 from chordgrid.operators.storage import shared_dir, shuffles_dropped
+from chordgrid.operators.storage import shared_dir, shuffles_dropped
+from chordgrid.operators.storage import shared_dir, shuffles_dropped
 from tests.llm.conftest import CLASHES
 
 
@@ -196,3 +199,126 @@ def test_whole_places_carry_only_the_places_a_pair_may_have_met_at(spark, monkey
     assert sorted(map(tuple, found)) == [(2, 1, 2), (2, 1, 3), (2, 2, 3)]
     noted_rows = [row for f in Path(seen).iterdir() for row in eval(f.read_text())]
     assert sorted((p, sorted(q)) for p, q in noted_rows) == [(2, [])] * 3 + [(5, [2])] * 3 + [(9, [2, 5])] * 3
+
+
+def test_a_lean_task_gives_back_what_it_freed():
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+
+    def run(batches):
+        blocks = [np.ones(4000, np.uint8) for _ in range(50_000)]  # small ones that the allocator keeps
+        last.append(blocks.pop())
+        yield from batches
+
+    last: list[np.ndarray] = []
+    batch = pa.RecordBatch.from_pydict({"n": [1, 2]})
+    before = held()
+    assert list(lean(run)(iter([batch]))) == [batch] and held() - before < 60
+
+
+def test_idle_workers_hold_no_words_of_packing(spark, docs):
+    """Spark keeps Python workers for later stages, which share an executor's memory with what they hold."""
+    packing.pack(docs, tokenizer_path()).collect()
+
+    def held(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [sum(len(e.ids) for e in tokenizing._ENCODERS.values())] * len(b)}) for b in batches)
+
+    assert {r.n for r in spark.range(0, 400, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_mining_in_parts_finds_the_same_features(spark):
+    rows = [(i, int(i % 5 == 0), f"own{i} words {'vile wretch' if i % 5 == 0 else 'good friend'} and text{i % 7}".encode()) for i in range(200)]
+    sample = spark.createDataFrame(rows, "doc_id long, toxic int, text binary").repartition(2)
+    whole = toxicity.mine(sample, toxicity.Settings())
+    parts = toxicity.mine(sample, replace(toxicity.Settings(), names_kept=20))
+    assert whole.features and (whole.features, whole.levels, whole.ratios) == (parts.features, parts.levels, parts.ratios)
+
+
+def test_near_copies_leave_no_signatures_and_no_shuffles_behind(spark, docs):
+    def left():
+        return {p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet") if "signatures" in pq.read_schema(p).names}
+
+    def shuffled():
+        return set(Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data"))
+
+    stored_before, shuffled_before, setting = left(), shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    ngram_join.near_duplicates(docs)
+    assert left() <= stored_before and not shuffled() - shuffled_before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    with shuffles_dropped(spark):
+        assert docs.groupBy("doc_id").count().count() == 16
+
+
+def test_whole_places_carry_only_the_places_a_pair_may_have_met_at(spark, monkeypatch):
+    """Sets bring to a place the smaller names among those still apart, and each pair is found once."""
+    seen = tempfile.mkdtemp(prefix="places-")
+    best = ngram_join.best_partners
+
+    def noted(table, similarity, most):
+        with open(f"{seen}/{table.column('place')[0].as_py()}", "w") as out:
+            out.write(repr([(p.as_py(), q.as_py()) for p, q in zip(table.column("place"), table.column("places"))]))
+        return best(table, similarity, most)
+
+    monkeypatch.setattr(ngram_join, "best_partners", noted)
+    point = ngram_join.point(np.arange(40, dtype=np.uint64))
+    members = spark.createDataFrame([(p, n, n, 3) for p in (5, 2, 9) for n in (1, 2, 3)], "place long, node long, root long, n long")
+    nodes = spark.createDataFrame([(n, n, 40, bytearray(point.tobytes())) for n in (1, 2, 3)], "node long, rid long, n_shingles long, point binary")
+    failed = spark.createDataFrame([], "node long, other long")
+    found = ngram_join.candidates(members, failed, nodes, 90, 8, True).collect()
+    assert sorted(map(tuple, found)) == [(2, 1, 2), (2, 1, 3), (2, 2, 3)]
+    noted_rows = [row for f in Path(seen).iterdir() for row in eval(f.read_text())]
+    assert sorted((p, sorted(q)) for p, q in noted_rows) == [(2, [])] * 3 + [(5, [2])] * 3 + [(9, [2, 5])] * 3
+
+
+def test_idle_workers_hold_no_words_of_packing(spark, docs):
+    """Spark keeps Python workers for later stages, which share an executor's memory with what they hold."""
+    packing.pack(docs, tokenizer_path()).collect()
+
+    def held(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [sum(len(e.ids) for e in tokenizing._ENCODERS.values())] * len(b)}) for b in batches)
+
+    assert {r.n for r in spark.range(0, 400, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_mining_in_parts_finds_the_same_features(spark):
+    rows = [(i, int(i % 5 == 0), f"own{i} words {'vile wretch' if i % 5 == 0 else 'good friend'} and text{i % 7}".encode()) for i in range(200)]
+    sample = spark.createDataFrame(rows, "doc_id long, toxic int, text binary").repartition(2)
+    whole = toxicity.mine(sample, toxicity.Settings())
+    parts = toxicity.mine(sample, replace(toxicity.Settings(), names_kept=20))
+    assert whole.features and (whole.features, whole.levels, whole.ratios) == (parts.features, parts.levels, parts.ratios)
+
+
+def test_near_copies_leave_no_signatures_and_no_shuffles_behind(spark, docs):
+    def left():
+        return {p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet") if "signatures" in pq.read_schema(p).names}
+
+    def shuffled():
+        return set(Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data"))
+
+    stored_before, shuffled_before, setting = left(), shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    ngram_join.near_duplicates(docs)
+    assert left() <= stored_before and not shuffled() - shuffled_before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    with shuffles_dropped(spark):
+        assert docs.groupBy("doc_id").count().count() == 16
+
+
+def test_whole_places_carry_only_the_places_a_pair_may_have_met_at(spark, monkeypatch):
+    """Sets bring to a place the smaller names among those still apart, and each pair is found once."""
+    seen = tempfile.mkdtemp(prefix="places-")
+    best = ngram_join.best_partners
+
+    def noted(table, similarity, most):
+        with open(f"{seen}/{table.column('place')[0].as_py()}", "w") as out:
+            out.write(repr([(p.as_py(), q.as_py()) for p, q in zip(table.column("place"), table.column("places"))]))
+        return best(table, similarity, most)
+
+    monkeypatch.setattr(ngram_join, "best_partners", noted)
+    point = ngram_join.point(np.arange(40, dtype=np.uint64))
+    members = spark.createDataFrame([(p, n, n, 3) for p in (5, 2, 9) for n in (1, 2, 3)], "place long, node long, root long, n long")
+    nodes = spark.createDataFrame([(n, n, 40, bytearray(point.tobytes())) for n in (1, 2, 3)], "node long, rid long, n_shingles long, point binary")
+    failed = spark.createDataFrame([], "node long, other long")
+    found = ngram_join.candidates(members, failed, nodes, 90, 8, True).collect()
+    assert sorted(map(tuple, found)) == [(2, 1, 2), (2, 1, 3), (2, 2, 3)]
+    noted_rows = [row for f in Path(seen).iterdir() for row in eval(f.read_text())]
+    assert sorted((p, sorted(q)) for p, q in noted_rows) == [(2, [])] * 3 + [(5, [2])] * 3 + [(9, [2, 5])] * 3
