@@ -38,7 +38,7 @@ def whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int, m
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow; what a task has freed goes back to the machine, as Spark keeps its worker, and an executor's memory holds both."""
+    """``run`` for mapInArrow; what Arrow has freed in a task goes back to the machine, as Spark keeps its worker, and an executor's memory holds both."""
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,6 +46,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            pa.system_memory_pool().release_unused()  # what numpy and Python have freed, too
+            pa.system_memory_pool().release_unused()
 
     return task

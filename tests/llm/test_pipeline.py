@@ -206,11 +206,13 @@ def test_a_lean_task_gives_back_what_it_freed():
         return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
 
     def run(batches):
-        blocks = [np.ones(4000, np.uint8) for _ in range(50_000)]  # small ones that the allocator keeps
+        blocks = [pa.allocate_buffer(30_000) for _ in range(6000)]
+        for block in blocks:
+            np.frombuffer(block, np.uint8)[:] = 1
         last.append(blocks.pop())
         yield from batches
 
-    last: list[np.ndarray] = []
+    last: list[pa.Buffer] = []
     batch = pa.RecordBatch.from_pydict({"n": [1, 2]})
     before = held()
     assert list(lean(run)(iter([batch]))) == [batch] and held() - before < 60
