@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chordgrid.functions.geometry import distance, midpoint, quarter_turn, safe_divide, turned_area, unit
+from chordgrid.operators import string_passes
 from chordgrid.operators.neighbours import mark, neighbours
 from chordgrid.operators.storage import stored
 from chordgrid.sources.loader import numbered
@@ -158,3 +159,25 @@ def merge_forest(strings: DataFrame, radii: tuple[float, ...] = (0.5, 1.0, 1.5),
         if n < len(radii):
             tree = stored(tree, "string-tree")
     return tree.withColumn("ancestors", F.array_except("family", F.array("sid"))).drop("family", "mark")
+
+
+def forest_sums(strings: DataFrame, radii: tuple[float, ...] = (0.5, 1.0, 1.5), *, limits: string_passes.Limits = string_passes.Limits(), inclusive: bool = True, corrected: bool = False, coincident: float = 1e-3) -> DataFrame:
+    """(imgid, round, n_strings, n_ancestors, bent_left, bent_right, places): what ``merge_forest``'s strings add up to.
+
+    Images within ``limits`` go through all rounds in one pass, blocks of them in a task, and no string of the last round is
+    written; of larger ones the strings are written as in ``merge_forest``, and the last round's are summed as they are found.
+    """
+    strings = stored(strings, "strings")
+    how = string_passes.Merging(tuple(radii), coincident, inclusive, corrected)
+    own, _, apart = string_passes.dealt(strings, string_passes.Trees, how, limits)
+    found = own.mapInArrow(string_passes.forest_sums(how, limits), f"imgid {dict(strings.dtypes)['imgid']}, {string_passes.SUMS}")
+    sums = [F.sum(c).alias(c) for c in ("n_strings", "n_ancestors", "bent_left", "bent_right", "places")]
+    found = found.groupBy("imgid", "round").agg(*sums)
+    if apart is None:
+        return found
+    places = F.col("lf_y") + 2 * F.col("lf_x") + 3 * F.col("rt_y") + 5 * F.col("rt_x")
+    joined = merge_forest(apart, radii, inclusive=inclusive, corrected=corrected, coincident=coincident).groupBy("imgid", "round").agg(
+        F.count("*").alias("n_strings"), F.sum(F.size("ancestors")).alias("n_ancestors"), F.count_if(F.col("dev") > 0).alias("bent_left"),
+        F.count_if(F.col("dev") < 0).alias("bent_right"), F.sum(places).alias("places"),
+    )
+    return found.unionByName(joined)
