@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,18 @@ from chordgrid.sources.loader import numbered
 
 #: Versions that lookups go through before they are made one.
 VERSIONS = 6
+#: Links of small components that are replayed together.
+BLOCK = 100_000
 _VERSION = "idx long, root long, size long"
 
 
 def _replayed(_key: tuple, links: pd.DataFrame) -> pd.DataFrame:
-    """One component's links in their order."""
-    size = dict(zip(links.rx, links.sx)) | dict(zip(links.ry, links.sy))
-    parent = {node: node for node in size}
+    """Whole components' links in their order; links of different components don't meet, so it is the order in each."""
+    links = links.sort_values(["order", "x", "y"])
+    nodes, place = np.unique(np.concatenate([links.rx.to_numpy(), links.ry.to_numpy()]), return_inverse=True)
+    given = np.zeros(len(nodes), np.int64)
+    given[place] = np.concatenate([links.sx.to_numpy(), links.sy.to_numpy()])
+    size, parent = given.tolist(), list(range(len(nodes)))
 
     def top(node: int) -> int:
         while parent[node] != node:
@@ -33,15 +39,14 @@ def _replayed(_key: tuple, links: pd.DataFrame) -> pd.DataFrame:
             node = parent[node]
         return node
 
-    links = links.sort_values(["order", "x", "y"])
-    for x, y in zip(links.rx, links.ry):
+    for x, y in zip(place[: len(links)].tolist(), place[len(links) :].tolist()):
         x, y = top(x), top(y)
         if x != y:
             low, high = (x, y) if size[x] < size[y] else (y, x)
             parent[low] = high
             size[high] += size[low]
-    tops = [top(node) for node in parent]
-    return pd.DataFrame({"idx": list(parent), "root": tops, "size": [size[t] for t in tops]})
+    tops = np.array([top(node) for node in range(len(nodes))], np.int64)
+    return pd.DataFrame({"idx": nodes, "root": nodes[tops], "size": np.array(size, np.int64)[tops]})
 
 
 def _in_rounds(links: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def _in_rounds(links: DataFrame) -> DataFrame:
 class UnionFind:
     """Sets of longs. Each change gives a new forest; the index of an element is its place of insertion.
 
-    Components of a batch with at most ``replay`` links are replayed in a task each, larger ones in rounds of joins.
+    Components of a batch with at most ``replay`` links are replayed in tasks, small ones together, larger ones in rounds of joins.
     """
 
     elements: DataFrame
@@ -103,12 +108,14 @@ class UnionFind:
         if links.isEmpty():
             return grown
         label = roots(links.select(F.col("rx").alias("lf"), F.col("ry").alias("rt")))
+        blocks = -(-links.count() // BLOCK)
         links = links.join(label.withColumnsRenamed({"node": "rx", "root": "part"}), "rx", "left").withColumn("part", F.coalesce("part", "rx"))
         large = stored(links.groupBy("part").count().where(F.col("count") > grown.replay).select("part"), "forest-large")
+        block = F.pmod(F.xxhash64("part"), F.lit(blocks)).alias("block")
         if large.isEmpty():
-            version = links.groupBy("part").applyInPandas(_replayed, _VERSION)
+            version = links.groupBy(block).applyInPandas(_replayed, _VERSION)
         else:
-            version = links.join(large, "part", "left_anti").groupBy("part").applyInPandas(_replayed, _VERSION)
+            version = links.join(large, "part", "left_anti").groupBy(block).applyInPandas(_replayed, _VERSION)
             version = version.unionByName(_in_rounds(stored(links.join(large, "part", "left_semi").drop("part"), "forest-links")))
         grown = replace(grown, versions=(*grown.versions, stored(version, "forest-version")))
         return grown if len(grown.versions) < VERSIONS else grown.compacted()
