@@ -235,7 +235,7 @@ class Scored(Block):
     def made(self) -> tuple[pa.Array, pa.Array]:
         """What ends give to the name of a string, as its first and its second."""
         ends = [f"{n}|{side}" for n in self.names for side in (0, 1)]
-        return pa.array([f"{e}|" for e in ends], pa.large_string()), pa.array(ends, pa.large_string())
+        return pa.array([f"{e}|" for e in ends], pa.string()), pa.array(ends, pa.string())
 
     def grow(self, rows: Rows, how: Merging) -> int:
         first, second = self.made()
@@ -429,7 +429,7 @@ def scored_rounds(how: Merging, limits: Limits) -> Callable:
             image, part, parts = (table.column(c).to_numpy()[starts] for c in ("imgid", "part", "parts"))
             first, second = block.made()
             for a, b, *values in block.pairs(_last(block, how, part, parts), how):
-                made = pc.binary_join_element_wise(first.take(pa.array(a)), second.take(pa.array(b)), "").cast(pa.string())
+                made = pc.binary_join_element_wise(first.take(pa.array(a)), second.take(pa.array(b)), "")
                 yield pa.RecordBatch.from_pydict({"imgid": image[block.unit[a >> 1]], "made": made} | dict(zip(names, values)))
 
     return run

@@ -120,12 +120,25 @@ def _named(candidates: DataFrame) -> DataFrame:
     return candidates.select("imgid", sid.alias("sid"), *STRING)
 
 
-def merge_rounds(strings: DataFrame, radii: tuple[float, ...] = (1.0, 2.0), **options) -> DataFrame:
-    """Rounds of merging that keep the candidates whose similarity score exceeds 1, in place of the strings before."""
+def merge_rounds(strings: DataFrame, radii: tuple[float, ...] = (1.0, 2.0), *, limits: string_passes.Limits = string_passes.Limits(), inclusive: bool = True, corrected: bool = False, coincident: float = 0.1) -> DataFrame:
+    """Rounds of merging that keep the candidates whose similarity score exceeds 1, in place of the strings before.
+
+    Images within ``limits`` go through all rounds in one pass, blocks of them in a task, larger ones by joins.
+    """
+    if not radii:
+        return strings
+    strings = stored(strings, "strings")
+    how = string_passes.Merging(tuple(radii), coincident, inclusive, corrected)
+    own, _, apart = string_passes.dealt(strings, string_passes.Scored, how, limits)
+    values = ", ".join(f"{c} double" for c in STRING)
+    found = own.mapInArrow(string_passes.scored_rounds(how, limits), f"imgid {dict(strings.dtypes)['imgid']}, made string, {values}")
+    found = found.select("imgid", F.md5("made").alias("sid"), *STRING)
+    if apart is None:
+        return found
     for radius in radii:
-        found = merged(meetings(strings, radius), variant="sf", **options).withColumn("score", similarity())
-        strings = stored(_named(found.where((F.col("score") > 1) & ~F.isnan("score"))), "strings")
-    return strings
+        new = merged(meetings(apart, radius, inclusive=inclusive), variant="sf", corrected=corrected, coincident=coincident).withColumn("score", similarity())
+        apart = stored(_named(new.where((F.col("score") > 1) & ~F.isnan("score"))), "strings")
+    return found.unionByName(apart)
 
 
 def string_tree(strings: DataFrame) -> DataFrame:

@@ -51,3 +51,26 @@ def test_sums_of_images_with_many_roots(spark):
 
 def test_sums_of_nothing(first):
     assert strings.forest_sums(first.limit(0)).count() == 0
+
+
+def rows(table):
+    return sorted((r.imgid, r.sid, *(round(r[c], 9) + 0.0 for c in strings.STRING)) for r in table.collect())
+
+
+@pytest.mark.parametrize("limits", DEALT[:3])
+@pytest.mark.parametrize("options", [{}, dict(inclusive=False, corrected=True, coincident=1.2)])
+def test_scored_rounds_are_those_of_joins(first, limits, options):
+    want = rows(strings.merge_rounds(first, limits=DEALT[3], **options))
+    assert rows(strings.merge_rounds(first, limits=limits, **options)) == want and len({r[0] for r in want}) == 2
+
+
+def test_scored_rounds_write_no_pairs_of_images_that_fit_a_task(first):
+    """Strings of these images meet in a task: the plan of the result has no join of their ends."""
+    plan = strings.merge_rounds(first)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "floor" not in plan.lower()
+
+
+def test_scored_rounds_of_nothing(first):
+    assert strings.merge_rounds(first.limit(0)).count() == 0
+    one = strings.stored(first.orderBy("imgid", "sid").limit(1), "strings")
+    assert rows(strings.merge_rounds(one)) == rows(strings.merge_rounds(one, limits=DEALT[3]))
