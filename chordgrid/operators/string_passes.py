@@ -23,7 +23,7 @@ from chordgrid.operators.storage import stored
 _HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 _PLACES = ("lf_y", "lf_x", "rt_y", "rt_x")
 #: Strings of a block, pairs that are looked at together, and pairs of a task in the last round.
-_BLOCK, _PIECE, _SHARE = 20_000, 1 << 18, 20_000_000
+_BLOCK, _PIECE, _SHARE = 5_000, 1 << 16, 20_000_000
 #: Coordinates beyond this go by joins, as cells are counted in 64 bits.
 _FAR = float(1 << 20)
 
